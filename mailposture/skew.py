@@ -19,7 +19,7 @@ def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> Data
     broadcast whatever the size of ``df``.  The counts are combined before the shuffle.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    total = counts.agg(F.sum("_n").alias("_total"))
     return counts.crossJoin(F.broadcast(total)).filter(F.col("_n") > F.col("_total") * share).select(*on)
 
 
@@ -30,15 +30,17 @@ def lookup_join(
     how: str = "left",
     share: float = HOT_SHARE,
     salts: int = SALTS,
+    weigh: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` (a key may hold any share of its rows) to ``right`` (few rows per key).
 
     Rows of hot keys, and rows without a key, are spread over ``salts`` sub-keys by a hash of their content; only the
     right rows of hot keys are repeated.  The hash is a function of the row, so a recomputed task yields the same
-    rows.  All other keys join as usual.
+    rows.  All other keys join as usual.  In a chain of lookups, pass the frame the chain started from as ``weigh``: the
+    keys are then counted there and the joins done so far are not run again for the count.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(left, on, share).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(left if weigh is None else weigh, on, share).withColumn("_hot", F.lit(True)))
     spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
     salted_left = (
@@ -66,7 +68,7 @@ def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k
 
 
 def leading_by_share(counts: DataFrame, key: str, n: str, share: float) -> DataFrame:
-    """How many of the largest groups are needed to cover ``share`` of the total, as one row ``leading``.
+    """How many of the largest groups are needed to cover ``share`` of the total, as one row ``n_leading``.
 
     Counts the prefix sums (starting with 0) of the counts in descending order that are below ``share`` of the total.
     Groups of equal size are handled together: there are at most ``sqrt(2 * total)`` different sizes, so the running
@@ -80,7 +82,7 @@ def leading_by_share(counts: DataFrame, key: str, n: str, share: float) -> DataF
     )
     room = F.ceil((F.col("_total") * F.lit(share) - F.col("_before")) / F.col("_size"))
     taken = F.greatest(F.lit(0), F.least(F.col("_groups"), room))
-    return running.agg(F.coalesce(F.sum(taken), F.lit(0)).cast("bigint").alias("leading"))
+    return running.agg(F.coalesce(F.sum(taken), F.lit(0)).cast("bigint").alias("n_leading"))
 
 
 def rank_by_size(counts: DataFrame, key: str, n: str, rank: str = "rank") -> DataFrame:
