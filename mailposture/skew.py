@@ -85,6 +85,23 @@ def leading_by_share(counts: DataFrame, key: str, n: str, share: float) -> DataF
     return running.agg(F.coalesce(F.sum(taken), F.lit(0)).cast("bigint").alias("n_leading"))
 
 
+def rank_in_cells(df: DataFrame, keys: Sequence[str], cell: Sequence[Column], order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """Exact ``row_number`` per group without a window over the whole group.
+
+    ``cell`` are leading expressions of the order (a tier, a length, a prefix), ``order`` the order inside a cell.  Rows are
+    numbered inside their cell and shifted by the sizes of the earlier cells of the group, so a group that holds a large
+    share of all rows is sorted by as many tasks as it has cells.
+    """
+    names = [f"_cell{i}" for i in range(len(cell))]
+    keyed = df.withColumns(dict(zip(names, cell)))
+    sizes = keyed.groupBy(*keys, *names).agg(F.count(F.lit(1)).alias("_size"))
+    earlier = Window.partitionBy(*keys).orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.withColumn("_offset", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
+    inside = Window.partitionBy(*keys, *names).orderBy(*order)
+    numbered = keyed.withColumn("_inside", F.row_number().over(inside)).join(offsets, [*keys, *names])
+    return numbered.withColumn(rank, (F.col("_offset") + F.col("_inside")).cast("bigint")).drop("_offset", "_inside", *names)
+
+
 def rank_by_size(counts: DataFrame, key: str, n: str, rank: str = "rank") -> DataFrame:
     """Exact position of every group by descending count, ties in the order of ``md5(key)``.
 
