@@ -316,6 +316,14 @@ SELECT country, CASE WHEN c % 100 = 7 THEN 'B' || code ELSE code END AS code, na
 FROM {v_provider}
 """
 
+VIEWS["v_resolve"] = """
+SELECT country, code, name, region,
+       CASE k % 17 WHEN 0 THEN '' WHEN 1 THEN 'd' || CAST(k AS STRING) || '.de' ELSE NULL END AS override_domain,
+       CASE WHEN k % 23 = 0 THEN 'Neu ' || name ELSE NULL END AS override_name,
+       CASE WHEN c % 3 = 0 THEN 'host' || CAST(c % 100 AS STRING) || '.com' ELSE NULL END AS website_domain, k, c
+FROM {v_entity}
+"""
+
 VIEWS["v_page"] = """
 SELECT page_id, url, html,
        lower(regexp_replace(split_part(split_part(url, '://', 2), '/', 1), '^www[.]', '')) AS site
