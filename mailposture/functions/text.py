@@ -12,10 +12,16 @@ from mailposture import dims
 
 
 def contains_any(c: Column, patterns: Iterable[str]) -> Column:
-    """Case-insensitive substring match against any of a few fixed patterns; false for null or no patterns."""
+    """Case-insensitive substring match against any of a few fixed patterns; false for null or no patterns.
+
+    Several patterns become one alternation of quoted literals, so the text is evaluated once.
+    """
+    words = [p.lower() for p in patterns]
     text = F.lower(c)
-    tests = [F.contains(text, F.lit(p.lower())) for p in patterns]
-    return F.coalesce(reduce(lambda a, b: a | b, tests, F.lit(False)), F.lit(False))
+    if not words:
+        return F.lit(False)
+    test = F.contains(text, F.lit(words[0])) if len(words) == 1 else text.rlike("|".join(rf"\Q{w}\E" for w in words))
+    return F.coalesce(test, F.lit(False))
 
 
 def ends_with_any(c: Column, suffixes: Iterable[str]) -> Column:

@@ -116,6 +116,7 @@ def match_by_name(entity: DataFrame, mail_list: DataFrame, skip: list[str]) -> D
     keyed = entity.select("code", "region", normalize_name(F.col("name")).alias("name_key")).filter(F.col("name_key") != "")
     anywhere = first.filter(F.col("_region") == "").select("name_key", F.col("first").alias("_any"))
     here = first.filter(F.col("_region") != "").select("name_key", F.col("_region").alias("region"), F.col("first").alias("_here"))
+    # Both lookups follow the name, so its hot keys are counted once, on the entities themselves.
     both = lookup_join(lookup_join(keyed, anywhere, ["name_key"]), here, ["name_key", "region"], weigh=keyed)
     return both.select("code", F.least("_any", "_here").alias("m")).filter(F.col("m").isNotNull()).select("code", F.col("m.domain").alias("domain"))
 
@@ -320,17 +321,17 @@ def mx_worklist(candidates: DataFrame, entity: DataFrame, scraped: DataFrame, sk
 
 def attach_scraped(candidates: DataFrame, emails: DataFrame) -> DataFrame:
     """Mail domains found on the sites of an entity ``(country, code, site, email_domain)``."""
-    sites = candidates.select(*ENTITY, F.col("domain").alias("site")).distinct()
-    return lookup_join(sites, emails.select("site", F.col("domain").alias("email_domain")), ["site"], "inner").distinct()
+    every = candidates.select(*ENTITY, F.col("domain").alias("site"))
+    found = emails.select("site", F.col("domain").alias("email_domain"))
+    return lookup_join(every.distinct(), found, ["site"], "inner", weigh=every).distinct()
 
 
 def url_worklist(domains: DataFrame, cc: str) -> DataFrame:
     """Homepage and fixed subpages under the www and the bare name, in order ``(domain, pos, url)``."""
     bare = normalize_domain(F.col("domain"))
-    urls = [
-        F.concat(F.lit(base), bare, F.lit(path)) for base in ("https://www.", "https://") for path in ["/", *dims.SUBPAGES[cc]]
-    ]
-    return domains.select("domain", F.posexplode(F.array(*urls)).alias("pos", "url"))
+    frames = [F.struct(F.lit(base).alias("base"), F.lit(path).alias("path")) for base in ("https://www.", "https://") for path in ["/", *dims.SUBPAGES[cc]]]
+    rows = domains.select("domain", F.posexplode(F.array(*frames)).alias("pos", "u"))
+    return rows.select("domain", "pos", F.concat("u.base", bare, "u.path").alias("url"))
 
 
 def rescrape_worklist(sites: DataFrame, emails: DataFrame) -> DataFrame:

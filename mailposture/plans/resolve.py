@@ -12,6 +12,7 @@ from mailposture.operators import domains as dm
 from mailposture.operators import quality as qc
 from mailposture.plans.providers import sql_any
 from mailposture.plans.registry import query, r6
+from mailposture.session import cut_lineage
 from mailposture.sources import observations as ob
 from mailposture.sources import registries as rg
 from mailposture.sources import sinks
@@ -533,6 +534,11 @@ def pools(t):
     return de.build_pools(t("v_resolve"), t("v_candidate"), t("v_scraped"), t("v_http"), t("v_mx_valid"), t("v_content"))
 
 
+def stored_pools(t):
+    """Pools as a checkpointed table, for jobs that read them more than once."""
+    return cut_lineage(pools(t))
+
+
 @query("pools", f"WITH {SQL_POOLS} SELECT * FROM pools")
 def pools_query(t):
     return pools(t)
@@ -549,7 +555,7 @@ SQL_PREF = f"""{SQL_POOLS},
 
 @query("rank_emails", f"WITH {SQL_PREF} SELECT country, code, pool, domain, rank FROM ranked")
 def rank_emails(t):
-    return de.rank_emails(pools(t), t("v_resolve")).select("country", "code", "pool", "domain", "rank")
+    return de.rank_emails(stored_pools(t), t("v_resolve")).select("country", "code", "pool", "domain", "rank")
 
 
 SQL_SOURCE = f"src AS (SELECT country, code, domain, {sql_case('arg_min(source, (pos, source))', dims.SOURCE_GROUPS, chr(39) + 'static' + chr(39))} AS source, count(DISTINCT source) AS n_sources FROM v_candidate GROUP BY country, code, domain)"
@@ -584,7 +590,7 @@ def decide(t):
 
 @query("chosen_emails", f"WITH {SQL_DECIDE} SELECT country, code, CAST(1 AS BIGINT) AS rank, domain FROM dec WHERE pool = 'override' AND domain <> '' UNION ALL SELECT r.country, r.code, r.rank, r.domain FROM ranked r JOIN dec d ON r.country = d.country AND r.code = d.code AND r.pool = d.pool")
 def chosen_emails(t):
-    p = pools(t)
+    p = stored_pools(t)
     return de.chosen_emails(decision(t, p), de.rank_emails(p, t("v_resolve")))
 
 
@@ -622,8 +628,8 @@ def sources_detail(t):
 
 
 def resolve_output(t):
-    p = pools(t)
-    d = decision(t, p)
+    p = stored_pools(t)
+    d = cut_lineage(decision(t, p))
     emails = de.chosen_emails(d, de.rank_emails(p, t("v_resolve")))
     entity = t("v_resolve").drop("k", "c", "website_domain")
     website = de.set_website(t("v_resolve"), t("v_candidate"), t("v_http"))
@@ -650,7 +656,7 @@ def resolve_output_query(t):
     f"WITH {SQL_OUT} SELECT 'total' AS metric, count(*) AS n FROM out UNION ALL SELECT 'with domain', count(*) FROM out WHERE emails <> '' UNION ALL SELECT 'review', count(*) FROM out WHERE confidence IN ('low', 'none') OR flag <> '' UNION ALL SELECT 'source ' || source, count(*) FROM out GROUP BY source UNION ALL SELECT 'confidence ' || confidence, count(*) FROM out GROUP BY confidence",
 )
 def resolve_summary(t):
-    return sinks.domain_summary(resolve_output(t))
+    return sinks.domain_summary(cut_lineage(resolve_output(t)))
 
 
 @query(

@@ -104,18 +104,18 @@ def read_commune_snapshot(spark: SparkSession, path: str) -> DataFrame:
 def top_ancestor(units: DataFrame, leaf_level: int = 3, top_level: int = 1, max_depth: int = 5) -> DataFrame:
     """For every leaf its nearest ancestor of the top level ``(hist, top_short)``; null when there is none.
 
-    The parent chain is followed by at most ``max_depth`` joins against the units above the leaves; these upper units
-    are few, so Spark broadcasts them by their size.
+    The upper units, a small part of the table, find their own top first, by ``max_depth - 1`` joins among themselves.
+    The leaves are then looked up once.
     """
-    upper = units.filter(F.col("level") < leaf_level).select(
-        F.col("hist").alias("_at"), F.col("level").alias("_level"), F.col("parent").alias("_next"), F.col("short").alias("_short")
-    )
-    walk = units.filter(F.col("level") == leaf_level).select("hist", F.col("parent").alias("_at"), F.lit(None).cast("string").alias("top_short"))
-    for _ in range(max_depth):
-        step = lookup_join(walk, upper, ["_at"])
+    upper = units.filter(F.col("level") < leaf_level)
+    up = upper.select(F.col("hist").alias("_at"), F.col("level").alias("_level"), F.col("parent").alias("_next"), F.col("short").alias("_short"))
+    is_top = F.col("level") == top_level
+    walk = upper.select(F.col("hist").alias("_unit"), F.when(~is_top, F.col("parent")).alias("_at"), F.when(is_top, F.col("short")).alias("top_short"))
+    for _ in range(max_depth - 1):
         found = F.coalesce("top_short", F.when(F.col("_level") == top_level, F.col("_short")))
-        walk = step.select("hist", F.when(found.isNull(), F.col("_next")).alias("_at"), found.alias("top_short"))
-    return walk.select("hist", "top_short")
+        walk = walk.join(up, "_at", "left").select("_unit", F.when(found.isNull(), F.col("_next")).alias("_at"), found.alias("top_short"))
+    leaves = units.filter(F.col("level") == leaf_level).select("hist", F.col("parent").alias("_unit"))
+    return lookup_join(leaves, walk.select("_unit", "top_short"), ["_unit"]).select("hist", "top_short")
 
 
 def resolve_hierarchy(units: DataFrame, max_depth: int = 5) -> DataFrame:
