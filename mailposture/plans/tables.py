@@ -14,35 +14,28 @@ from pyspark.sql import DataFrame, SparkSession
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 HOSTS = [
-    "t{c}.mail.protection.outlook.com", "aspmx.l.google.com", "inbound-smtp.eu-west-1.amazonaws.com",
-    "mail{g}.rzone.de", "mx{g}.seppmail.cloud", "mx1.hydra.sophos.com", "mta-gw.infomaniak.ch",
-    "mx00.ionos.de", "c{c}.hop.net", "mail.kunde{g}.at", "d{c}.ess.barracudanetworks.com", "mx.microsoft",
-    "mx{g}.hostpoint.ch", "smtp.google.com", "c{c}.hop.net",
+    "t#c.mail.protection.outlook.com", "aspmx.l.google.com", "inbound-smtp.eu-west-1.amazonaws.com",
+    "mail#g.rzone.de", "mx#g.seppmail.cloud", "mx1.hydra.sophos.com", "mta-gw.infomaniak.ch",
+    "mx00.ionos.de", "c#c.hop.net", "mail.kunde#g.at", "d#c.ess.barracudanetworks.com", "mx.microsoft",
+    "mx#g.hostpoint.ch", "smtp.google.com", "c#c.hop.net",
 ]
+KINDS = "mx|spf|dkim|dmarc|autodiscover|cname_chain|smtp|tenant|asn|txt_verification|spf_ip"
+WEIGHTS = "0.20|0.20|0.15|0.02|0.08|0.03|0.04|0.10|0.03|0.07|0.08"
+
+
+def _pick(texts: str, selector: str, n: int) -> str:
+    """One of ``n`` texts by a key."""
+    return f"split_part('{texts}', '|', CAST({selector} % {n} AS INT) + 1)"
 
 
 def _host(selector: str) -> str:
-    """CASE over the host list; {c} is the customer, {g} a group of ten customers."""
-    def text(host: str) -> str:
-        parts = re.split(r"(\{[cg]\})", host)
-        sql = ["CAST(c AS STRING)" if p == "{c}" else "CAST(c % 10 AS STRING)" if p == "{g}" else f"'{p}'" for p in parts if p]
-        return " || ".join(sql)
-
-    whens = " ".join(f"WHEN {i} THEN {text(h)}" for i, h in enumerate(HOSTS[:-1]))
-    return f"CASE {selector} % {len(HOSTS)} {whens} ELSE {text(HOSTS[-1])} END"
-
-
-KIND = (
-    "CASE {x} % 11 WHEN 0 THEN 'mx' WHEN 1 THEN 'spf' WHEN 2 THEN 'dkim' WHEN 3 THEN 'dmarc' WHEN 4 THEN 'autodiscover' "
-    "WHEN 5 THEN 'cname_chain' WHEN 6 THEN 'smtp' WHEN 7 THEN 'tenant' WHEN 8 THEN 'asn' WHEN 9 THEN 'txt_verification' "
-    "ELSE 'spf_ip' END"
-)
-WEIGHT = (
-    "CASE {x} % 11 WHEN 0 THEN CAST(0.20 AS DOUBLE) WHEN 1 THEN CAST(0.20 AS DOUBLE) WHEN 2 THEN CAST(0.15 AS DOUBLE) "
-    "WHEN 3 THEN CAST(0.02 AS DOUBLE) WHEN 4 THEN CAST(0.08 AS DOUBLE) WHEN 5 THEN CAST(0.03 AS DOUBLE) "
-    "WHEN 6 THEN CAST(0.04 AS DOUBLE) WHEN 7 THEN CAST(0.10 AS DOUBLE) WHEN 8 THEN CAST(0.03 AS DOUBLE) "
-    "WHEN 9 THEN CAST(0.07 AS DOUBLE) ELSE CAST(0.08 AS DOUBLE) END"
-)
+    """One of the hosts; #c is the customer, #g a group of customers."""
+    host = _pick("|".join(HOSTS), selector, len(HOSTS))
+    return f"replace(replace({host}, '#c', CAST(c AS STRING)), '#g', CAST(c % 10 AS STRING))"
+
+
+KIND = _pick(KINDS, "l_partkey", 11)
+WEIGHT = f"CAST({_pick(WEIGHTS, 'l_partkey', 11)} AS DOUBLE)"
 
 VIEWS: dict[str, str] = {}
 
@@ -76,10 +69,10 @@ FROM {v_order} JOIN {customer} ON c = c_custkey JOIN {nation} ON c_nationkey = n
 """
 
 VIEWS["v_evidence"] = f"""
-SELECT v.domain AS domain, {KIND.format(x="l_partkey")} AS kind,
+SELECT v.domain AS domain, {KIND} AS kind,
        CASE l_suppkey % 6 WHEN 0 THEN 'ms365' WHEN 1 THEN 'google' WHEN 2 THEN 'aws' WHEN 3 THEN 'domestic'
                           WHEN 4 THEN 'foreign' ELSE 'unknown' END AS provider,
-       {WEIGHT.format(x="l_partkey")} AS weight,
+       {WEIGHT} AS weight,
        l_orderkey * 10 + l_linenumber AS pos
 FROM {{lineitem}} JOIN {{v_order}} v ON l_orderkey = v.k
 """
@@ -175,10 +168,10 @@ SELECT country, code, 1 AS pos, CASE WHEN k % 6 = 0 THEN NULL ELSE {_host('(k +
 """
 
 VIEWS["v_signal"] = f"""
-SELECT e.country AS country, e.code AS code, l_linenumber AS pos, {KIND.format(x="l_partkey")} AS kind,
+SELECT e.country AS country, e.code AS code, l_linenumber AS pos, {KIND} AS kind,
        CASE l_suppkey % 6 WHEN 0 THEN 'microsoft' WHEN 1 THEN 'google' WHEN 2 THEN 'aws' WHEN 3 THEN 'domestic'
                           WHEN 4 THEN 'foreign' ELSE 'unknown' END AS provider,
-       {WEIGHT.format(x="l_partkey")} AS weight,
+       {WEIGHT} AS weight,
        CASE l_partkey % 11 WHEN 0 THEN 'MX h' || CAST(l_suppkey % 3 AS STRING) || '.example.org matches x'
             WHEN 1 THEN 'SPF include:s' || CAST(l_suppkey % 3 AS STRING) || '.example.org matches x'
             WHEN 8 THEN 'ASN ' || CAST(l_suppkey % 3 AS STRING) || ' registered in CH'
