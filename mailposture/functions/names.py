@@ -17,7 +17,8 @@ def _replace_all(c: Column, pairs: list[tuple[str, str]]) -> Column:
 
 def bare_name(name: Column) -> Column:
     """Lower-case name without parenthesised parts."""
-    return F.regexp_replace(strip(F.lower(name)), r"\s*\(.*?\)\s*", "")
+    text = strip(F.lower(name))
+    return F.when(F.contains(text, F.lit("(")), F.regexp_replace(text, r"\s*\(.*?\)\s*", "")).otherwise(text)
 
 
 def german(c: Column, sharp_s: bool = True) -> Column:
@@ -31,8 +32,7 @@ def french(c: Column) -> Column:
 
 def slug(c: Column) -> Column:
     """Quotes dropped, every run of other characters a dash, no dash at the ends."""
-    joined = F.regexp_replace(F.regexp_replace(c, r"['’`]", ""), r"[^a-z0-9]+", "-")
-    return F.regexp_replace(joined, r"^-+|-+$", "")
+    return F.btrim(F.regexp_replace(F.translate(c, "'’`", ""), r"[^a-z0-9]+", "-"), F.lit("-"))
 
 
 def dashless(c: Column) -> Column:
@@ -40,7 +40,8 @@ def dashless(c: Column) -> Column:
 
 
 def _distinct(*slugs: Column) -> Column:
-    return F.array_distinct(F.filter(F.array(*slugs), lambda s: s != ""))
+    # Array functions without a lambda: they are compiled, and repeated slugs are evaluated once.
+    return F.array_distinct(F.array_remove(F.array(*slugs), ""))
 
 
 def slug_set(name: Column, country: str) -> Column:

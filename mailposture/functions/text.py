@@ -49,8 +49,8 @@ def lookup(c: Column, table: dict[str, str], default: Column | None = None) -> C
 
 
 def strip(c: Column) -> Column:
-    """Remove white space of any kind at both ends."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Remove white space at both ends."""
+    return F.btrim(c, F.lit(" \t\n\r\f\v"))
 
 
 def url_host(c: Column) -> Column:

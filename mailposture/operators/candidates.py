@@ -173,32 +173,41 @@ def _filled_in(template: str, slug: Column, region: Column) -> Column:
     return F.concat(*pieces)
 
 
-def guess_array(name: Column, region: Column, cc: str) -> Column:
-    """All guessed domains of a name, sorted and distinct, as one array expression."""
+def guess_slugs(name: Column, cc: str) -> Column:
+    """Slugs of a name and of its parts around a slash."""
     parts = F.filter(F.transform(F.split(name, "/"), strip), lambda p: p != "")
     if cc == "ch":
         # The whole name counts, and its parts when there are several.
         parts = F.when(F.size(parts) > 1, F.concat(F.array(name), parts)).otherwise(F.array(name))
-    slugs = F.array_distinct(F.flatten(F.transform(parts, lambda p: slug_set(p, cc))))
+    several = F.array_distinct(F.flatten(F.transform(parts, lambda p: slug_set(p, cc))))
+    return F.when(F.contains(name, F.lit("/")), several).otherwise(slug_set(name, cc))
+
+
+def guess_array(slugs: Column, region: Column, cc: str) -> Column:
+    """All guessed domains, sorted and distinct, as one array expression."""
     suffix = {
         "de": F.lit(None).cast("string"),
         "at": lookup(region, dims.AT_REGION_SUFFIX),
         "ch": lookup(region, dims.REGION_ABBREVIATIONS["ch"]),
     }[cc]
-    templates = [(t, False) for t in dims.GUESS_TEMPLATES[cc]] + [(t, True) for t in dims.REGION_GUESS_TEMPLATES[cc]]
-    made = F.transform(
-        slugs, lambda s: F.array(*[F.when(suffix.isNotNull(), _filled_in(t, s, suffix)) if r else _filled_in(t, s, suffix) for t, r in templates])
-    )
-    return F.array_sort(F.array_distinct(F.filter(F.flatten(made), lambda d: d.isNotNull())))
+    plain, regional = dims.GUESS_TEMPLATES[cc], dims.REGION_GUESS_TEMPLATES[cc]
+    made = F.flatten(F.transform(slugs, lambda s: F.array(*[_filled_in(t, s, suffix) for t in plain])))
+    if regional:
+        more = F.flatten(F.transform(slugs, lambda s: F.array(*[_filled_in(t, s, suffix) for t in regional])))
+        made = F.when(suffix.isNotNull(), F.concat(made, more)).otherwise(made)
+    return F.sort_array(F.array_distinct(made))
 
 
 def guess_domains(entity: DataFrame) -> DataFrame:
-    """Guessed domains per entity ``(country, code, pos, domain)``: a projection and an explode, no shuffle."""
-    name, region = F.col("name"), F.col("region")
+    """Guessed domains per entity ``(country, code, pos, domain)``: projections and explodes, no shuffle."""
+    name, none = F.col("name"), F.array().cast("array<string>")
+    slugs = first_match(((F.col("country") == cc, guess_slugs(name, cc)) for cc in dims.COUNTRIES), none)
+    # The one-element explode keeps the slug expression compiled: it would otherwise be copied into the lambdas below.
+    rows = entity.filter(name != "").select(*ENTITY, "region", F.explode(F.array(slugs)).alias("slugs"))
     guesses = first_match(
-        ((F.col("country") == cc, guess_array(name, region, cc)) for cc in dims.COUNTRIES), F.array().cast("array<string>")
+        ((F.col("country") == cc, guess_array(F.col("slugs"), F.col("region"), cc)) for cc in dims.COUNTRIES), none
     )
-    return entity.filter(name != "").select(*ENTITY, F.posexplode(guesses).alias("pos", "domain"))
+    return rows.select(*ENTITY, F.posexplode(guesses).alias("pos", "domain"))
 
 
 def _as_guess(rows: DataFrame, offset: int) -> DataFrame:
@@ -340,5 +349,5 @@ def rescrape_worklist(sites: DataFrame, emails: DataFrame) -> DataFrame:
 
 
 def with_slugs(entity: DataFrame) -> DataFrame:
-    """Slugs of the name under the rules of the country, computed once per entity."""
-    return entity.withColumn("slugs", slugs_for(F.col("name"), F.col("country")))
+    """Slugs of the name under the rules of the country; an entity table that already has them is left as it is."""
+    return entity if "slugs" in entity.columns else entity.withColumn("slugs", slugs_for(F.col("name"), F.col("country")))

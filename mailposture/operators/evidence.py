@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from mailposture import dims
 from mailposture.functions.text import asn_country, asn_number, contains_any, first_match, strip
-from mailposture.session import cut_lineage
+from mailposture.session import store
 from mailposture.skew import lookup_join
 
 COLUMNS = ["domain", "kind", "kind_ord", "skey", "pos", "provider", "weight", "detail", "raw"]
@@ -161,7 +161,7 @@ def cname_ends(hosts: DataFrame, dns_cname: DataFrame, max_hops: int = 10) -> Da
     """End of the alias chain of every host (first answer of each name, at most ``max_hops``).
 
     The frontier holds only hosts whose chain goes on, so it shrinks from hop to hop and the loop ends when it is
-    empty.  Each hop is checkpointed: the plan stays short and a lost executor costs one hop.
+    empty.  Each hop is written: the plan stays short and a lost executor costs one hop.
     """
     answers = (
         dns_cname.groupBy(F.lower("qname").alias("current"))
@@ -172,7 +172,7 @@ def cname_ends(hosts: DataFrame, dns_cname: DataFrame, max_hops: int = 10) -> Da
     levels = []
     for hop in range(1, max_hops + 1):
         step = lookup_join(frontier, answers, ["current"], "inner")
-        frontier = cut_lineage(step.select("host", F.col("next").alias("current")))
+        frontier = store(step.select("host", F.col("next").alias("current")))
         if frontier.isEmpty():
             break
         levels.append(frontier.select("host", "current", F.lit(hop).alias("hop")))

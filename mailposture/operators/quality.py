@@ -197,11 +197,16 @@ def check_mx_divergence(providers: DataFrame, provider_mx: DataFrame, security:
     rows = both.join(mx_overlap(provider_mx, security_mx), ENTITY)
     union = F.col("n_providers") + F.col("n_security") - F.col("n_both")
     rows = rows.filter((F.col("n_providers") > 0) & (F.col("n_security") > 0) & ((union - F.col("n_both")) * 2 > union))
-    message = F.format_string("%d of %d MX hosts known to one side only", union - F.col("n_both"), union)
-    return finding(
-        rows, "mx_divergence", "WARNING", message,
-        providers=F.col("n_providers"), security=F.col("n_security"), both=F.col("n_both"),
-    )
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        # Lists are built for the findings only; a set of MX records fits one DNS answer, which bounds it.
+        hosts = df.filter(F.col("host").isNotNull()).join(rows.select(*ENTITY), ENTITY, "left_semi")
+        quoted = F.transform(F.sort_array(F.collect_set(host_name(F.col("host")))), lambda h: F.concat(F.lit("'"), h, F.lit("'")))
+        return hosts.groupBy(*ENTITY).agg(F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")).alias(name))
+
+    rows = rows.join(listed(provider_mx, "_p"), ENTITY).join(listed(security_mx, "_s"), ENTITY)
+    message = F.concat(F.lit("providers MX="), F.col("_p"), F.lit(" vs security MX="), F.col("_s"))
+    return finding(rows, "mx_divergence", "WARNING", message, provider_mx=F.col("_p"), security_mx=F.col("_s"))
 
 
 def check_missing(providers: DataFrame, security: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from mailposture.operators import domains as dm
 from mailposture.operators import quality as qc
 from mailposture.plans.providers import sql_any
 from mailposture.plans.registry import query, r6
-from mailposture.session import cut_lineage
+from mailposture.session import spread, store
 from mailposture.sources import observations as ob
 from mailposture.sources import registries as rg
 from mailposture.sources import sinks
@@ -327,7 +327,7 @@ SQL_GUESS = "CASE country " + " ".join(f"WHEN '{cc}' THEN {sql_guess(cc)}" for c
 
 @query("guess_domains", f"SELECT country, code, unnest({SQL_GUESS}) AS domain FROM v_entity")
 def guess_domains(t):
-    return cd.guess_domains(t("v_entity")).drop("pos")
+    return cd.guess_domains(spread(t("v_entity"))).drop("pos")
 
 
 @query(
@@ -530,13 +530,21 @@ SQL_POOLS = f"""{SQL_BLOCK}, {SQL_ENT},
       WHERE domain IN (SELECT domain FROM v_mx_valid WHERE has_mx) AND domain NOT IN (SELECT domain FROM v_content WHERE flag = 'parked'))"""
 
 
+def entities(t):
+    """Entities with their slugs as a written table: names are sliced once for all filters and orders."""
+    if "entities" not in t.shared:
+        t.shared["entities"] = store(cd.with_slugs(spread(t("v_resolve"))))
+    return t.shared["entities"]
+
+
 def pools(t):
-    return de.build_pools(t("v_resolve"), t("v_candidate"), t("v_scraped"), t("v_http"), t("v_mx_valid"), t("v_content"))
+    inputs = [t.stored(v) for v in ("v_candidate", "v_scraped", "v_http")]
+    return de.build_pools(entities(t), *inputs, t("v_mx_valid"), t("v_content"))
 
 
 def stored_pools(t):
-    """Pools as a checkpointed table, for jobs that read them more than once."""
-    return cut_lineage(pools(t))
+    """Pools as a written table, for jobs that read them more than once."""
+    return store(pools(t))
 
 
 @query("pools", f"WITH {SQL_POOLS} SELECT * FROM pools")
@@ -555,7 +563,7 @@ SQL_PREF = f"""{SQL_POOLS},
 
 @query("rank_emails", f"WITH {SQL_PREF} SELECT country, code, pool, domain, rank FROM ranked")
 def rank_emails(t):
-    return de.rank_emails(stored_pools(t), t("v_resolve")).select("country", "code", "pool", "domain", "rank")
+    return de.rank_emails(stored_pools(t), entities(t)).select("country", "code", "pool", "domain", "rank")
 
 
 SQL_SOURCE = f"src AS (SELECT country, code, domain, {sql_case('arg_min(source, (pos, source))', dims.SOURCE_GROUPS, chr(39) + 'static' + chr(39))} AS source, count(DISTINCT source) AS n_sources FROM v_candidate GROUP BY country, code, domain)"
@@ -580,18 +588,18 @@ SQL_DECIDE = f"""{SQL_PREF}, {SQL_SOURCE},
 
 
 def decision(t, pool_rows):
-    return de.decide(t("v_resolve"), t("v_candidate"), pool_rows, t("v_mx_valid"))
+    return de.decide(entities(t), t.stored("v_candidate"), pool_rows, t("v_mx_valid"))
 
 
 @query("decide", f"WITH {SQL_DECIDE} SELECT * FROM dec")
 def decide(t):
-    return decision(t, pools(t))
+    return decision(t, stored_pools(t))
 
 
 @query("chosen_emails", f"WITH {SQL_DECIDE} SELECT country, code, CAST(1 AS BIGINT) AS rank, domain FROM dec WHERE pool = 'override' AND domain <> '' UNION ALL SELECT r.country, r.code, r.rank, r.domain FROM ranked r JOIN dec d ON r.country = d.country AND r.code = d.code AND r.pool = d.pool")
 def chosen_emails(t):
     p = stored_pools(t)
-    return de.chosen_emails(decision(t, p), de.rank_emails(p, t("v_resolve")))
+    return de.chosen_emails(decision(t, p), de.rank_emails(p, entities(t)))
 
 
 SQL_WEB = """seen AS (SELECT domain, coalesce(redirect, domain) AS target FROM v_http WHERE accessible),
@@ -629,11 +637,11 @@ def sources_detail(t):
 
 def resolve_output(t):
     p = stored_pools(t)
-    d = cut_lineage(decision(t, p))
-    emails = de.chosen_emails(d, de.rank_emails(p, t("v_resolve")))
-    entity = t("v_resolve").drop("k", "c", "website_domain")
-    website = de.set_website(t("v_resolve"), t("v_candidate"), t("v_http"))
-    return de.to_output(entity, d, emails, website, de.sources_detail(t("v_candidate")))
+    d = store(decision(t, p))
+    emails = de.chosen_emails(d, de.rank_emails(p, entities(t)))
+    entity = entities(t)
+    website = de.set_website(entity, t.stored("v_candidate"), t.stored("v_http"))
+    return de.to_output(entity.drop("k", "c", "slugs", "website_domain"), d, emails, website, de.sources_detail(t.stored("v_candidate")))
 
 
 SQL_OUT = f"""{SQL_DECIDE}, {SQL_WEB}, {SQL_DETAIL},
@@ -656,7 +664,7 @@ def resolve_output_query(t):
     f"WITH {SQL_OUT} SELECT 'total' AS metric, count(*) AS n FROM out UNION ALL SELECT 'with domain', count(*) FROM out WHERE emails <> '' UNION ALL SELECT 'review', count(*) FROM out WHERE confidence IN ('low', 'none') OR flag <> '' UNION ALL SELECT 'source ' || source, count(*) FROM out GROUP BY source UNION ALL SELECT 'confidence ' || confidence, count(*) FROM out GROUP BY confidence",
 )
 def resolve_summary(t):
-    return sinks.domain_summary(cut_lineage(resolve_output(t)))
+    return sinks.domain_summary(store(resolve_output(t)))
 
 
 @query(

@@ -11,6 +11,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from mailposture.session import store
+
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 HOSTS = [
@@ -343,6 +345,8 @@ class Tables:
         self.spark = spark
         self.sf_dir = sf_dir
         self._frames: dict[str, DataFrame] = {}
+        self._stored: set[str] = set()
+        self.shared: dict[str, DataFrame] = {}
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -353,6 +357,13 @@ class Tables:
             self._frames[name] = frame
         return self._frames[name]
 
+    def stored(self, name: str) -> DataFrame:
+        """The same as a written table, for jobs that read it several times; later views build on the written table."""
+        if name not in self._stored:
+            self._frames[name] = store(self(name))
+            self._stored.add(name)
+        return self._frames[name]
+
 
 def with_views(sql: str) -> str:
     """DuckDB statement: the views a query mentions, as common table expressions in front of it."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,20 +28,34 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    A local folder is set only where the session names none, which is the case in tests on one machine;
-    a session on a cluster without the setting is refused, since a machine-local folder would be lost
-    with its machine.
+    Where the session names none, a local session gets a temporary folder, as in tests on one machine.  A session on a
+    cluster is refused then, since a machine-local folder would be lost with its machine.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
-    if not context.getCheckpointDir():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        if not shared:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder before running iterative jobs")
-            shared = tempfile.mkdtemp(prefix="mailposture-checkpoint-")
-        context.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if shared:
+        return shared
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a shared folder before running jobs in several steps")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="mailposture-"))
+    return context.getCheckpointDir()
+
+
+def store(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    This ends the lineage, so a lost executor costs a re-read, and a table read by several jobs is computed once.  Being a
+    written table it keeps column pruning, pushed filters and its size for the choice of joins.
+    """
+    path = f"{shared_folder(df.sparkSession)}/mailposture-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores on an input of fewer partitions than cores, such as one small file; a no-op for larger inputs."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
