@@ -83,9 +83,9 @@ def provider_tables(nested: DataFrame) -> dict[str, DataFrame]:
     )
     signals = nested.select(*key, F.posexplode("classification_signals").alias("pos", "s")).select(*key, "pos", "s.*")
     hosts = nested.select(*key, F.posexplode("mx").alias("pos", "host"))
-    header = nested.select("country", "total", "counts").distinct() if "counts" in nested.columns else None
     tables = {"providers": flat, "signals": signals, "mx": hosts}
-    if header is not None:
+    if "counts" in nested.columns:
+        header = nested.groupBy("country", "total").agg(F.any_value("counts").alias("counts"))
         tables["header"] = header.select("country", "total", F.explode("counts").alias("provider", "n"))
     return tables
 
