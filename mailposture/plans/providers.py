@@ -10,7 +10,7 @@ from mailposture.operators import classify as cls
 from mailposture.operators import evidence as ev
 from mailposture.operators import export as ex
 from mailposture.operators import reports as rp
-from mailposture.plans.registry import query, r6
+from mailposture.plans.registry import BODY, query, r6
 from mailposture.skew import lookup_join
 
 # --- SQL fragments ------------------------------------------------------------------------------------------------
@@ -230,6 +230,7 @@ def assembled(t):
         ev.ev_dkim(cname),
         ev.ev_dmarc(txt),
         ev.ev_autodiscover(cname, t("v_srv")),
+        ev.ev_cname_chain(mx, cname),
         ev.ev_smtp(mx, t("v_smtp")),
         ev.ev_tenant(t("v_tenant")),
         ev.ev_asn(mx, t("v_a"), t("v_asn"), F.lit("ch")),
@@ -238,7 +239,13 @@ def assembled(t):
     )
 
 
-@query("assembled_evidence")
+PROBES = """
+    evidence_mx evidence_spf_include evidence_dkim evidence_dmarc evidence_autodiscover cname_chain evidence_smtp evidence_tenant evidence_asn
+    evidence_txt evidence_spf_ip
+""".split()
+
+
+@query("assembled_evidence", "SELECT kind, provider, count(*) AS n FROM (" + " UNION ALL ".join(f"({BODY[name]})" for name in PROBES) + ") e GROUP BY kind, provider")
 def assembled_evidence(t):
     return assembled(t).groupBy("kind", "provider").agg(F.count(F.lit(1)).alias("n"))
 

@@ -11,6 +11,7 @@ from mailposture.plans.tables import Tables, with_views
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+BODY: dict[str, str] = {}
 
 
 def query(name: str, sql: str | None = None):
@@ -26,6 +27,7 @@ def query(name: str, sql: str | None = None):
 
         RUN[name] = run
         if sql is not None:
+            BODY[name] = sql
             SQL[name] = with_views(sql)
         return job
 

@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 CHECKED = """
-    provider_share classify_domains attach_classification rule_hits evidence_spf_ip gateway_detect combined_providers
-    merged_regional shared_domains domain_security run_evaluation mx_divergence regression_summary chi_square_provider
-    guess_domains filter_pool decide page_email_domains contact_links latest_observation export_flat
+    provider_share classify_domains rule_hits gateway_detect combined_providers merged_regional shared_domains domain_security
+    regression_summary chi_square_provider guess_domains filter_pool page_email_domains contact_links latest_observation
 """.split()
 
 
