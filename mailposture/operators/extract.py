@@ -227,7 +227,8 @@ def site_redirects(counted: DataFrame) -> DataFrame:
 
 
 def usable_pages(page_fetch: DataFrame) -> DataFrame:
-    """Pages whose content counts: no error pages other than HTML."""
+    """Pages whose content counts, without the content: no error pages other than HTML."""
+    page_fetch = page_fetch.select("site", "seq", "final_url", "status", "content_type")
     html = F.contains(F.coalesce("content_type", F.lit("")), F.lit("text/html"))
     return fetched_pages(page_fetch).filter((F.col("status") < 400) | html)
 
@@ -235,12 +236,15 @@ def usable_pages(page_fetch: DataFrame) -> DataFrame:
 def site_emails(page_fetch: DataFrame, skip: Sequence[str] = (), reserved: Sequence[str] = tuple(dims.RESERVED_DOMAINS)) -> DataFrame:
     """Distinct (site, domain) over all pages of a site.
 
-    The page that first reveals a redirect to a blocklisted host contributes nothing; later pages do.
+    The page that first reveals a redirect to a blocklisted host contributes nothing; later pages do.  Addresses are taken
+    from every fetched page where it lies; the rules of the site then select among the short (page, domain) rows.
     """
     counted = usable_pages(page_fetch)
     blocked = site_redirects(counted).filter(contains_any(F.col("redirect"), dims.REDIRECT_BLOCKLIST)).select("site", "seq")
-    rows = counted.join(blocked, ["site", "seq"], "left_anti")
-    return extract_email_domains(rows, ["site"], skip, reserved).select("site", "domain").distinct()
+    kept = counted.select("site", "seq").join(blocked, ["site", "seq"], "left_anti")
+    fetched = page_fetch.filter(F.col("status").isNotNull())
+    found = extract_email_domains(fetched, ["site", "seq"], skip, reserved).select("site", "seq", "domain").distinct()
+    return found.join(kept, ["site", "seq"], "left_semi").select("site", "domain").distinct()
 
 
 def site_status(page_fetch: DataFrame) -> DataFrame:

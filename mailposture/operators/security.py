@@ -97,25 +97,49 @@ def tls_flags(tls_logs: DataFrame) -> DataFrame:
     return tls_logs.select("host", "ip", *[flag(key).alias(name) for name, key in zip(dims.TLS_FLAGS, dims.TLS_LOG_KEYS)])
 
 
-def dane_block_ok(log: Column, mx: Column, ip: Column) -> Column:
-    """A line ``Result: DANE OK`` between the header of (mx, ip) and the next blank line.
+DANE_HEADER = r"^## Checking (\S+) (\S+) port 25$"
 
-    Without the header the search starts at the first line.
-    """
-    lines = F.split(log, "\n", -1)
-    header = F.concat(F.lit("## Checking "), mx, F.lit(" "), ip, F.lit(" port 25"))
-    start = F.greatest(F.array_position(lines, header), F.lit(1)).cast("int")
+
+def dane_block_ok(lines: Column, start: Column) -> Column:
+    """A line ``Result: DANE OK`` from line ``start`` on (1-based) up to the next blank line."""
     rest = F.slice(lines, start, F.size(lines))
     blank = F.array_position(F.transform(rest, lambda line: line.rlike(r"^\s*$")), True).cast("int")
     block = F.when(blank > 0, F.slice(rest, 1, blank - 1)).otherwise(rest)
     return F.exists(block, lambda line: F.startswith(line, F.lit("Result: DANE OK")))
 
 
+def dane_blocks(dane_logs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Verdicts in the logs: per (mx, ip) named in a header, and per mx for the lines at the start of its log.
+
+    Logs are judged where they lie; only verdicts are shuffled.
+    """
+    split = dane_logs.select(F.col("host").alias("mx"), F.split("log", "\n", -1).alias("lines"))
+
+    def verdict(line: Column, i: Column) -> Column:
+        fields = F.struct(
+            i.alias("pos"),
+            F.regexp_extract(line, DANE_HEADER, 1).alias("named"),
+            F.regexp_extract(line, DANE_HEADER, 2).alias("ip"),
+            dane_block_ok(F.col("lines"), i + 1).alias("ok"),
+        )
+        return F.when(line.rlike(DANE_HEADER), fields)
+
+    found = F.filter(F.transform("lines", verdict), lambda v: v.isNotNull())
+    named = split.select("mx", F.explode(found).alias("v")).filter(F.col("v.named") == F.col("mx"))
+    first = named.groupBy("mx", F.col("v.ip").alias("ip")).agg(F.min(F.struct("v.pos", "v.ok")).alias("first"))
+    start = split.select("mx", dane_block_ok(F.col("lines"), F.lit(1)).alias("start_ok"))
+    return first.select("mx", "ip", F.col("first.ok").alias("named_ok")), start.groupBy("mx").agg(F.bool_or("start_ok").alias("start_ok"))
+
+
 def dane_flags(addresses: DataFrame, dane_logs: DataFrame) -> DataFrame:
-    """Per distinct (mx, ip): whether the log of the MX shows DANE for it; only pairs whose MX was tested."""
+    """Per distinct (mx, ip): whether the log of the MX shows DANE for it; only pairs whose MX was tested.
+
+    Without a header for the pair, the lines at the start of the log decide.
+    """
     pairs = addresses.filter(F.col("mx").isNotNull() & F.col("ip").isNotNull()).select("mx", "ip").distinct()
-    joined = pairs.join(dane_logs.select(F.col("host").alias("mx"), "log"), "mx")
-    return joined.select("mx", "ip", dane_block_ok(F.col("log"), F.col("mx"), F.col("ip")).alias("mx_dane"))
+    named, start = dane_blocks(dane_logs)
+    rows = lookup_join(pairs.join(named, ["mx", "ip"], "left"), start, ["mx"], "inner", weigh=pairs)
+    return rows.select("mx", "ip", F.coalesce("named_ok", "start_ok").alias("mx_dane"))
 
 
 def dss_flags(dss_logs: DataFrame, strict: bool = False) -> DataFrame:
@@ -138,13 +162,12 @@ def dss_flags(dss_logs: DataFrame, strict: bool = False) -> DataFrame:
 def build_mta(addresses: DataFrame, tls_logs: DataFrame, dane_logs: DataFrame, dss_logs: DataFrame) -> DataFrame:
     """Evaluated server rows: one per address, verdicts null where a test is missing or invalid.
 
-    Logs are judged once per host or domain before they meet the addresses, so the long texts are not shuffled along.
+    Logs are judged where they lie, before anything is joined or made distinct, so the long texts are never shuffled.
     """
-    tls = tls_flags(tls_logs.dropDuplicates(["host", "ip"])).withColumnRenamed("host", "mx")
-    logs = dane_logs.dropDuplicates(["host"])
-    dane = dane_flags(addresses, logs)
-    tested = logs.select(F.col("host").alias("mx"), F.lit(True).alias("dane_tested"))
-    dss = dss_flags(dss_logs.dropDuplicates(["domain"]))
+    tls = tls_flags(tls_logs).dropDuplicates(["host", "ip"]).withColumnRenamed("host", "mx")
+    dane = dane_flags(addresses, dane_logs)
+    tested = dane_logs.select(F.col("host").alias("mx"), F.lit(True).alias("dane_tested")).distinct()
+    dss = dss_flags(dss_logs).dropDuplicates(["domain"])
     rows = lookup_join(addresses, tls.join(dane, ["mx", "ip"], "full"), ["mx", "ip"])
     rows = lookup_join(rows, tested, ["mx"], weigh=addresses)
     rows = lookup_join(rows, dss, ["domain"], weigh=addresses)

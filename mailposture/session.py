@@ -35,7 +35,7 @@ def shared_folder(spark: SparkSession) -> str:
     cluster is refused then, since a machine-local folder would be lost with its machine.
     """
     context = spark.sparkContext
-    shared = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if shared:
         return shared
     if not context.master.startswith("local"):
