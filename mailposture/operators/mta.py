@@ -153,37 +153,58 @@ def mx_count(mta: DataFrame) -> DataFrame:
     return mta.select("mx").distinct().agg(n_rows().alias("mx_total"))
 
 
+def domain_profile(mta: DataFrame, dane: DataFrame) -> DataFrame:
+    """All per-domain results of a scan run from one pass and one shuffle; valid rows are selected inside the aggregates."""
+    rows = tls_bounds(lookup_join(mta, dane, ["mx", "ip"]))
+    placed = F.col("mx").isNotNull() & F.col("ip").isNotNull()
+    valid = placed & row_valid()
+
+    def among_valid(c: Column) -> Column:
+        return F.when(valid, c)
+
+    has_dane, mx_dane = (F.coalesce(F.col(c), F.lit(False)) for c in ("has_dane", "mx_dane"))
+    return rows.groupBy("domain").agg(
+        F.bool_and(F.col("mx").isNull()).alias("no_mx"),
+        F.bool_and(F.col("mx").isNotNull() & F.col("ip").isNull()).alias("unresolved"),
+        F.bool_and(F.when(placed, row_valid())).alias("every"),
+        F.bool_or(F.when(placed, row_valid())).alias("some"),
+        F.bool_or(valid).alias("has_valid"),
+        F.min(among_valid(F.col("max_tls"))).alias("max_all"),
+        F.max(among_valid(F.col("max_tls"))).alias("max_any"),
+        F.max(among_valid(F.col("min_tls"))).alias("min_all"),
+        F.min(among_valid(F.col("min_tls"))).alias("min_any"),
+        F.bool_and(among_valid(has_dane)).alias("dane_all"),
+        F.bool_or(among_valid(has_dane)).alias("dane_any"),
+        F.bool_and(among_valid(mx_dane)).alias("dane_all_mx"),
+        F.bool_or(among_valid(mx_dane)).alias("dane_any_mx"),
+        F.min(F.struct("pos", *AUTH_FLAGS)).alias("first"),
+    )
+
+
 def run_evaluation(mta: DataFrame, dane: DataFrame) -> DataFrame:
-    """One row with all counts of a scan run: all rows for totals, valid rows for everything else."""
-    valid = valid_mta(mta)
-    modes = tls_modes(valid)
-    wide = modes.agg(
-        *[
-            F.coalesce(F.max(F.when((F.col("mode") == m) & (F.col("version") == v), F.col("n"))), F.lit(0)).alias(f"{m}_{v.lower()}")
-            for m in MODES
-            for v in dims.TLS_VERSIONS
-        ]
+    """One row with all counts of a scan run: all rows for totals, valid rows for everything else.
+
+    Three passes over the servers: per domain, per operator, distinct servers.
+    """
+    floor = dims.TLS_VERSIONS.index("TLS1_2")
+    versions = [F.count_if(F.col(m) == i).alias(f"{m}_{v.lower()}") for m in MODES for i, v in enumerate(dims.TLS_VERSIONS)]
+    domains = domain_profile(mta, dane).agg(
+        n_rows().alias("total"),
+        F.count_if("no_mx").alias("without_mx"),
+        F.count_if("unresolved").alias("no_resolvable_mx"),
+        F.count_if("every").alias("only_valid"),
+        F.count_if(F.col("some") & ~F.col("every")).alias("valid_and_invalid"),
+        F.count_if(~F.col("some")).alias("no_valid"),
+        F.count_if("has_valid").alias("valid_domains"),
+        *versions,
+        F.count_if(F.col("max_all") != F.col("max_any")).alias("mixed_max"),
+        F.count_if(F.col("min_all") != F.col("min_any")).alias("mixed_min"),
+        *[F.count_if(c).alias(c) for c in ("dane_all", "dane_any", "dane_all_mx", "dane_any_mx")],
+        F.count_if(F.col("dane_all") & (F.col("max_all") >= floor)).alias("secure_domains"),
+        *[F.count_if(F.col(f"first.{f}")).alias(f) for f in AUTH_FLAGS],
     )
-    mixed = mixed_tls(valid).agg(F.count_if("mixed_max").alias("mixed_max"), F.count_if("mixed_min").alias("mixed_min"))
-    support = dane_support(valid).agg(F.count_if("dane_all").alias("dane_all"), F.count_if("dane_any").alias("dane_any"))
-    by_mx = dane_support_mx(valid, dane).agg(F.count_if("dane_all").alias("dane_all_mx"), F.count_if("dane_any").alias("dane_any_mx"))
-    sizes = operator_sizes(valid)
+    sizes = operator_sizes(valid_mta(mta))
     operators = sizes.agg(n_rows().alias("operators"), F.coalesce(F.sum("domains"), F.lit(0)).alias("operator_domains"))
-    parts = [
-        domain_counts(mta),
-        validity_classes(mta),
-        valid.agg(F.count_distinct("domain").alias("valid_domains")),
-        wide,
-        mixed,
-        support,
-        by_mx,
-        secure_domains(valid).agg(n_rows().alias("secure_domains")),
-        domain_auth_counts(mta),
-        operators,
-        concentration(sizes).withColumnRenamed("n_leading", "operators_half"),
-        mx_count(mta),
-    ]
+    half = concentration(sizes).withColumnRenamed("n_leading", "operators_half")
     # Every part is an aggregate without keys, hence one row.
-    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)
-
-
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), [domains, operators, half, mx_count(mta)])

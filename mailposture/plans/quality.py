@@ -11,6 +11,7 @@ from mailposture.operators import stats as st
 from mailposture.plans.providers import EXPORT_SQL, export_rows, sql_any, sql_pct
 from mailposture.plans.registry import query, r6
 from mailposture.plans.security import MERGED
+from mailposture.session import store
 
 SHOWN = ["severity", "category", "country", "code", "name", "region", "domain", "message"]
 HEAD = "upper(country) AS country, code, name, region, domain"
@@ -191,7 +192,7 @@ def top_findings(t):
     SELECT *, CASE WHEN stored = '' THEN '?' WHEN stored = current THEN 'yes' ELSE 'differs' END AS match FROM x""",
 )
 def verify_mx(t):
-    return qc.verify_mx(qc.run_all_checks(*check_args(t)), t("v_provider_mx"), t("v_mx"), 10)
+    return qc.verify_mx(store(qc.run_all_checks(*check_args(t))), t("v_provider_mx"), t("v_mx"), 10)
 
 
 # --- validation ---------------------------------------------------------------------------------------------------
@@ -261,7 +262,8 @@ def header_violations(t):
 def merged_violations(t):
     merged = rp.merged_regional(t("v_provider"), t("v_security"))
     damaged = F.col("region").isin("Tirol", "Meckl.-Vorp.")
-    return qc.validate_merged(merged.withColumn("spf", F.when(damaged, F.col("sec_total") + F.col("total")).otherwise(F.col("spf"))))
+    changed = merged.withColumn("spf", F.when(damaged, F.col("sec_total") + F.col("total")).otherwise(F.col("spf")))
+    return qc.validate_merged(store(changed))
 
 
 # --- regression ---------------------------------------------------------------------------------------------------
