@@ -98,7 +98,7 @@ def links(distinct_bits: DataFrame) -> DataFrame:
     """
     spark = distinct_bits.sparkSession
     one = F.lit(1).cast("bigint")
-    flip = F.shiftleft(one, F.col("k"))
+    flip = F.call_function("shiftleft", one, F.col("k"))
     # a fixed number of partitions: the few megabytes of fingerprints become 65 times as many rows here
     dealt = distinct_bits.select("bits").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = dealt.select("bits", F.explode(F.sequence(F.lit(-1), F.lit(BITS - 1))).alias("k")).select(
@@ -109,8 +109,8 @@ def links(distinct_bits: DataFrame) -> DataFrame:
     met = sent.groupBy("place").agg(F.bit_or("flip").alias("flips"), F.max("here").alias("here"))
     met = met.filter(F.bit_count("flips") + F.col("here") >= 2)
     neighbours = F.transform(
-        F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda k: F.col("flips").bitwiseAND(F.shiftleft(one, k)) != 0),
-        lambda k: F.col("place").bitwiseXOR(F.shiftleft(one, k)),
+        F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda k: F.col("flips").bitwiseAND(F.call_function("shiftleft", one, k)) != 0),
+        lambda k: F.col("place").bitwiseXOR(F.call_function("shiftleft", one, k)),
     )
     members = met.select(F.when(F.col("here") == 1, F.concat(neighbours, F.array("place"))).otherwise(neighbours).alias("members"))
     pairs = members.select(F.array_min("members").alias("a"), F.explode("members").alias("b"))
