@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailposture.llm import byte_bpe, quality, simhash, suffix_dedup, token_counts
+from mailposture.llm import byte_bpe, language, quality, simhash, suffix_dedup, token_counts, toxicity
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -28,6 +28,22 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(language.bucket_of("doc_id", 4) != 2))
+    held_out = (language.bucket_of("doc_id", 4) == 2).alias("held_out")
+    return language.predict(docs, model).select("doc_id", held_out, "lang_pred", "score", "ambiguous")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.train_rows(table(spark, sf_dir, "labels")))
+    held_out = (language.bucket_of("doc_id", 3) == 1).alias("held_out")
+    return toxicity.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"))
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
