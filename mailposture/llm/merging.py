@@ -96,6 +96,8 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tup
         at = at[(order - np.maximum.accumulate(np.where(new_run, order, 0))) % 2 == 0]
         gone = np.zeros(len(sym), bool)
         gone[at + 1] = True
+        beside = at[:-1][(np.diff(at) == 2) & (seq[at[:-1]] == seq[at[1:]])]  # for a moment such a merge stands before a symbol that merges next
+        unsure = seq[beside[table.rank_of[table.lookup(merged[beside], sym[beside + 2])] <= low[beside]]]
         sym[at] = merged[at]
         changed = np.zeros(len(sym), bool)
         changed[at] = True
@@ -106,7 +108,7 @@ def merge_all(symbols: np.ndarray, lengths: np.ndarray, table: PairTable) -> tup
         merged[changed & ~inside] = -1
         spot = np.flatnonzero(changed & inside)
         merged[spot] = table.lookup(sym[spot], sym[spot + 1])
-        unsure = seq[spot[table.rank_of[merged[spot]] <= low[spot]]]
+        unsure = np.append(unsure, seq[spot[table.rank_of[merged[spot]] <= low[spot]]])
         if len(unsure):
             unsure = np.unique(unsure)
             for k in unsure:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailposture.llm import byte_bpe, language, quality, simhash, suffix_dedup, token_counts, toxicity
+from mailposture.llm import byte_bpe, decontamination, language, licenses, quality, simhash, suffix_dedup, token_counts, toxicity, warc_fixity
 
 RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -36,6 +36,28 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs, model).select("doc_id", held_out, "lang_pred", "score", "ambiguous")
 
 
+@query
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second replica has lost some pages and has a changed byte in others."""
+    pages = table(spark, sf_dir, "pages")
+    damaged = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("#"), F.expr("substr(html, 2)"))).otherwise(F.col("html"))
+    other = pages.filter(F.col("page_id") % 389 != 7).withColumn("html", damaged)
+    found = warc_fixity.audit(warc_fixity.leaves(pages), warc_fixity.leaves(other))
+    return found.select((F.col("volume") * warc_fixity.SLOTS + F.col("slot")).alias("page_id"), "volume", "kind", "offset", "length")
+
+
+SQL["op3_warc_fixity"] = f"""
+SELECT page_id, page_id // {warc_fixity.SLOTS} AS volume, CASE WHEN page_id % 389 = 7 THEN 'missing' ELSE 'changed' END AS kind,
+       CAST(place AS BIGINT) AS offset, CAST(len AS BIGINT) AS length
+FROM (SELECT page_id, len, html, coalesce(sum(len) OVER (PARTITION BY page_id // {warc_fixity.SLOTS} ORDER BY page_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
+      FROM (SELECT page_id, html, strlen(html) + 4 + strlen('WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:'
+                   || CAST(page_id AS VARCHAR) || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'Content-Length: '
+                   || CAST(strlen(html) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10)) AS len
+            FROM pages) r) p
+WHERE page_id % 389 = 7 OR (page_id % 97 = 5 AND substr(html, 1, 1) <> '#')
+"""
+
+
 @query
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -50,6 +72,16 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+@query
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: by source and language, fifty to a folder, the first of which is its licence file."""
+    number = F.floor(F.col("doc_id") / 50).cast("string")
+    name = F.when(F.col("doc_id") % 50 == 0, F.lit("LICENSE")).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    folder = F.when(F.col("doc_id") % 1000 == 0, F.concat_ws("/", "source", "lang")).otherwise(F.concat_ws("/", "source", "lang", number))
+    files = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("/", folder, name).alias("path"), "text")
+    return licenses.scan(files).withColumn("cosine", F.round("cosine", 6))
+
+
 @query
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
@@ -57,11 +89,16 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), digests=True)
+    cut = suffix_dedup.cut_repeats(table(spark, sf_dir, "documents"), form="sha256")
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s["stop"] - s["start"])
     return cut.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.col("kept").alias("kept_sha256"))
 
 
+@query
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(table(spark, sf_dir, "documents")).select(

@@ -449,7 +449,7 @@ def covered(texts: Run, answers: list[dict], verdicts: list[dict], length: int,
     return np.cumsum(step[:-1]) > 0
 
 
-def _cut(batches: Iterator[pa.RecordBatch], length: int, parts: int, digests: bool) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], length: int, parts: int, form: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for packed, answers, verdicts in zip(batch.column(0), batch.column(1), batch.column(2)):
             texts = unpack(packed.as_py())
@@ -464,15 +464,19 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int, parts: int, digests: bo
             bounds = np.searchsorted(begins, texts.offsets).astype(np.int32)
             base = texts.offsets[np.searchsorted(texts.offsets, begins, "right") - 1]
             spans = pa.StructArray.from_arrays([pa.array(begins - base), pa.array(stops - base)], ["start", "stop"])
-            body = pa.array([hashlib.sha256(b).hexdigest() for b in bodies]) if digests else pa.array(bodies, pa.binary())
+            if form == "bytes":
+                body = pa.array(bodies, pa.binary())
+            else:
+                body = pa.array([hashlib.sha256(b).hexdigest() if form == "sha256" else b.decode("utf-8", "ignore") for b in bodies], pa.string())
             columns = [texts.rows.column(0), pa.array(np.diff(texts.offsets)), pa.ListArray.from_arrays(pa.array(bounds), spans), body, *texts.rows.columns[2:]]
             yield pa.RecordBatch.from_arrays(columns, [f"c{k}" for k in range(len(columns))])
 
 
-def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = (), digests: bool = False, run_bytes: int = RUN_BYTES) -> DataFrame:
+def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, carry: tuple[str, ...] = (), form: str = "bytes", run_bytes: int = RUN_BYTES) -> DataFrame:
     """(id, n_bytes, spans array<struct<start, stop>>, kept, carried columns) for every row of ``df``.
 
-    ``spans`` are the maximal runs of removed bytes, ``kept`` the remaining bytes end to end (binary; with ``digests`` their SHA-256 in hex).  A byte is removed if a string of
+    ``spans`` are the maximal runs of removed bytes, ``kept`` the remaining bytes end to end: with ``form`` "bytes" as they are,
+    with "sha256" their digest in hex, with "text" as text without characters that were cut through.  A byte is removed if a string of
     ``length`` bytes that covers it also starts in a document with a smaller id; strings are judged on the input and never cross documents.
 
     Null counts as an empty text.  Rows without an id are neither cut nor a reason to cut.  Rows with one id don't cut each other.  Texts shorter than
@@ -492,8 +496,8 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     verdicts = store(_by_run(sent.groupBy("part").applyInArrow(lambda g: _merged(g, length), BITS), "verdicts"))
     answered = runs.join(shared.join(verdicts, "run", "left").hint("shuffle_hash"), "run", "left").select("packed", "answers", "verdicts")
     kinds = [df.schema[c].dataType.simpleString() for c in carry]
-    schema = ", ".join(["c0 bigint", "c1 bigint", "c2 array<struct<start: bigint, stop: bigint>>", f"c3 {'string' if digests else 'binary'}", *[f"c{k + 4} {t}" for k, t in enumerate(kinds)]])
-    return answered.mapInArrow(lambda b: _cut(b, length, parts, digests), schema).toDF(id_col, "n_bytes", "spans", "kept", *carry)
+    schema = ", ".join(["c0 bigint", "c1 bigint", "c2 array<struct<start: bigint, stop: bigint>>", f"c3 {'binary' if form == 'bytes' else 'string'}", *[f"c{k + 4} {t}" for k, t in enumerate(kinds)]])
+    return answered.mapInArrow(lambda b: _cut(b, length, parts, form), schema).toDF(id_col, "n_bytes", "spans", "kept", *carry)
 
 
 def _by_run(bits: DataFrame, name: str) -> DataFrame:

@@ -50,7 +50,7 @@ STEMS = range(3, 9)
 #: Score from which a text counts as toxic.
 REJECT = 0.7
 
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 100_000
 
 _SPACED = re.compile(r"(?<!\S)(?:\S[^\S\n]){3,}\S(?!\S)")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…–—¡¿"
@@ -306,6 +306,20 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
     return summed.select(F.col("id").alias(id_col), value.alias("score"))
 
 
+def _kept(batches: Iterator[pa.RecordBatch], model: ToxicityModel, at: int, reject: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        text = batch.column(at)
+        scored = next(_sums(iter([pa.RecordBatch.from_arrays([text, text], ["id", "text"])]), model))
+        odds = model.bias + model.slope * scored.column(1).to_numpy()
+        yield batch.filter(pa.array(1 / (1 + np.exp(-odds)) < reject))
+
+
+def keep_clean(df: DataFrame, model: ToxicityModel, text_col: str = "text", reject: float = REJECT) -> DataFrame:
+    """Rows of ``df`` with a score below ``reject``, with all columns, filtered where they are read."""
+    at = df.columns.index(text_col)
+    return df.mapInArrow(lambda b: _kept(b, model, at, reject), df.schema)
+
+
 def train_rows(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Labels that may be learnt from: the remaining third is held out."""
     return labels.filter(bucket_of(id_col, 3) != 1)
