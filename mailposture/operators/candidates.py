@@ -210,6 +210,10 @@ def guess_domains(entity: DataFrame) -> DataFrame:
     return rows.select(*ENTITY, F.posexplode(guesses).alias("pos", "domain"))
 
 
+#: Guesses stand behind all other candidates, those of government names before the rest; positions count rows and never reach these numbers.
+GOVERNMENT_GUESS, OTHER_GUESS = 1 << 60, 1 << 61
+
+
 def _as_guess(rows: DataFrame, offset: int) -> DataFrame:
     return rows.select(
         *ENTITY, (F.col("pos") + offset).cast("bigint").alias("pos"), "domain", F.lit("guess").alias("source"), F.lit(False).alias("is_email_domain")
@@ -220,7 +224,7 @@ def add_guesses(entity: DataFrame, candidates: DataFrame) -> DataFrame:
     """Guesses for entities that have neither an override nor any candidate other than a guess."""
     real = candidates.filter(F.col("source") != "guess").select(*ENTITY).distinct()
     open_ = entity.filter(F.col("override_domain").isNull()).join(real, ENTITY, "left_anti")
-    return candidates.unionByName(_as_guess(guess_domains(open_), 1_000_000))
+    return candidates.unionByName(_as_guess(guess_domains(open_), OTHER_GUESS))
 
 
 def gov_guesses(entity: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -228,7 +232,7 @@ def gov_guesses(entity: DataFrame, candidates: DataFrame) -> DataFrame:
     open_ = entity.filter((F.col("name") != "") & F.col("override_domain").isNull())
     rows = open_.select(*ENTITY, F.posexplode(slug_set(F.col("name"), "at")).alias("pos", "slug"))
     rows = rows.withColumn("domain", F.concat("slug", F.lit(".gv.at"))).drop("slug")
-    return _as_guess(rows.join(candidates.select(*ENTITY, "domain"), [*ENTITY, "domain"], "left_anti"), 500_000)
+    return _as_guess(rows.join(candidates.select(*ENTITY, "domain"), [*ENTITY, "domain"], "left_anti"), GOVERNMENT_GUESS)
 
 
 # --- reports over sources -----------------------------------------------------------------------------------------
@@ -294,7 +298,8 @@ def content_flags(domains: DataFrame, http: DataFrame, pages: DataFrame) -> Data
 
     Pages are classified where they lie; only the flag is joined.
     """
-    flags = pages.select("domain", classify_homepage(F.col("html")).alias("flag"))
+    # One page for each domain: of several the first flag by name counts.
+    flags = pages.select("domain", classify_homepage(F.col("html")).alias("flag")).groupBy("domain").agg(F.min("flag").alias("flag"))
     up = http.filter("accessible").select("domain").join(domains.select("domain").distinct(), "domain", "left_semi")
     return up.join(flags, "domain", "left").select("domain", F.coalesce("flag", F.lit("no_municipality_keywords")).alias("flag"))
 

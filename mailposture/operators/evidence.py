@@ -43,13 +43,14 @@ def _matching(text: Column, patterns: dict[str, list[str]]) -> Column:
     return F.filter(F.array(*tests), lambda m: m.isNotNull())
 
 
-def _evidence(df: DataFrame, kind: str, provider: Column, detail: Column, raw: Column, skey: Column, pos: Column) -> DataFrame:
+def _evidence(df: DataFrame, kind: str, provider: Column, detail: Column, raw: Column, skey: Column, *pos: Column) -> DataFrame:
+    """``pos`` are order keys from high to low; they are compared one after the other, so none has to leave room for another."""
     return df.select(
         "domain",
         F.lit(kind).alias("kind"),
         F.lit(dims.KINDS.index(kind)).alias("kind_ord"),
         skey.alias("skey"),
-        pos.cast("bigint").alias("pos"),
+        F.array(*[p.cast("bigint") for p in pos]).alias("pos"),
         provider.alias("provider"),
         F.lit(dims.WEIGHTS[kind]).alias("weight"),
         detail.alias("detail"),
@@ -103,8 +104,7 @@ def ev_spf(spf: DataFrame) -> DataFrame:
     tokens = spf_tokens(spf, "spf").filter(F.lower("token").startswith("include:"))
     rows = _match_rows(tokens.withColumn("target", after_colon(F.col("token"))), F.col("target"), dims.SPF_INCLUDES)
     detail = F.concat(F.lit("SPF include:"), F.col("target"), F.lit(" matches "), F.col("m.provider"))
-    pos = F.col("token_pos") * 10 + F.col("m.sig")
-    return _evidence(rows, "spf", F.col("m.provider"), detail, F.col("spf"), no_text(), pos)
+    return _evidence(rows, "spf", F.col("m.provider"), detail, F.col("spf"), no_text(), F.col("token_pos"), F.col("m.sig"))
 
 
 def ev_dkim(dns_cname: DataFrame) -> DataFrame:
@@ -126,8 +126,7 @@ def ev_dkim(dns_cname: DataFrame) -> DataFrame:
         .withColumn("target", target)
     )
     detail = F.concat(F.lit("DKIM "), F.col("qname"), F.lit(" CNAME → "), F.col("target"))
-    pos = F.col("m.sig") * 1000 + F.col("pos")
-    return _evidence(rows, "dkim", F.col("m.provider"), detail, F.col("target"), no_text(), pos)
+    return _evidence(rows, "dkim", F.col("m.provider"), detail, F.col("target"), no_text(), F.col("m.sig"), F.col("pos"))
 
 
 def ev_dmarc(dns_txt: DataFrame) -> DataFrame:
@@ -135,13 +134,13 @@ def ev_dmarc(dns_txt: DataFrame) -> DataFrame:
     rows = dns_txt.filter(F.startswith("qname", F.lit("_dmarc."))).withColumn("domain", F.substring("qname", 8, 1 << 30))
     rows = _match_rows(rows, F.col("txt"), dims.DMARC_PATTERNS)
     detail = F.concat(F.lit("DMARC record matches "), F.col("m.provider"))
-    return _evidence(rows, "dmarc", F.col("m.provider"), detail, F.col("txt"), no_text(), F.col("pos") * 10 + F.col("m.sig"))
+    return _evidence(rows, "dmarc", F.col("m.provider"), detail, F.col("txt"), no_text(), F.col("pos"), F.col("m.sig"))
 
 
 def ev_autodiscover(dns_cname: DataFrame, dns_srv: DataFrame) -> DataFrame:
     """Autodiscover aliases and service records."""
 
-    def part(records: DataFrame, prefix: str, label: str, offset: int) -> DataFrame:
+    def part(records: DataFrame, prefix: str, label: str, order: int) -> DataFrame:
         rows = (
             records.filter(F.startswith("qname", F.lit(prefix)))
             .withColumn("domain", F.substring("qname", len(prefix) + 1, 1 << 30))
@@ -149,11 +148,10 @@ def ev_autodiscover(dns_cname: DataFrame, dns_srv: DataFrame) -> DataFrame:
         )
         rows = _match_rows(rows, F.col("target"), dims.AUTODISCOVER_PATTERNS)
         detail = F.concat(F.lit(f"autodiscover {label} → "), F.col("target"))
-        pos = F.lit(offset) + F.col("pos") * 10 + F.col("m.sig")
-        return _evidence(rows, "autodiscover", F.col("m.provider"), detail, F.col("target"), no_text(), pos)
+        return _evidence(rows, "autodiscover", F.col("m.provider"), detail, F.col("target"), no_text(), F.lit(order), F.col("pos"), F.col("m.sig"))
 
     return part(dns_cname, "autodiscover.", "CNAME", 0).unionByName(
-        part(dns_srv, "_autodiscover._tcp.", "SRV", 1_000_000)
+        part(dns_srv, "_autodiscover._tcp.", "SRV", 1)
     )
 
 
@@ -161,9 +159,10 @@ def cname_ends(hosts: DataFrame, dns_cname: DataFrame, max_hops: int = 10) -> Da
     """End of the alias chain of every host (first answer of each name, at most ``max_hops``).
 
     The frontier holds only hosts whose chain goes on, so it shrinks from hop to hop and the loop ends when it is
-    empty.  Each hop is written: the plan stays short and a lost executor costs one hop.
+    empty.  Each hop is written: the plan stays short and a lost executor costs one hop.  The answers are
+    reduced and written once for all hops.
     """
-    answers = (
+    answers = store(
         dns_cname.groupBy(F.lower("qname").alias("current"))
         .agg(F.min(F.struct("pos", "target")).alias("first"))
         .select("current", host_name(F.col("first.target")).alias("next"))
@@ -256,7 +255,7 @@ def ev_asn(dns_mx: DataFrame, dns_a: DataFrame, asn_obs: DataFrame, country: Col
     )
     detail = F.concat(F.lit("ASN "), F.col("asn"), F.col("m.suffix"))
     return _evidence(
-        rows, "asn", F.col("m.provider"), detail, F.col("asn").cast("string"), F.col("host"), F.col("apos") * 10 + F.col("m.sig")
+        rows, "asn", F.col("m.provider"), detail, F.col("asn").cast("string"), F.col("host"), F.col("apos"), F.col("m.sig")
     )
 
 
@@ -272,7 +271,9 @@ def ev_txt(dns_txt: DataFrame) -> DataFrame:
         F.concat(F.lit("TXT verification matches "), F.col("m.provider")),
         F.col("txt"),
         no_text(),
-        F.col("pos") * 10 + F.col("m.sig"),
+        F.lit(0),
+        F.col("pos"),
+        F.col("m.sig"),
     )
     ses = dns_txt.filter(F.startswith("qname", F.lit("_amazonses.")) & (F.col("txt") != "")).withColumn(
         "domain", F.substring("qname", 12, 1 << 30)
@@ -284,7 +285,8 @@ def ev_txt(dns_txt: DataFrame) -> DataFrame:
         F.lit("AWS SES domain verification found"),
         F.col("txt"),
         no_text(),
-        F.lit(1_000_000) + F.col("pos"),
+        F.lit(1),
+        F.col("pos"),
     )
     return own.unionByName(ses)
 
@@ -319,8 +321,8 @@ def ev_spf_ip(dns_txt: DataFrame, dns_a: DataFrame, asn_obs: DataFrame, country:
     )
     detail = F.concat(F.lit("SPF ip4/a ASN "), F.col("asn"), F.col("m.suffix"))
     raw = F.concat(F.col("ip"), F.lit(":"), F.col("asn"))
-    pos = F.col("pos") * 10_000_000 + F.col("token_pos") * 10_000 + F.col("apos") * 10 + F.col("m.sig")
-    return _evidence(rows, "spf_ip", F.col("m.provider"), detail, raw, no_text(), pos)
+    order = [F.col(c) for c in ("pos", "token_pos", "apos", "m.sig")]
+    return _evidence(rows, "spf_ip", F.col("m.provider"), detail, raw, no_text(), *order)
 
 
 def gateway_of(host: Column) -> Column:
@@ -333,12 +335,9 @@ def gateway_of(host: Column) -> Column:
 def detect_gateway(dns_mx: DataFrame) -> DataFrame:
     """Gateway of the first host, in sorted order, that belongs to one."""
     rows = dns_mx.select("domain", host_name(F.col("host")).alias("host")).withColumn("gateway", gateway_of(F.col("host")))
-    return (
-        rows.filter(F.col("gateway").isNotNull())
-        .groupBy("domain")
-        .agg(F.min(F.struct("host", "gateway")).alias("first"))
-        .select("domain", F.col("first.gateway").alias("gateway"))
-    )
+    # No filter before the aggregate: it would be pushed below the projection and evaluate the cascade a second time.
+    first = F.min(F.when(F.col("gateway").isNotNull(), F.struct("host", "gateway"))).alias("first")
+    return rows.groupBy("domain").agg(first).filter(F.col("first").isNotNull()).select("domain", F.col("first.gateway").alias("gateway"))
 
 
 def mx_profile(dns_mx: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ from mailposture.functions.text import contains_any, first_match
 from mailposture.operators.classify import BIT
 from mailposture.operators.evidence import host_name
 from mailposture.operators.reports import ENTITY, kind_bit, n_rows, pct, true
-from mailposture.skew import top_per_group
+from mailposture.skew import semi_join, top_per_group
 
 FINDING = ["severity", "category", "country", "code", "name", "region", "domain", "message", "details"]
 SIGNATURE_NAME = {"microsoft": "ms365", "google": "google", "aws": "aws"}
@@ -162,7 +162,7 @@ def domains_with_spf(dns_txt: DataFrame) -> DataFrame:
 def check_scan_spf(security: DataFrame, dns_txt_now: DataFrame) -> DataFrame:
     """The scan found no SPF, a later observation has it."""
     rows = security.filter(true("scan_valid") & (text("domain") != "") & ~true("has_spf"))
-    rows = rows.join(domains_with_spf(dns_txt_now), "domain", "left_semi")
+    rows = semi_join(rows, domains_with_spf(dns_txt_now), ["domain"])
     return finding(rows, "scan_spf_mismatch", "ERROR", "scan says no SPF but DNS has SPF record", scan_has_spf="false", dns_has_spf="true")
 
 
@@ -224,7 +224,7 @@ def check_expected_security(providers: DataFrame, security: DataFrame, dns_txt_n
     """Microsoft entities without SPF in a valid scan, unless a later observation has it."""
     scans = security.filter(true("scan_valid") & ~true("has_spf")).select(*ENTITY)
     rows = providers.filter(F.col("provider") == "microsoft").join(scans, ENTITY, "left_semi")
-    rows = rows.join(domains_with_spf(dns_txt_now), "domain", "left_anti")
+    rows = semi_join(rows, domains_with_spf(dns_txt_now), ["domain"], anti=True)
     return finding(rows, "expected_security_missing", "WARNING", "provider=microsoft but no SPF (verified with DNS)", provider="microsoft")
 
 

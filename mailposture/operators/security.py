@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mailposture import dims
 from mailposture.functions.text import normalize_code, to_bool
 from mailposture.operators.reports import n_rows, true
-from mailposture.skew import lookup_join
+from mailposture.skew import lookup_join, semi_join
 
 AUTH_FLAGS = ["has_spf", "has_good_spf", "has_dmarc", "has_good_dmarc", "has_dkim"]
 DANE_FLAGS = ["dane_supported", "dane_partial"]
@@ -43,7 +43,9 @@ def parse_dig_logs(logs: DataFrame) -> DataFrame:
 
 def domain_mx(domains: DataFrame, mx_obs: DataFrame) -> DataFrame:
     """Every MX answer of every domain ``(domain, mx, ad)``; a domain without answers stays with nulls."""
-    return domains.select("domain").distinct().join(mx_obs.select("domain", "mx", "ad").distinct(), "domain", "left")
+    answers = semi_join(mx_obs.select("domain", "mx", "ad").distinct(), domains, ["domain"])
+    silent = domains.select("domain").distinct().join(answers.select("domain").distinct(), "domain", "left_anti")
+    return answers.unionByName(silent, allowMissingColumns=True)
 
 
 def scan_addresses(domain_mx: DataFrame, a_obs: DataFrame) -> DataFrame:
@@ -94,52 +96,67 @@ def tls_flags(tls_logs: DataFrame) -> DataFrame:
     def flag(key: str) -> Column:
         return F.when(offered, F.coalesce(F.contains(protocols, F.lit(f"{key}:yes")), F.lit(False))).when(no_starttls, F.lit(False))
 
-    return tls_logs.select("host", "ip", *[flag(key).alias(name) for name, key in zip(dims.TLS_FLAGS, dims.TLS_LOG_KEYS)])
+    return tls_logs.select("host", "ip", *position(tls_logs), *[flag(key).alias(name) for name, key in zip(dims.TLS_FLAGS, dims.TLS_LOG_KEYS)])
 
 
 DANE_HEADER = r"^## Checking (\S+) (\S+) port 25$"
 
 
-def dane_block_ok(lines: Column, start: Column) -> Column:
-    """A line ``Result: DANE OK`` from line ``start`` on (1-based) up to the next blank line."""
-    rest = F.slice(lines, start, F.size(lines))
-    blank = F.array_position(F.transform(rest, lambda line: line.rlike(r"^\s*$")), True).cast("int")
-    block = F.when(blank > 0, F.slice(rest, 1, blank - 1)).otherwise(rest)
-    return F.exists(block, lambda line: F.startswith(line, F.lit("Result: DANE OK")))
+DANE_OK = "Result: DANE OK"
+
+
+def position(logs: DataFrame) -> list[str]:
+    """The column that orders the logs of one target, where there is one."""
+    return ["pos"] if "pos" in logs.columns else []
+
+
+def first_of(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The first row by ``pos`` of every key; without ``pos`` the least row, so that the choice does not depend on the order of arrival."""
+    rest = [c for c in rows.columns if c not in (*keys, "pos")]
+    least = F.min(F.struct(*position(rows), *rest)).alias("first")
+    return rows.groupBy(*keys).agg(least).select(*keys, *[F.col(f"first.{c}").alias(c) for c in rest])
 
 
 def dane_blocks(dane_logs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Verdicts in the logs: per (mx, ip) named in a header, and per mx for the lines at the start of its log.
 
-    Logs are judged where they lie; only verdicts are shuffled.
+    A log is cut once at its blank lines.  A header is followed by success if such a line comes after it in the same part, so a part is
+    read once however many headers it has.  Logs are judged where they lie; only verdicts are shuffled.  ``log`` is the log's position.
     """
-    split = dane_logs.select(F.col("host").alias("mx"), F.split("log", "\n", -1).alias("lines"))
+    parts = F.split(F.regexp_replace("log", r"(?md)^[ \t\r\f\x0B]*$", "\u0001"), "\u0001")
+    at = F.col("pos") if position(dane_logs) else F.lit(0)
+    logs = dane_logs.select(F.col("host").alias("mx"), at.cast("bigint").alias("log"), F.posexplode(parts).alias("part", "text"))
+    lines = logs.select("mx", "log", "part", F.split("text", "\n", -1).alias("lines"))
+    success = F.transform("lines", lambda line, i: F.when(F.startswith(line, F.lit(DANE_OK)), i))
+    lines = lines.withColumn("success", F.array_max(success))
 
     def verdict(line: Column, i: Column) -> Column:
         fields = F.struct(
             i.alias("pos"),
             F.regexp_extract(line, DANE_HEADER, 1).alias("named"),
             F.regexp_extract(line, DANE_HEADER, 2).alias("ip"),
-            dane_block_ok(F.col("lines"), i + 1).alias("ok"),
+            F.coalesce(F.col("success") > i, F.lit(False)).alias("ok"),
         )
         return F.when(line.rlike(DANE_HEADER), fields)
 
     found = F.filter(F.transform("lines", verdict), lambda v: v.isNotNull())
-    named = split.select("mx", F.explode(found).alias("v")).filter(F.col("v.named") == F.col("mx"))
-    first = named.groupBy("mx", F.col("v.ip").alias("ip")).agg(F.min(F.struct("v.pos", "v.ok")).alias("first"))
-    start = split.select("mx", dane_block_ok(F.col("lines"), F.lit(1)).alias("start_ok"))
-    return first.select("mx", "ip", F.col("first.ok").alias("named_ok")), start.groupBy("mx").agg(F.bool_or("start_ok").alias("start_ok"))
+    named = lines.select("mx", "log", "part", F.explode(found).alias("v")).filter(F.col("v.named") == F.col("mx"))
+    first = named.groupBy("mx", F.col("v.ip").alias("ip")).agg(F.min(F.struct("log", "part", "v.pos", "v.ok")).alias("first"))
+    start = lines.filter(F.col("part") == 0).select("mx", "log", F.col("success").isNotNull().alias("start_ok"))
+    start = start.groupBy("mx").agg(F.min("log").alias("first_log"), F.max_by("start_ok", F.struct(-F.col("log"), "start_ok")).alias("start_ok"))
+    return first.select("mx", "ip", F.col("first.log").alias("log"), F.col("first.ok").alias("named_ok")), start
 
 
 def dane_flags(addresses: DataFrame, dane_logs: DataFrame) -> DataFrame:
-    """Per distinct (mx, ip): whether the log of the MX shows DANE for it; only pairs whose MX was tested.
+    """Per distinct (mx, ip): whether the first log of the MX shows DANE for it; only pairs whose MX was tested.
 
     Without a header for the pair, the lines at the start of the log decide.
     """
     pairs = addresses.filter(F.col("mx").isNotNull() & F.col("ip").isNotNull()).select("mx", "ip").distinct()
     named, start = dane_blocks(dane_logs)
     rows = lookup_join(pairs.join(named, ["mx", "ip"], "left"), start, ["mx"], "inner", weigh=pairs)
-    return rows.select("mx", "ip", F.coalesce("named_ok", "start_ok").alias("mx_dane"))
+    in_first = F.when(F.col("log") == F.col("first_log"), F.col("named_ok"))
+    return rows.select("mx", "ip", F.coalesce(in_first, "start_ok").alias("mx_dane"))
 
 
 def dss_flags(dss_logs: DataFrame, strict: bool = False) -> DataFrame:
@@ -151,6 +168,7 @@ def dss_flags(dss_logs: DataFrame, strict: bool = False) -> DataFrame:
     reject = dmarc.rlike(r"(^|[;\s:])p\s*=\s*reject\b") if strict else F.contains(dmarc, F.lit("p=reject"))
     return dss_logs.select(
         "domain",
+        *position(dss_logs),
         dmarc.isNotNull().alias("has_dmarc"),
         F.coalesce(reject, F.lit(False)).alias("has_good_dmarc"),
         spf.isNotNull().alias("has_spf"),
@@ -162,12 +180,13 @@ def dss_flags(dss_logs: DataFrame, strict: bool = False) -> DataFrame:
 def build_mta(addresses: DataFrame, tls_logs: DataFrame, dane_logs: DataFrame, dss_logs: DataFrame) -> DataFrame:
     """Evaluated server rows: one per address, verdicts null where a test is missing or invalid.
 
-    Logs are judged where they lie, before anything is joined or made distinct, so the long texts are never shuffled.
+    Logs are judged where they lie, before anything is joined or made distinct, so the long texts are never shuffled.  Of several logs
+    of one target the first by ``pos`` counts.
     """
-    tls = tls_flags(tls_logs).dropDuplicates(["host", "ip"]).withColumnRenamed("host", "mx")
+    tls = first_of(tls_flags(tls_logs), ["host", "ip"]).withColumnRenamed("host", "mx")
     dane = dane_flags(addresses, dane_logs)
     tested = dane_logs.select(F.col("host").alias("mx"), F.lit(True).alias("dane_tested")).distinct()
-    dss = dss_flags(dss_logs).dropDuplicates(["domain"])
+    dss = first_of(dss_flags(dss_logs), ["domain"])
     rows = lookup_join(addresses, tls.join(dane, ["mx", "ip"], "full"), ["mx", "ip"])
     rows = lookup_join(rows, tested, ["mx"], weigh=addresses)
     rows = lookup_join(rows, dss, ["domain"], weigh=addresses)
@@ -247,18 +266,27 @@ SOURCE_FIELDS = {
 
 
 def keyed_flat(flat: DataFrame, width: int | None) -> DataFrame:
-    """Flat result rows with a text code and boolean flags; flags arrive as text."""
-    return flat.select(
+    """Flat result rows ``(country, code, …)`` with a text code and boolean flags; flags arrive as text.
+
+    A result is that of one country, named in the column ``country``.  Of several rows with one code the last by ``pos`` counts.
+    """
+    order = F.col("pos").cast("bigint") if position(flat) else F.lit(0).cast("bigint")
+    rows = flat.select(
+        "country",
+        order.alias("pos"),
         normalize_code(F.col("code"), width).alias("code"),
         F.when(~F.col("mxrecordName").isin("", "0"), F.col("mxrecordName")).alias("mx"),
         F.col("emails").alias("flat_domain"),
         *[to_bool(F.col(src)).alias(f"f_{dst}") for src, dst in SOURCE_FIELDS.items()],
     )
+    rest = [c for c in rows.columns if c not in ("country", "code", "pos")]
+    last = rows.groupBy("country", "code").agg(F.max(F.struct("pos", *rest)).alias("last"))
+    return last.select("country", "code", *[F.col(f"last.{c}").alias(c) for c in rest])
 
 
 def convert_flat_result(entity: DataFrame, flat: DataFrame, width: int | None) -> DataFrame:
     """Security rows from a third-party result; entities without one are not scanned."""
-    rows = entity.join(keyed_flat(flat, width).withColumn("_found", F.lit(True)), "code", "left")
+    rows = entity.join(keyed_flat(flat, width).withColumn("_found", F.lit(True)), ["country", "code"], "left")
     found = F.coalesce("_found", F.lit(False))
     any_flag = F.col("f_has_spf") | F.col("f_has_dmarc") | F.col("f_dane_supported")
     domain = F.when(F.coalesce("domain", F.lit("")) == "", F.coalesce("flat_domain", F.lit(""))).otherwise(F.col("domain"))
@@ -276,7 +304,7 @@ def convert_flat_result(entity: DataFrame, flat: DataFrame, width: int | None) -
 
 def merge_dane(security: DataFrame, flat: DataFrame, width: int | None) -> DataFrame:
     """Replace only the DANE flags by those of a third-party result; ``changed`` marks rows with a new value."""
-    rows = security.join(keyed_flat(flat, width).select("code", F.col("f_dane_supported").alias("_new")), "code", "left")
+    rows = security.join(keyed_flat(flat, width).select("country", "code", F.col("f_dane_supported").alias("_new")), ["country", "code"], "left")
     old = F.coalesce("dane_supported", F.lit(False))
     return (
         rows.withColumn("changed", F.coalesce(old != F.col("_new"), F.lit(False)))
@@ -288,7 +316,7 @@ def merge_dane(security: DataFrame, flat: DataFrame, width: int | None) -> DataF
 
 def verify_conversion(flat: DataFrame, security: DataFrame, width: int | None) -> DataFrame:
     """Differences between a third-party result and security rows, field by field, and codes without a row."""
-    rows = keyed_flat(flat, width).join(security.withColumn("_found", F.lit(True)), "code", "left")
+    rows = keyed_flat(flat, width).join(security.withColumn("_found", F.lit(True)), ["country", "code"], "left")
     missing = F.struct(F.lit("row").alias("field"), F.lit("missing from output").alias("problem"))
     items = [F.when(F.col("_found").isNull(), missing)]
     for field, column in SOURCE_FIELDS.items():
@@ -296,4 +324,4 @@ def verify_conversion(flat: DataFrame, security: DataFrame, width: int | None) -
         text = F.concat(F.lit("source "), want.cast("string"), F.lit(", output "), got.cast("string"))
         items.append(F.when(F.col("_found") & (want != got), F.struct(F.lit(field).alias("field"), text.alias("problem"))))
     problems = F.filter(F.array(*items), lambda x: x.isNotNull())
-    return rows.select("code", F.explode(problems).alias("p")).select("code", "p.field", "p.problem")
+    return rows.select("country", "code", F.explode(problems).alias("p")).select("country", "code", "p.field", "p.problem")

@@ -12,7 +12,7 @@ from mailposture.operators import domains as dm
 from mailposture.operators import quality as qc
 from mailposture.plans.providers import sql_any
 from mailposture.plans.registry import query, r6
-from mailposture.session import spread, store
+from mailposture.session import store
 from mailposture.sources import observations as ob
 from mailposture.sources import registries as rg
 from mailposture.sources import sinks
@@ -327,7 +327,7 @@ SQL_GUESS = "CASE country " + " ".join(f"WHEN '{cc}' THEN {sql_guess(cc)}" for c
 
 @query("guess_domains", f"SELECT country, code, unnest({SQL_GUESS}) AS domain FROM v_entity")
 def guess_domains(t):
-    return cd.guess_domains(spread(t("v_entity"))).drop("pos")
+    return cd.guess_domains(t("v_entity")).drop("pos")
 
 
 @query(
@@ -533,7 +533,7 @@ SQL_POOLS = f"""{SQL_BLOCK}, {SQL_ENT},
 def entities(t):
     """Entities with their slugs as a written table: names are sliced once for all filters and orders."""
     if "entities" not in t.shared:
-        t.shared["entities"] = store(cd.with_slugs(spread(t("v_resolve"))))
+        t.shared["entities"] = store(cd.with_slugs(t("v_resolve")))
     return t.shared["entities"]
 
 

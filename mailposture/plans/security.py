@@ -175,9 +175,14 @@ def security_counts(t):
 
 
 def flat_result(t):
-    """Third-party rows with localised booleans, one per order and some codes of their own."""
+    """Third-party rows with localised booleans, one per entity: some codes of their own, some sent twice, some also in another country."""
+    one = t("v_entity").select("country", "k", "c", (F.col("k") * 2).alias("pos"))
+    again = one.filter("k % 13 = 0").select("country", "k", (F.col("c") + 1).alias("c"), (F.col("pos") + 1).alias("pos"))
+    abroad = one.filter("k % 17 = 0").select(F.lit("li").alias("country"), "k", (F.col("c") + 2).alias("c"), "pos")
     k, c = F.col("k"), F.col("c")
-    return t("v_order").select(
+    return one.unionByName(again).unionByName(abroad).select(
+        "country",
+        "pos",
         F.when(k % 19 == 0, k + 90000000).otherwise(k).alias("code"),
         F.when(c % 4 == 0, "0").when(c % 4 == 1, F.lit(None)).otherwise(F.concat(F.lit("mx"), c)).alias("mxrecordName"),
         F.concat(F.lit("f"), k, F.lit(".de")).alias("emails"),
@@ -189,15 +194,16 @@ def flat_result(t):
     )
 
 
-SQL_FLAT = """flat AS (SELECT lpad(CAST(CASE WHEN k % 19 = 0 THEN k + 90000000 ELSE k END AS STRING), 8, '0') AS code, CASE WHEN c % 4 > 1 THEN 'mx' || c END AS mx, 'f' || k || '.de' AS fd,
-    c % 3 = 0 AS dane, k % 5 <> 1 AS spf, k % 7 = 0 AS gspf, k % 2 <> 0 AS dmarc, false AS gdmarc FROM v_order)"""
+SQL_FLAT = """sent AS (SELECT country, k, c, k * 2 AS pos FROM v_entity UNION ALL SELECT country, k, c + 1, k * 2 + 1 FROM v_entity WHERE k % 13 = 0 UNION ALL SELECT 'li', k, c + 2, k * 2 FROM v_entity WHERE k % 17 = 0),
+  flat AS (SELECT country, lpad(CAST(CASE WHEN k % 19 = 0 THEN k + 90000000 ELSE k END AS STRING), 8, '0') AS code, CASE WHEN c % 4 > 1 THEN 'mx' || c END AS mx, 'f' || k || '.de' AS fd,
+    c % 3 = 0 AS dane, k % 5 <> 1 AS spf, k % 7 = 0 AS gspf, k % 2 <> 0 AS dmarc, false AS gdmarc FROM (SELECT *, row_number() OVER (PARTITION BY country, k ORDER BY pos DESC) AS rn FROM sent) z WHERE rn = 1)"""
 
 
 @query(
     "convert_flat_result",
-    f"""WITH {SQL_FLAT} SELECT country, e.code, CASE WHEN f.code IS NOT NULL AND e.domain = '' THEN fd ELSE e.domain END AS domain, coalesce(mx, '') AS mx, dane AS dane_supported, dane AS dane_partial, spf AS has_spf,
+    f"""WITH {SQL_FLAT} SELECT e.country, e.code, CASE WHEN f.code IS NOT NULL AND e.domain = '' THEN fd ELSE e.domain END AS domain, coalesce(mx, '') AS mx, dane AS dane_supported, dane AS dane_partial, spf AS has_spf,
       gspf AS has_good_spf, dmarc AS has_dmarc, gdmarc AS has_good_dmarc, CASE WHEN f.code IS NOT NULL THEN false END AS has_dkim, coalesce(mx IS NOT NULL OR spf OR dmarc OR dane, false) AS scan_valid
-    FROM v_entity e LEFT JOIN flat f ON e.code = f.code""",
+    FROM v_entity e LEFT JOIN flat f ON e.code = f.code AND e.country = f.country""",
 )
 def convert_flat_result(t):
     rows = sc.convert_flat_result(t("v_entity").select("country", "code", "domain"), flat_result(t), 8)
@@ -206,20 +212,20 @@ def convert_flat_result(t):
 
 @query(
     "merge_dane",
-    f"""WITH {SQL_FLAT} SELECT country, s.code, coalesce(dane, dane_supported) AS dane_supported, coalesce(dane, dane_partial) AS dane_partial, coalesce(dane <> coalesce(dane_supported, false), false) AS changed
-    FROM v_security s LEFT JOIN flat f ON s.code = f.code""",
+    f"""WITH {SQL_FLAT} SELECT s.country, s.code, coalesce(dane, dane_supported) AS dane_supported, coalesce(dane, dane_partial) AS dane_partial, coalesce(dane <> coalesce(dane_supported, false), false) AS changed
+    FROM v_security s LEFT JOIN flat f ON s.code = f.code AND s.country = f.country""",
 )
 def merge_dane(t):
     return sc.merge_dane(t("v_security"), flat_result(t), 8).select("country", "code", "dane_supported", "dane_partial", "changed")
 
 
 def sql_problem(field: str, want: str, got: str) -> str:
-    return f"SELECT f.code, '{field}' AS field, 'source ' || {want} || ', output ' || coalesce({got}, false) AS problem FROM flat f JOIN v_security s ON s.code = f.code WHERE {want} <> coalesce({got}, false)"
+    return f"SELECT f.country, f.code, '{field}' AS field, 'source ' || {want} || ', output ' || coalesce({got}, false) AS problem FROM flat f JOIN v_security s ON s.code = f.code AND s.country = f.country WHERE {want} <> coalesce({got}, false)"
 
 
 @query(
     "verify_conversion",
-    f"""WITH {SQL_FLAT} SELECT code, 'row' AS field, 'missing from output' AS problem FROM flat WHERE code NOT IN (SELECT code FROM v_security) UNION ALL """
+    f"""WITH {SQL_FLAT} SELECT country, code, 'row' AS field, 'missing from output' AS problem FROM flat WHERE (country || code) NOT IN (SELECT country || code FROM v_security) UNION ALL """
     + " UNION ALL ".join(
         sql_problem(f, w, g)
         for f, w, g in [

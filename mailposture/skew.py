@@ -8,19 +8,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT_SHARE = 0.01
-SALTS = 32
+def partitions(df: DataFrame) -> int:
+    """Tasks of a shuffle in this session; the cluster sizes it with its data."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], share: float = HOT_SHARE) -> DataFrame:
-    """Keys that hold more than ``share`` of the rows.
+def hot_keys(df: DataFrame, on: Sequence[str], parts: int | None = None) -> DataFrame:
+    """``(on, _n, _salts)`` of the keys that hold more rows than half of an even task, and into how many such portions each is cut.
 
-    By counting there can be at most ``1 / share`` such keys, so the result has a proven size bound and may be
-    broadcast whatever the size of ``df``.  The counts are combined before the shuffle.
+    With ``parts`` tasks an even task has 1 / parts of all rows.  By counting there can be at most ``2 * parts`` such keys, so the result has a
+    proven size bound and may be broadcast whatever the size of ``df``, and the number of portions grows with a key's share and with the number of tasks: no
+    key is too small to be left whole in one task beyond its even share, none too large.  The counts are combined before the shuffle.
     """
+    parts = parts or partitions(df)
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
     total = counts.agg(F.sum("_n").alias("_total"))
-    return counts.crossJoin(F.broadcast(total)).filter(F.col("_n") > F.col("_total") * share).select(*on)
+    portions = F.ceil(F.col("_n") * (2 * parts) / F.col("_total")).cast("int")
+    # One row on the right side.
+    shares = counts.crossJoin(F.broadcast(total)).filter(F.col("_n") * (2 * parts) > F.col("_total"))
+    return shares.select(*on, "_n", portions.alias("_salts"))
 
 
 def lookup_join(
@@ -28,35 +34,43 @@ def lookup_join(
     right: DataFrame,
     on: Sequence[str],
     how: str = "left",
-    share: float = HOT_SHARE,
-    salts: int = SALTS,
     weigh: DataFrame | None = None,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``left`` (a key may hold any share of its rows) to ``right`` (few rows per key).
 
-    Rows of hot keys, and rows without a key, are spread over ``salts`` sub-keys by a hash of their content; only the
-    right rows of hot keys are repeated.  The hash is a function of the row, so a recomputed task yields the same
+    Rows of hot keys are dealt to as many sub-keys as the key has portions (:func:`hot_keys`), rows without a key to as many as there are tasks, by a hash of
+    their content; only the right rows of hot keys are repeated.  The hash is a function of the row, so a recomputed task yields the same
     rows.  All other keys join as usual.  In a chain of lookups, pass the frame the chain started from as ``weigh``: the
-    keys are then counted there and the joins done so far are not run again for the count.
+    keys are then counted there and the joins done so far are not run again for the count.  Where several joins have one key
+    distribution, count it once and pass it as ``hot``.
     """
     on = list(on)
-    hot = F.broadcast(hot_keys(left if weigh is None else weigh, on, share).withColumn("_hot", F.lit(True)))
-    spread = F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(salts)).cast("int")
+    parts = partitions(left)
+    if hot is None:
+        hot = hot_keys(left if weigh is None else weigh, on, parts)
+    hot = F.broadcast(hot.select(*on, "_salts"))
+    content = F.xxhash64(*[F.col(c) for c in left.columns])
     no_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salted_left = (
-        left.join(hot, on, "left")
-        .withColumn("_salt", F.when(F.col("_hot") | no_key, spread).otherwise(F.lit(0)))
-        .drop("_hot")
-    )
-    every = F.sequence(F.lit(0), F.lit(salts - 1))
-    salted_right = (
-        right.join(hot, on, "left")
-        .withColumn("_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0)))))
-        .drop("_hot")
-    )
+    salts = F.when(no_key, F.lit(parts)).otherwise(F.coalesce("_salts", F.lit(1)))
+    salted_left = left.join(hot, on, "left").withColumn("_salt", F.pmod(content, salts).cast("int")).drop("_salts")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    salted_right = right.join(hot, on, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return salted_left.join(salted_right, [*on, "_salt"], how).drop("_salt")
 
 
+def semi_join(left: DataFrame, right: DataFrame, on: Sequence[str], anti: bool = False) -> DataFrame:
+    """Rows of ``left`` that have (``anti``: have not) a partner in ``right``; keys of ``left`` may hold any share of its rows.
+
+    ``right`` is made distinct first, so it has one row per key.
+    """
+    partner = right.select(*on).distinct()
+    if not anti:
+        return lookup_join(left, partner, on, "inner").select(*left.columns)
+    found = lookup_join(left, partner.withColumn("_found", F.lit(True)), on)
+    return found.filter(F.col("_found").isNull()).select(*left.columns)
+
+
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """The first ``k`` rows of every group in ``order``.
 

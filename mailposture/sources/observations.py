@@ -9,8 +9,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailposture import dims
+from mailposture.skew import semi_join
 from mailposture.sources.registries import read_json_map
 
+#: Tasks that share a day of one kind when it is written.
+WRITERS = 8
+
 
 def ttl_days(kind: Column) -> Column:
     out = F.lit(1)
@@ -20,13 +24,18 @@ def ttl_days(kind: Column) -> Column:
 
 
 def fresh(obs: DataFrame, now: Column, keys: DataFrame | None = None) -> DataFrame:
-    """Observations younger than the time to live of their kind, of all or of the given domains."""
+    """Observations younger than the time to live of their kind, of all or of the given domains.
+
+    Where the table has its partition column ``day``, the plain bound holds for it too, so old partitions are not read.
+    """
     longest = max(dims.TTL_DAYS.values())
     at = F.col("observed_at")
     # The first condition is one plain bound that reaches the files; the second is exact per kind.
     rows = obs.filter(at > F.timestamp_add("DAY", F.lit(-longest), now))
+    if "day" in obs.columns:
+        rows = rows.filter(F.col("day") >= F.to_date(F.timestamp_add("DAY", F.lit(-longest), now)))
     rows = rows.filter(at > F.timestamp_add("DAY", -ttl_days(F.col("kind")), now))
-    return rows if keys is None else rows.join(keys.select("domain").distinct(), "domain", "left_semi")
+    return rows if keys is None else semi_join(rows, keys, ["domain"])
 
 
 def latest(obs: DataFrame) -> DataFrame:
@@ -64,9 +73,12 @@ def read_obs_json(spark: SparkSession, path: str, ttl: int, now: Column) -> Data
 
 
 def write_obs(obs: DataFrame, path: str) -> None:
-    """Append observations, partitioned by kind and day.  Rows of one partition are written together."""
-    day = F.to_date("observed_at")
-    obs.withColumn("day", day).write.mode("append").partitionBy("kind", "day").parquet(path)
+    """Append observations, partitioned by kind and day.
+
+    Rows of one partition are written together, by up to ``WRITERS`` tasks, so a large day is not one task and a small one few files.
+    """
+    bucket = F.pmod(F.xxhash64("domain"), F.lit(WRITERS))
+    obs.withColumn("day", F.to_date("observed_at")).repartition("kind", "day", bucket).write.mode("append").partitionBy("kind", "day").parquet(path)
 
 
 def read_obs(spark: SparkSession, path: str) -> DataFrame:

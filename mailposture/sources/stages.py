@@ -129,7 +129,7 @@ def read_flat_result(spark: SparkSession, path: str) -> DataFrame:
     """Third-party result: a JSON array whose keys may carry a byte-order mark; all values as text."""
     text = spark.read.text(path, wholetext=True).select(F.replace("value", F.lit("﻿"), F.lit("")).alias("value"))
     entry = "struct<code:string,name:string,emails:string,mxrecordName:string,hasDane:string,hasSpf:string,hasGoodSpf:string,hasDmarc:string,hasGoodDmarc:string>"
-    return text.select(F.explode(F.from_json("value", f"array<{entry}>")).alias("e")).select("e.*")
+    return text.select(F.posexplode(F.from_json("value", f"array<{entry}>")).alias("pos", "e")).select("pos", "e.*")
 
 
 def read_scan_targets(spark: SparkSession, path: str) -> DataFrame:
@@ -149,8 +149,8 @@ def read_scan_result(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     )
     rows = spark.read.schema(schema).json(path, multiLine=True)
 
-    def part(column: str, *fields: Column) -> DataFrame:
-        return rows.select("scanTime", F.explode(column).alias("x")).select("scanTime", *fields)
+    def part(column: str, *fields: Column | str) -> DataFrame:
+        return rows.select("scanTime", F.posexplode(column).alias("pos", "x")).select("scanTime", *fields)
 
     log_column = F.col("x.consoleLog").alias("log")
     host = F.col("x.host")
@@ -158,9 +158,9 @@ def read_scan_result(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "addresses": part(
             "scanData", F.col("x.domain"), F.col("x.mxRecord").alias("mx"), F.col("x.ipAddress").alias("ip"), F.col("x.adFlagForMx").alias("ad")
         ),
-        "tls": part("testSSLResult", host, F.col("x.ip"), log_column),
-        "dane": part("daneCheckResult", host, log_column),
-        "dss": part("dssResult", F.col("x.domain"), log_column),
+        "tls": part("testSSLResult", "pos", host, F.col("x.ip"), log_column),
+        "dane": part("daneCheckResult", "pos", host, log_column),
+        "dss": part("dssResult", "pos", F.col("x.domain"), log_column),
     }
 
 
