@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -12,6 +14,9 @@ import pyarrow as pa
 #: Bytes of text that the array code of this package works on at a time.
 BLOCK_BYTES = 1 << 20
 
+#: Rows that a mapper is given at a time.
+ROWS = 1000
+
 #: A blank between two ASCII letters: every pre-tokenizer of this package starts a token there.
 _SAFE_CUT = re.compile(rb"(?<=[A-Za-z]) (?=[A-Za-z])")
 
@@ -24,6 +29,27 @@ class Block(NamedTuple):
     rows: np.ndarray
 
 
+def release() -> None:
+    """Give freed memory back to the system.  Workers live through many tasks of different operators, and what one of them freed is of no use to
+    the next if it stays with the allocator."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def tidy(mapper: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """A mapper over Arrow batches that gets them in small slices and gives its memory back at the end."""
+
+    @wraps(mapper)
+    def run(batches: Iterator[pa.RecordBatch], *args, **how) -> Iterator[pa.RecordBatch]:
+        yield from mapper((batch.slice(k, ROWS) for batch in batches for k in range(0, batch.num_rows, ROWS)), *args, **how)
+        release()
+
+    return run
+
+
 def flat(texts: pa.Array) -> tuple[memoryview, np.ndarray]:
     """UTF-8 bytes of all texts end to end, and offsets of the rows.  Null counts as empty."""
     if texts.null_count:

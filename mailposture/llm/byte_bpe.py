@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailposture.llm.arrays import SliceCache
-from mailposture.llm.blocks import flat, groups, pieces, ragged_take
+from mailposture.llm.blocks import flat, groups, pieces, ragged_take, tidy
 from mailposture.llm.merging import PairTable, merge_all
 
 LETTER, NUMBER, OTHER, QUOTE1, QUOTE2, BLANK, GAP, SPACES = range(8)
@@ -177,6 +177,7 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+@tidy
 def _encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     coder = codec(path)
     for batch in batches:
@@ -213,6 +214,7 @@ def encode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     return out.withColumnRenamed("id", id_col)
 
 
+@tidy
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     coder = codec(path)
     for batch in batches:
@@ -230,6 +232,7 @@ def decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids
     return rows.mapInArrow(lambda b: _decoded(b, path), f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
 
 
+@tidy
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     coder = codec(path)
     for batch in batches:

@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from mailposture.llm.blocks import tidy
+
 #: Tokens of the shortest tile, and of the seeds.
 MIN_MATCH = 5
 #: Coverage from which an item counts as contained.
@@ -169,6 +171,7 @@ def compare(text: str | None, block: Items, min_match: int, coverage: float) ->
             yield i, covered, len(tiles)
 
 
+@tidy
 def _compared(batches: Iterator[pa.RecordBatch], block, min_match: int, coverage: float, item_type: pa.DataType) -> Iterator[pa.RecordBatch]:
     items = block.value
     for batch in batches:
@@ -212,6 +215,7 @@ def contained(
     return out.withColumn("coverage", F.col("n_covered") / F.col("n_tokens")).withColumnsRenamed({"id": id_col, "item": item_col})
 
 
+@tidy
 def _clean(batches: Iterator[pa.RecordBatch], block: Broadcast, at: int, min_match: int, coverage: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         stay = [next(compare(text.as_py(), block.value, min_match, coverage), None) is None for text in batch.column(at)]

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailposture.llm.blocks import BLOCK_BYTES, pieces
+from mailposture.llm.blocks import BLOCK_BYTES, pieces, tidy
 
 #: Buckets of hashed n-grams.
 BUCKETS = 1 << 15
@@ -84,6 +84,7 @@ class LanguageModel:
     trust: np.ndarray
 
 
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[pa.RecordBatch]:
     number = {lang: k for k, lang in enumerate(languages)}
     total = np.zeros(len(languages) * BUCKETS, np.int64)
@@ -135,6 +136,7 @@ def decide(margins: np.ndarray, model: LanguageModel) -> tuple[np.ndarray, np.nd
     return likely.argmax(1), ranked[:, -1], ranked[:, -1] - second < LEAD
 
 
+@tidy
 def _predicted(batches: Iterator[pa.RecordBatch], model: LanguageModel) -> Iterator[pa.RecordBatch]:
     names = np.array([*model.languages, UNKNOWN], object)
     bits = model.code.shape[1]

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mailposture.llm.blocks import tidy
 from mailposture.session import store
 
 #: Notices as they are commonly written.
@@ -95,6 +96,7 @@ class Matcher:
         return self.cache[notice]
 
 
+@tidy
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known, found, n = set(vocabulary()), Counter(), 0
     for batch in batches:
@@ -116,6 +118,7 @@ def matcher(df: DataFrame, text_col: str = "text") -> Matcher:
     return Matcher(counts.pop("", 0), counts)
 
 
+@tidy
 def _matched(batches: Iterator[pa.RecordBatch], match: Matcher, bound: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         names, cosines = [], []

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailposture.llm.blocks import flat
+from mailposture.llm.blocks import flat, tidy
 from mailposture.llm.graph import components
 from mailposture.session import store
 
@@ -66,6 +66,7 @@ def shingle_hashes(text: bytes, width: int) -> list[int]:
     return [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist())]
 
 
+@tidy
 def _fingerprints(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = flat(batch.column(1))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailposture.llm.blocks import groups, ragged_take
+from mailposture.llm.blocks import groups, ragged_take, release, tidy
 from mailposture.session import store
 
 Q = 24
@@ -189,6 +189,7 @@ def _pack_runs(batches: Iterator[pa.RecordBatch], run_bytes: int) -> Iterator[pa
             serial += 1
 
 
+@tidy
 def _ask(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for run, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -363,6 +364,7 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bool
             node >>= 1
 
 
+@tidy
 def _front_coded(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator[pa.RecordBatch]:
     from zstandard import ZstdCompressor
 
@@ -449,6 +451,7 @@ def covered(texts: Run, answers: list[dict], verdicts: list[dict], length: int,
     return np.cumsum(step[:-1]) > 0
 
 
+@tidy
 def _cut(batches: Iterator[pa.RecordBatch], length: int, parts: int, form: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for packed, answers, verdicts in zip(batch.column(0), batch.column(1), batch.column(2)):
@@ -490,16 +493,27 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     packed.repartition(parts, "run").write.bucketBy(parts, "run").sortBy("run").saveAsTable(name)
     runs = spark.table(name)
     ask = runs.mapInArrow(lambda b: _ask(b, length, parts), ASKED)
-    shared = store(_by_run(ask.groupBy("part").applyInArrow(_shared, BITS), "answers"))
+    shared = store(_by_run(ask.groupBy("part").applyInArrow(_tidied(_shared), BITS), "answers"))
     with_answers = runs.join(shared.hint("shuffle_hash"), "run", "left").select("run", "packed", "answers")
     sent = with_answers.mapInArrow(lambda b: _front_coded(b, length, parts), ASKED)
-    verdicts = store(_by_run(sent.groupBy("part").applyInArrow(lambda g: _merged(g, length), BITS), "verdicts"))
+    verdicts = store(_by_run(sent.groupBy("part").applyInArrow(_tidied(_merged, length), BITS), "verdicts"))
     answered = runs.join(shared.join(verdicts, "run", "left").hint("shuffle_hash"), "run", "left").select("packed", "answers", "verdicts")
     kinds = [df.schema[c].dataType.simpleString() for c in carry]
     schema = ", ".join(["c0 bigint", "c1 bigint", "c2 array<struct<start: bigint, stop: bigint>>", f"c3 {'binary' if form == 'bytes' else 'string'}", *[f"c{k + 4} {t}" for k, t in enumerate(kinds)]])
     return answered.mapInArrow(lambda b: _cut(b, length, parts, form), schema).toDF(id_col, "n_bytes", "spans", "kept", *carry)
 
 
+def _tidied(function, *args):
+    """A function of groups that gives its memory back after each."""
+
+    def run(group: pa.Table) -> pa.Table:
+        out = function(group, *args)
+        release()
+        return out
+
+    return run
+
+
 def _by_run(bits: DataFrame, name: str) -> DataFrame:
     """The answers of all partitions to one run in one row: at most a bit for each byte of the run's text."""
     return bits.groupBy("run").agg(F.collect_list(F.struct("part", "bits")).alias(name))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailposture.llm.arrays import SliceCache
-from mailposture.llm.blocks import pieces
+from mailposture.llm.blocks import pieces, tidy
 from mailposture.llm.merging import PairTable, merge_all
 
 BLANK = "▁"
@@ -100,6 +100,7 @@ def counter(path: str) -> PieceCounter:
     return PieceCounter(path)
 
 
+@tidy
 def _counted(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = counter(path)
     mark = BLANK.encode()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailposture.llm.blocks import pieces
+from mailposture.llm.blocks import pieces, tidy
 from mailposture.llm.language import bucket_of, letter_table
 
 #: What a look-alike may stand for.
@@ -67,6 +67,7 @@ def symbol_of(points: np.ndarray) -> np.ndarray:
     return out
 
 
+@tidy
 def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(SIZE**3, np.int64)
     for batch in batches:
@@ -191,6 +192,7 @@ class ToxicityModel:
     slope: float = 1.0
 
 
+@tidy
 def _contexts(batches: Iterator[pa.RecordBatch], trigrams: np.ndarray, wanted: frozenset[str] | None) -> Iterator[pa.RecordBatch]:
     """(form, before) of every text's words, or of the ``wanted`` forms only: the word before the first place of the form."""
     decoder, cache, known = Decoder(trigrams), {}, {}
@@ -215,6 +217,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], trigrams: np.ndarray, wanted: f
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in seen], pa.string()), pa.array([b for _, b in seen], pa.string())], ["form", "before"])
 
 
+@tidy
 def _sums(batches: Iterator[pa.RecordBatch], model: ToxicityModel) -> Iterator[pa.RecordBatch]:
     decoder, cache = Decoder(model.trigrams, model.weights), {}
     known: dict[str, float] = {}
@@ -306,6 +309,7 @@ def score(df: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col:
     return summed.select(F.col("id").alias(id_col), value.alias("score"))
 
 
+@tidy
 def _kept(batches: Iterator[pa.RecordBatch], model: ToxicityModel, at: int, reject: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column(at)
