@@ -274,12 +274,6 @@ PARKED_WORDS = [
     "under construction", "coming soon", "website nicht verfügbar", "diese domain steht zum verkauf", "godaddy",
     "sedo.com", "aftermarket", "hugedomains", "dan.com",
 ]
-# Seed of public suffixes; pass a full list as a table for production runs.
-PUBLIC_SUFFIXES = """
-    de at ch li fr it eu com net org info biz io us uk swiss zuerich bayern nrw saarland berlin hamburg koeln cologne
-    ruhr tirol wien cloud online digital email services gv.at co.at or.at ac.at gde.at co.uk
-""".split()
-
 # --- fixed values: time to live of observations, in days ----------------------------------------------------------
 
 TTL_DAYS = {"head": 1, "scrape": 7, "mx": 1, "dns": 1, "content": 7}

@@ -99,18 +99,6 @@ def classify_homepage(html: Column) -> Column:
     )
 
 
-def public_suffix(domain: Column, suffixes: Iterable[str] = tuple(dims.PUBLIC_SUFFIXES)) -> Column:
-    """Longest public suffix out of a short fixed list; '' when there is none.
-
-    For a full suffix table use :func:`mailposture.operators.domains.split_domain`.
-    """
-    known = list(suffixes)
-    depth = max(s.count(".") + 1 for s in known)
-    host = F.lower(domain)
-    tails = [F.substring_index(host, ".", -n) for n in range(depth, 0, -1)]
-    return F.coalesce(*[F.when(t.isin(known), t) for t in tails], F.lit(""))
-
-
 def registered_label(domain: Column, suffix: Column) -> Column:
     """Label in front of the public suffix ('' when the domain is a bare suffix)."""
     host = F.lower(domain)

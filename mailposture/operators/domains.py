@@ -1,32 +1,81 @@
-"""Split host names by a table of public suffixes."""
+"""Split host names by the list of public suffixes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import zipfile
+from functools import lru_cache
+from pathlib import Path
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailposture import dims
 from mailposture.functions.text import registered_label, subdomain
 
+#: The list as one of Spark's own libraries carries it, with its licence.
+LIST_LIBRARY, LIST_ENTRY = "jars/httpclient-4*.jar", "mozilla/public-suffix-list.txt"
+PRIVATE = "===BEGIN PRIVATE DOMAINS==="
+
+
+@lru_cache(4)
+def listed_rules(path: str | None = None) -> tuple[str, ...]:
+    """Rules of the list's official part, from a text file or a library; by default from the library beside Spark.  A missing list is an error."""
+    if path is None:
+        import pyspark
+
+        found = sorted(Path(pyspark.__file__).parent.glob(LIST_LIBRARY))
+        if not found:
+            raise FileNotFoundError("no public suffix list beside Spark: pass the path of one")
+        path = str(found[0])
+    if path.endswith(".jar"):
+        with zipfile.ZipFile(path) as library:
+            text = library.read(LIST_ENTRY).decode()
+    else:
+        text = Path(path).read_text(encoding="utf-8")
+    lines = (line.strip() for line in text.split(PRIVATE)[0].splitlines())
+    return tuple(line.split()[0] for line in lines if line and not line.startswith("//"))
+
 
-def suffix_table(spark, suffixes: list[str] | None = None) -> DataFrame:
-    """One-column table of public suffixes; the built-in seed by default."""
-    return spark.createDataFrame([(s,) for s in (suffixes or dims.PUBLIC_SUFFIXES)], "suffix string")
+def suffix_table(spark: SparkSession, suffixes: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """One-column table of rules, ``*.`` and ``!`` included: those given, else the full list."""
+    return spark.createDataFrame(pa.table({"suffix": pa.array(suffixes if suffixes is not None else listed_rules(path), pa.string())}))
+
+
+def suffix_rules(suffixes: DataFrame) -> DataFrame:
+    """(tail, labels, plain, wild, exempt): a tail of a host name, and which kinds of rules it stands for.
+
+    ``*.ck`` makes any label before ``ck`` part of the suffix, ``!www.ck`` exempts ``www.ck`` from that.
+    """
+    rule = F.lower(F.trim("suffix"))
+    kinds = suffixes.filter(rule != "").select(
+        F.regexp_replace(rule, r"^(\*\.|!)", "").alias("tail"), F.startswith(rule, F.lit("*.")).alias("wild"), F.startswith(rule, F.lit("!")).alias("exempt")
+    )
+    plain = F.bool_or(~F.col("wild") & ~F.col("exempt")).alias("plain")
+    merged = kinds.groupBy("tail").agg(plain, F.bool_or("wild").alias("wild"), F.bool_or("exempt").alias("exempt"))
+    return merged.withColumn("labels", F.size(F.split("tail", r"\.")))
 
 
-def split_domain(df: DataFrame, domain: str, suffixes: DataFrame, depth: int = 3) -> DataFrame:
-    """Add ``suffix`` (longest known, '' when none), ``label`` and ``sub`` of a host name.
+def split_domain(df: DataFrame, domain: str, suffixes: DataFrame | None = None) -> DataFrame:
+    """Add ``suffix`` (longest by the rules, '' when none), ``label`` and ``sub`` of a host name.
 
-    The suffix table is joined once per number of labels (``depth``, 5 for a full list).  Spark broadcasts it when its
-    size allows, then nothing of ``df`` is shuffled; a larger table is joined by shuffle with the same result.
+    ``suffixes`` is a table of rules as of :func:`suffix_table`, by default the full list.  It is joined once per number of labels that its rules
+    have, however many.  Spark broadcasts it when its size allows, then nothing of ``df`` is shuffled; a larger table is joined by shuffle with the same result.
     """
+    rules = suffix_rules(suffix_table(df.sparkSession) if suffixes is None else suffixes)
+    depth = rules.agg(F.max("labels").alias("n")).first().n or 0
     host = F.lower(F.col(domain))
-    known = suffixes.select(F.lower("suffix").alias("_s")).distinct()
+    size = F.size(F.split(host, r"\."))
+    tail = lambda n: F.substring_index(host, ".", -n)
     out = df
     for n in range(1, depth + 1):
-        level = known.filter(F.size(F.split("_s", r"\.")) == n).select(F.col("_s").alias(f"_s{n}"))
-        tail = F.when(F.size(F.split(host, r"\.")) >= n, F.substring_index(host, ".", -n))
-        out = out.join(level, tail == F.col(f"_s{n}"), "left")
-    suffix = F.coalesce(*[F.col(f"_s{n}") for n in range(depth, 0, -1)], F.lit(""))
-    out = out.withColumn("suffix", suffix).drop(*[f"_s{n}" for n in range(1, depth + 1)])
+        level = rules.filter(F.col("labels") == n).select(F.col("tail").alias(f"_t{n}"), *[F.col(k).alias(f"_{k}{n}") for k in ("plain", "wild", "exempt")])
+        out = out.join(level, F.when(size >= n, tail(n)) == F.col(f"_t{n}"), "left")
+    options = [F.when(F.col(f"_exempt{n}"), tail(n - 1)) for n in range(depth, 1, -1)]
+    for n in range(depth + 1, 0, -1):
+        if n > 1:
+            options.append(F.when(F.col(f"_wild{n - 1}") & (size >= n), tail(n)))
+        if n <= depth:
+            options.append(F.when(F.col(f"_plain{n}"), tail(n)))
+    out = out.withColumn("suffix", F.coalesce(*options, F.lit("")))
+    out = out.drop(*[f"_{k}{n}" for n in range(1, depth + 1) for k in ("t", "plain", "wild", "exempt")])
     return out.withColumn("label", registered_label(F.col(domain), F.col("suffix"))).withColumn("sub", subdomain(F.col(domain), F.col("suffix")))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailposture import dims
-from mailposture.functions.text import contains_any, is_valid_email, normalize_domain, public_suffix, strip, url_domain, url_host
+from mailposture.functions.text import contains_any, is_valid_email, normalize_domain, strip, url_domain, url_host
 from mailposture.operators.domains import split_domain
 from mailposture.skew import lookup_join
 
@@ -140,9 +140,7 @@ def address_domains(addresses: DataFrame, skip: Sequence[str], reserved: Sequenc
     rows = rows.filter((F.col("domain") != "") & ~F.col("domain").isin(list(skip)))
     for name in reserved:
         rows = rows.filter(~(F.col("domain") == name) & ~F.endswith("domain", F.lit("." + name)))
-    if suffixes is None:
-        return rows.filter(public_suffix(F.col("domain")) != "")
-    return split_domain(rows, "domain", suffixes, 5).filter(F.col("suffix") != "").drop("suffix", "label", "sub")
+    return split_domain(rows, "domain", suffixes).filter(F.col("suffix") != "").drop("suffix", "label", "sub")
 
 
 def extract_email_domains(
@@ -154,7 +152,7 @@ def extract_email_domains(
 ) -> DataFrame:
     """Distinct (keys, technique, domain) of all addresses on the pages, plain or obfuscated.
 
-    ``suffixes`` is a full public suffix table; without one the built-in seed decides.
+    ``suffixes`` is a table of public suffix rules, by default the full list.
     """
     decode = html_decoder()
     html = F.col("html")
@@ -233,7 +231,9 @@ def usable_pages(page_fetch: DataFrame) -> DataFrame:
     return fetched_pages(page_fetch).filter((F.col("status") < 400) | html)
 
 
-def site_emails(page_fetch: DataFrame, skip: Sequence[str] = (), reserved: Sequence[str] = tuple(dims.RESERVED_DOMAINS)) -> DataFrame:
+def site_emails(
+    page_fetch: DataFrame, skip: Sequence[str] = (), reserved: Sequence[str] = tuple(dims.RESERVED_DOMAINS), suffixes: DataFrame | None = None
+) -> DataFrame:
     """Distinct (site, domain) over all pages of a site.
 
     The page that first reveals a redirect to a blocklisted host contributes nothing; later pages do.  Addresses are taken
@@ -243,7 +243,7 @@ def site_emails(page_fetch: DataFrame, skip: Sequence[str] = (), reserved: Seque
     blocked = site_redirects(counted).filter(contains_any(F.col("redirect"), dims.REDIRECT_BLOCKLIST)).select("site", "seq")
     kept = counted.select("site", "seq").join(blocked, ["site", "seq"], "left_anti")
     fetched = page_fetch.filter(F.col("status").isNotNull())
-    found = extract_email_domains(fetched, ["site", "seq"], skip, reserved).select("site", "seq", "domain").distinct()
+    found = extract_email_domains(fetched, ["site", "seq"], skip, reserved, suffixes).select("site", "seq", "domain").distinct()
     return found.join(kept, ["site", "seq"], "left_semi").select("site", "domain").distinct()
 
 

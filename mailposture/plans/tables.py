@@ -331,6 +331,7 @@ SELECT page_id, site,
        || '<a class="x" href="http://www.' || site || '/Verwaltung?x=1">V</a><a href="https://other.ch/kontakt">O</a><a href="mailto:a@b.ch">M</a>'
        || '<p>info@' || CASE page_id % 5 WHEN 0 THEN 'stadt' WHEN 1 THEN 'amt' ELSE 'ort' END || CAST(page_id AS STRING) || '.ch</p>'
        || '<a href="mailto:post@amt' || CAST(page_id % 50 AS STRING) || '.de?subject=x">m</a>'
+       || '<p>a@gemeinde' || CAST(page_id % 30 AS STRING) || '.be b@stadt.gov.pl c@x' || CAST(page_id % 9 AS STRING) || '.y.ck d@www.ck e@2.wq f@ort.gov</p>'
        || '<b>rat(at)haus' || CAST(page_id % 9 AS STRING) || '.at</b> logo@2x.png' AS html
 FROM {v_page}
 """

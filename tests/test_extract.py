@@ -91,7 +91,23 @@ def test_site_rules(spark, rows):
     assert rows(xt.site_status(frame)) == [("a.ch", True, None), ("b.ch", True, None), ("c.ch", False, None), ("d.ch", True, "immoscout24.ch"), ("e.ch", True, "new.ch")]
 
 
-@pytest.mark.parametrize("domain, want", [("a.gemeinde.gv.at", ("gv.at", "gemeinde", "a")), ("x.ch", ("ch", "x", "")), ("y.nope", ("", "nope", "y"))])
-def test_split_domain(spark, rows, domain, want):
-    df = spark.createDataFrame([(domain,)], "domain string")
-    assert rows(dm.split_domain(df, "domain", dm.suffix_table(spark)), "suffix", "label", "sub") == [want]
+SPLIT = {
+    "a.gemeinde.gv.at": ("gv.at", "gemeinde", "a"), "x.ch": ("ch", "x", ""), "y.nope": ("", "nope", "y"), "2.wq": ("", "wq", "2"), "herisau.gv.at": ("gv.at", "herisau", ""),
+    "herisau.ar.ch": ("ch", "ar", "herisau"), "info.gemeinde.be": ("be", "gemeinde", "info"), "a.b.ck": ("b.ck", "a", ""), "b.ck": ("b.ck", "", ""), "x.www.ck": ("ck", "www", "x"),
+    "www.ck": ("ck", "www", ""), "a.b.c.kobe.jp": ("c.kobe.jp", "b", "a"), "city.kobe.jp": ("kobe.jp", "city", ""), "x.CO.uk": ("co.uk", "x", ""), "uk": ("uk", "", ""),
+}
+
+
+def test_split_domain(spark):
+    df = spark.createDataFrame([(d,) for d in SPLIT], "domain string")
+    assert {r.domain: (r.suffix, r.label, r.sub) for r in dm.split_domain(df, "domain").collect()} == SPLIT
+    deep = dm.suffix_table(spark, ["a.b.c.d.e.f", "*.q.w"])
+    df = spark.createDataFrame([("x.a.b.c.d.e.f",), ("m.n.q.w",), (None,)], "domain string")
+    assert {r.domain: r.suffix for r in dm.split_domain(df, "domain", deep).collect()} == {"x.a.b.c.d.e.f": "a.b.c.d.e.f", "m.n.q.w": "n.q.w", None: ""}
+
+
+def test_a_missing_suffix_list_is_an_error(tmp_path):
+    with pytest.raises(FileNotFoundError):
+        dm.listed_rules(str(tmp_path / "none.txt"))
+    (tmp_path / "some.txt").write_text("// c\nch\n*.ck\n===BEGIN PRIVATE DOMAINS===\nx.com\n")
+    assert dm.listed_rules(str(tmp_path / "some.txt")) == ("ch", "*.ck")

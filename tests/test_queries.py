@@ -8,7 +8,7 @@ import pytest
 from check_oracle import rows_of
 from mailposture.plans import catalog
 from mailposture.plans.tables import BASE
-from mailposture.skew import lookup_join, rank_in_cells
+from mailposture.skew import hot_keys, lookup_join, rank_in_cells, semi_join
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -48,6 +48,22 @@ def test_lookup_join_with_a_hot_key(spark, rows):
         assert rows(lookup_join(left, right, ["k"], how)) == rows(left.join(right, ["k"], how).select("k", "id", "v"))
 
 
+def test_hot_keys_are_cut_by_their_share_of_a_task(spark):
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = F.when(F.col("id") < 40_000, F.lit(-1)).when(F.col("id") < 40_500, F.lit(-2)).otherwise(F.col("id"))
+    frame = spark.range(100_000).select(keys.alias("k"), F.col("id").alias("v"))
+    for n in (parts, 200):
+        hot = {r.k: (r._n, r._salts) for r in hot_keys(frame, ["k"], n).collect()}
+        assert len(hot) <= 2 * n and hot[-1][0] == 40_000
+        for rows_of_key, salts in hot.values():
+            assert rows_of_key / salts <= 100_000 / (2 * n) + 1  # half of an even task
+        assert (-2 in hot) == (500 > 100_000 / (2 * n))
+    salted = lookup_join(frame, frame.select("k").distinct().withColumn("w", F.lit(1)), ["k"])
+    assert salted.count() == 100_000
+    assert semi_join(frame, frame.filter("v < 50000 and v % 2 = 0"), ["k"]).count() == 45_250
+    assert semi_join(frame, frame.filter("v < 50000 and v % 2 = 0"), ["k"], anti=True).count() == 54_750
+
+
 def test_rank_in_cells_is_row_number(spark):
     from pyspark.sql import Window
 

@@ -143,3 +143,26 @@ def test_contradictions(spark, rows):
     assert rows(qc.check_contradictory(p, signals), "code", "severity", "message") == [
         ("0", "ERROR", "winner=microsoft (google=0.20 vs microsoft=0.20)"), ("1", "WARNING", "winner=microsoft (microsoft=0.20 vs google=0.15)"),
     ]
+
+
+def test_first_log_of_a_target_counts(spark):
+    tls = [("m", "1", 1, "PROTOS_OFFERED: tls1_2:yes"), ("m", "1", 0, "PROTOS_OFFERED: tls1_3:yes")]
+    dane = [("m", 5, "## Checking m 1 port 25\nResult: DANE OK"), ("m", 2, "x\n\n## Checking m 1 port 25\nResult: none\n\n## Checking m 2 port 25\nResult: DANE OK")]
+    dss = [("a.ch", 1, "spf: v=spf1 -all"), ("a.ch", 0, "spf: v=spf1 ~all")]
+    addresses = spark.createDataFrame([("a.ch", "m", "1", True), ("a.ch", "m", "2", True), ("a.ch", "m", "3", True)], "domain string, mx string, ip string, ad boolean")
+    for turn in (1, -1):  # whatever the order of arrival
+        frames = [
+            spark.createDataFrame(tls[::turn], "host string, ip string, pos int, log string"), spark.createDataFrame(dane[::turn], "host string, pos int, log string"),
+            spark.createDataFrame(dss[::turn], "domain string, pos int, log string"),
+        ]
+        got = {r.ip: (r.has_dane, r.has_tls1_3, r.has_tls1_2, r.has_good_spf) for r in sc.build_mta(addresses, *frames).collect()}
+        assert got == {"1": (False, True, False, False), "2": (True, None, None, False), "3": (False, None, None, False)}
+
+
+def test_third_party_results_by_country_and_last_row(spark):
+    entity = spark.createDataFrame([("ch", "00000001", "a.ch"), ("de", "00000001", "a.de"), ("ch", "00000002", "b.ch")], "country string, code string, domain string")
+    columns = "country string, pos int, code string, mxrecordName string, emails string, hasDane string, hasSpf string, hasGoodSpf string, hasDmarc string, hasGoodDmarc string"
+    row = lambda cc, pos, code, dane: (cc, pos, code, "mx", "e", dane, "1", "0", "0", "0")
+    flat = spark.createDataFrame([row("ch", 1, "1", "0"), row("ch", 0, "1", "1"), row("de", 0, "1", "1")], columns)
+    got = sorted((r.country, r.code, r.dane_supported, r.scan_valid) for r in sc.convert_flat_result(entity, flat, 8).collect())
+    assert got == [("ch", "00000001", False, True), ("ch", "00000002", None, False), ("de", "00000001", True, True)]
