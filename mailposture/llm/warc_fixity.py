@@ -65,7 +65,8 @@ def tree(leaf: DataFrame, slots: int = SLOTS, fanout: int = FANOUT) -> list[Data
         children = F.sort_array(F.collect_list(F.struct("node", "length", "digest")))  # at most ``fanout``
         grouped = levels[-1].groupBy("volume", F.floor(F.col("node") / fanout).alias("parent")).agg(F.sum("length").alias("length"), children.alias("children"))
         text = F.concat_ws("|", F.transform("children", lambda c: F.concat_ws(":", c["node"].cast("string"), c["length"].cast("string"), c["digest"])))
-        levels.append(grouped.select("volume", F.col("parent").alias("node"), "length", F.sha2(text, 256).alias("digest")))
+        # Written: every level is read for the next one and again for the comparison.
+        levels.append(store(grouped.select("volume", F.col("parent").alias("node"), "length", F.sha2(text, 256).alias("digest"))))
         span *= fanout
     return levels
 
