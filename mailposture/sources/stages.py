@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mailposture import dims
 from mailposture.functions.text import url_domain
@@ -59,13 +60,22 @@ def read_stage(spark: SparkSession, directory: str, stage: str, countries=tuple(
     return read_envelope(spark, present, stage)
 
 
+def read_rows(spark: SparkSession, path: str, stage: str, fmt: str = "json") -> DataFrame:
+    """Rows of one stage as its sink writes them: one row per line or Parquet row, split like any table, not one envelope per file."""
+    schema = StructType.fromDDL(ROWS[stage].replace("struct<", "struct<country:string,", 1))
+    return spark.read.schema(schema).format(fmt).load(path)
+
+
 def primary_domain(emails: Column) -> Column:
     return F.coalesce(F.get(emails, F.lit(0)), F.lit(""))
 
 
-def read_entity_domains(spark: SparkSession, path: str) -> DataFrame:
-    """Resolve output as entities with their primary domain; '' when they have none."""
-    rows = read_envelope(spark, path, "domains")
+def read_entity_domains(spark: SparkSession, path: str, envelope: bool = True) -> DataFrame:
+    """Resolve output as entities with their primary domain; '' when they have none.
+
+    ``envelope`` reads files with a header around all rows, otherwise the tables of the resolve sink.
+    """
+    rows = read_envelope(spark, path, "domains") if envelope else read_rows(spark, path, "domains")
     return rows.withColumn("domain", primary_domain(F.col("emails")))
 
 

@@ -15,7 +15,8 @@ def dedup_stream(obs_stream: DataFrame, ttl: str = "1 day") -> DataFrame:
 
     State is kept per key only until the watermark passes its time to live, so it is bounded by the keys of that span.
     """
-    return obs_stream.withWatermark("observed_at", ttl).dropDuplicatesWithinWatermark(["kind", "domain"])
+    timed = obs_stream.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
+    return timed.withWatermark("observed_at", ttl).dropDuplicatesWithinWatermark(["kind", "domain"])
 
 
 def fresh_stream(obs_stream: DataFrame, kind: str) -> DataFrame:
