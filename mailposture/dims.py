@@ -7,8 +7,6 @@ from __future__ import annotations
 
 # --- fixed values: provider fingerprints ------------------------------------------------------------------------
 
-PROVIDERS = ["ms365", "google", "aws"]
-
 MX_PATTERNS = {
     "ms365": ["mail.protection.outlook.com", "mx.microsoft", "mail.protection.outlook.de", "mail.eo.outlook.com"],
     "google": ["aspmx.l.google.com", "googlemail.com", "smtp.google.com"],
@@ -224,11 +222,6 @@ REGION_GUESS_TEMPLATES = {
     "at": ["{slug}.{region}"],
     "ch": ["{slug}.{region}.ch", "{slug}-{region}.ch", "{region}-{slug}.ch", "{slug}{region}.ch"],
 }
-MATCH_PREFIXES = {
-    "de": ["stadt-", "gemeinde-", "markt-", "vg-", "samtgemeinde-", "amt-"],
-    "at": ["stadt-", "gemeinde-", "markt-", "marktgemeinde-", "stadtgemeinde-"],
-    "ch": ["stadt-", "gemeinde-", "commune-de-", "comune-di-"],
-}
 STRICT_PREFIXES = """
     gemeinde- gemeinde stadt- stadt commune-de- comune-di- markt- markt marktgemeinde- marktgemeinde stadtgemeinde-
     stadtgemeinde

@@ -314,9 +314,9 @@ def delta_stats(t):
 # --- statistics ---------------------------------------------------------------------------------------------------
 
 
-def sql_chi(rows: str, group: str, metrics: list[str]) -> str:
+def sql_chi(rows: str, group: str, metrics: list[str], more: str = "") -> str:
     return " UNION ALL ".join(
-        f"""SELECT '{m}' AS metric, round(n * pow(greatest(abs(a * d - b * c) - n / 2, 0), 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 6) AS chi2, n::BIGINT AS n FROM
+        f"""SELECT '{m}' AS metric, round(n * pow(greatest(abs(a * d - b * c) - n / 2, 0), 2) / ((a + b) * (c + d) * (a + c) * (b + d)), 6) AS chi2, CASE WHEN (a + b = 0 OR c + d = 0) AND a + c > 0 AND b + d > 0 THEN 0 ELSE 1 END AS dof, n::BIGINT AS n{more} FROM
         (SELECT count(*)::DOUBLE AS n, count(*) FILTER ({group} AND NOT {m})::DOUBLE AS a, count(*) FILTER ({group} AND {m})::DOUBLE AS b, count(*) FILTER (NOT ({group}) AND NOT {m})::DOUBLE AS c, count(*) FILTER (NOT ({group}) AND {m})::DOUBLE AS d FROM {rows}) x"""
         for m in metrics
     )
@@ -324,12 +324,15 @@ def sql_chi(rows: str, group: str, metrics: list[str]) -> str:
 
 @query("chi_square_provider", f"WITH {EXPORT_SQL}, s AS (SELECT * FROM export WHERE scan_valid AND (category = 'us-cloud' OR category LIKE '%-based')) " + sql_chi("s", "category <> 'us-cloud'", dims.SECURITY_METRICS))
 def chi_square_provider(t):
-    return r6(st.chi_square_provider(export_rows(t)).select("metric", "chi2", "n"))
+    return r6(st.chi_square_provider(export_rows(t)).select("metric", "chi2", "dof", "n"))
 
 
-@query("chi_square_gateway", f"WITH {EXPORT_SQL}, s AS (SELECT * FROM export WHERE scan_valid) " + sql_chi("s", "gateway = ''", dims.SECURITY_METRICS[:4]))
+DELTA = ", round(CASE WHEN c + d > 0 THEN d / (c + d) * 100 ELSE 0 END - CASE WHEN a + b > 0 THEN b / (a + b) * 100 ELSE 0 END, 6) AS delta_pp"
+
+
+@query("chi_square_gateway", f"WITH {EXPORT_SQL}, s AS (SELECT * FROM export WHERE scan_valid) " + sql_chi("s", "gateway = ''", dims.SECURITY_METRICS[:4], DELTA))
 def chi_square_gateway(t):
-    return r6(st.chi_square_gateway(export_rows(t)).select("metric", "chi2", "n"))
+    return r6(st.chi_square_gateway(export_rows(t)).select("metric", "chi2", "dof", "n", "delta_pp"))
 
 
 def truth_pairs(t):

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from mailposture import dims
-from mailposture.functions.text import url_domain
 from mailposture.sources.registries import path_exists
 
 SIGNAL = "struct<kind:string,provider:string,weight:double,detail:string>"
@@ -172,7 +171,3 @@ def read_scan_result(spark: SparkSession, path: str) -> dict[str, DataFrame]:
         "dane": part("daneCheckResult", "pos", host, log_column),
         "dss": part("dssResult", "pos", F.col("x.domain"), log_column),
     }
-
-
-def site_of(url: Column) -> Column:
-    return url_domain(url)
