@@ -237,8 +237,9 @@ def _network_providers(asn: Column, registered: Column, country: Column) -> Colu
 
 def host_networks(hosts: DataFrame, dns_a: DataFrame, asn_obs: DataFrame) -> DataFrame:
     """(host, ip, apos, asn, registered) of every distinct host: each host is resolved once for all its domains."""
-    ips = lookup_join(hosts.select("host").distinct(), dns_a.select("host", "ip", F.col("pos").alias("apos")), ["host"], "inner")
-    return lookup_join(ips, _networks(asn_obs), ["ip"], "inner")
+    # Hosts are distinct here, so only addresses can be hot; they are counted on the answers, which only need a scan.
+    ips = hosts.select("host").distinct().join(dns_a.select("host", "ip", F.col("pos").alias("apos")), "host")
+    return lookup_join(ips, _networks(asn_obs), ["ip"], "inner", weigh=dns_a)
 
 
 def _networks(asn_obs: DataFrame) -> DataFrame:
@@ -248,8 +249,8 @@ def _networks(asn_obs: DataFrame) -> DataFrame:
 
 def ev_asn(dns_mx: DataFrame, dns_a: DataFrame, asn_obs: DataFrame, country: Column) -> DataFrame:
     """Networks of all addresses of all MX hosts.  ``country`` is a literal or a column of ``dns_mx``."""
-    rows = mx_rows(dns_mx).withColumn("cc", country)
-    networks = host_networks(rows, dns_a, asn_obs)
+    rows = store(mx_rows(dns_mx).withColumn("cc", country))
+    networks = store(host_networks(rows, dns_a, asn_obs))
     rows = lookup_join(rows, networks, ["host"], "inner").withColumn(
         "m", F.explode(_network_providers(F.col("asn"), F.col("registered"), F.col("cc")))
     )
@@ -309,7 +310,7 @@ def spf_addresses(dns_txt: DataFrame, dns_a: DataFrame) -> DataFrame:
 
 def spf_networks(dns_txt: DataFrame, dns_a: DataFrame, asn_obs: DataFrame) -> DataFrame:
     """Every network once per domain, with the first address in record order that belongs to it."""
-    rows = lookup_join(spf_addresses(dns_txt, dns_a), _networks(asn_obs), ["ip"], "inner")
+    rows = lookup_join(store(spf_addresses(dns_txt, dns_a)), _networks(asn_obs), ["ip"], "inner")
     first = F.min(F.struct("pos", "token_pos", "apos", "ip", "registered")).alias("first")
     return rows.groupBy("domain", "asn").agg(first).select("domain", "asn", "first.*")
 
