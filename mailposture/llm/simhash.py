@@ -136,7 +136,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """The rows of ``df`` without near-duplicates: of each component the row with the smallest id stays, once where it is repeated.
+    """The rows of ``df`` without near-duplicates: of each component the row with the smallest id stays; of several rows with that id one stays.
 
     Rows without an id cannot be named and stay.
     """
