@@ -106,39 +106,84 @@ class Decoder:
         return ord(letter) - 96 if "a" <= letter <= "z" else SIZE - 1
 
     def paths(self, observed: str) -> list[tuple[float, str]]:
-        """Letters that ``observed`` may stand for, cheapest first."""
-        beam: dict[tuple[int, int, str], float] = {(0, 0, ""): 0.0}
+        """Letters that ``observed`` may stand for, cheapest first, with a blank between words."""
+        return [(cost, text) for cost, text, _ in self._search(observed)]
+
+    def _search(self, observed: str) -> list[tuple[float, str, list[int]]]:
+        """(cost, letters and blanks, place of each in ``observed``) of the paths of the lattice.
+
+        What a path has read is a chain of numbered steps, so time and memory grow with the length of ``observed`` and not with its square.  A word may end
+        at a separator, or at a blank between spaced letters.
+        """
+        chain: list[tuple[int, str, int]] = [(-1, "", -1)]
+        numbers: dict[tuple[int, str], int] = {}
+        beam: dict[tuple[int, int, int], float] = {(0, 0, 0): 0.0}
         before = ""
-        for c in observed:
+        for at, c in enumerate(observed):
             moves: list[tuple[str, float]] = []
             if c.isalpha():
                 moves.append((c, 0.0))
                 if c == before:
                     moves.append(("", REPEAT / 3))
+            elif c == " ":
+                moves += [("", 0.0), (" ", 0.0)]
             else:
                 moves += [(x, WILD if c == "*" else LOOK) for x in LOOKS.get(c, "")]
                 moves.append(("", REPEAT / 3 if c == before and c in LOOKS else DROP if c.isdigit() else GAP if c not in LOOKS else 2 * LOOK))
-            after: dict[tuple[int, int, str], float] = {}
-            for (a, b, text), cost in beam.items():
+                if c not in LOOKS and not c.isdigit():
+                    moves.append((" ", GAP))
+            after: dict[tuple[int, int, int], float] = {}
+            numbers.clear()
+            for (a, b, step), cost in beam.items():
                 for letter, price in moves:
-                    if letter:
-                        n = self._number(letter)
-                        key, value = (b, n, text + letter), cost + price - self.trigrams[a][b][n]
+                    if not letter or (letter == " " and b == 0):
+                        key, value = (a, b, step), cost + price
                     else:
-                        key, value = (a, b, text), cost + price
+                        n = 0 if letter == " " else self._number(letter)
+                        number = numbers.get((step, letter))
+                        if number is None:
+                            number = numbers[step, letter] = len(chain)
+                            chain.append((step, letter, at))
+                        key, value = (b, n, number), cost + price - self.trigrams[a][b][n]
                     if value < after.get(key, math.inf):
                         after[key] = value
             beam = dict(sorted(after.items(), key=lambda kv: kv[1])[:BEAM])
-            before = c
-        return sorted((cost - self.trigrams[a][b][0], text) for (a, b, text), cost in beam.items() if text)
+            before = c if c != " " else before
+        out = []
+        for (a, b, step), cost in beam.items():
+            letters, places = [], []
+            while step > 0:
+                step, letter, at = chain[step]
+                letters.append(letter)
+                places.append(at)
+            text = "".join(reversed(letters))
+            if text.strip():
+                out.append((cost - (self.trigrams[a][b][0] if b else 0.0), text, places[::-1]))
+        return sorted(out)
 
     def restore(self, observed: str) -> str:
-        """The cheapest path; a known toxic word in its stead where one is nearly as cheap."""
-        found = self.paths(observed)
+        """The cheapest path; one with a known toxic word in its stead where that is nearly as cheap, for the whole and for each word of it."""
+        found = self._search(observed)
         if not found:
             return ""
-        known = [text for cost, text in found if cost <= found[0][0] + MARGIN and weight_of(text, self.weights)]
-        return known[0] if known else found[0][1]
+        for cost, text, _ in found:
+            if cost <= found[0][0] + MARGIN and self.known(text):
+                return text.strip()
+        _, text, places = found[0]
+        if not self.weights or " " not in text.strip():
+            return text.strip()
+        words, first = [], 0
+        for k in [*(k for k, letter in enumerate(text) if letter == " "), len(text)]:
+            if k > first:
+                part = observed[places[first] : places[k - 1] + 1]
+                alone = self._search(part)
+                near = [t for cost, t, _ in alone if cost <= alone[0][0] + MARGIN and self.known(t)]
+                words.append(near[0].strip() if near else text[first:k])
+            first = k + 1
+        return " ".join(words)
+
+    def known(self, text: str) -> bool:
+        return any(weight_of(word, self.weights) for word in text.split())
 
 
 def disguised(token: str) -> bool:
@@ -168,9 +213,14 @@ def _words(text: str, decoder: Decoder, cache: dict[str, str]) -> list[str]:
         word = cache.get(token)
         if word is None:
             word = cache[token] = restored(token, decoder)
-        out.append(word)
+        if " " in word:
+            out += word.split()
+        else:
+            out.append(word)
     for run in _SPACED.finditer(low):
-        out.append(decoder.restore("".join(run[0].split())[:60]))
+        letters = run[0].split()
+        if not all(map(str.isdigit, letters)):
+            out += decoder.restore(" ".join(letters)).split()
     return out
 
 

@@ -33,6 +33,18 @@ def test_restores_disguised_words(spark, docs):
     assert got[4] == got[5]
 
 
+def test_insults_anywhere_in_spaced_and_joined_letters(spark, docs):
+    frame, labels = labelled(spark, docs)
+    model = toxicity.fit(frame, labels)
+    plain = "the people of the town went to the river and then they saw a boat near the old bridge"
+    assert len(plain.replace(" ", "")) > 60
+    late = f"{plain} stupid people of the town"
+    texts = ["then a s t u p i d man", " ".join(late.replace(" ", "")), " ".join("theyareidiot"), " ".join("they saw 1d10t near the town".replace(" ", ""))]
+    clean = [" ".join(plain.replace(" ", "")), "1 2 3 4 5 6 7 8", "x.y " * 50_000]
+    got = [r.score for r in toxicity.score(docs(texts + clean), model).orderBy("doc_id").collect()]
+    assert all(s >= 0.7 for s in got[: len(texts)]) and all(s < 0.3 for s in got[len(texts) :]), got
+
+
 def test_copies_of_a_toxic_text_are_not_evidence(spark, docs):
     frame, labels = labelled(spark, docs)
     more = docs(["a rare word of one text idiot"] * 50, list(range(1000, 1050)))
