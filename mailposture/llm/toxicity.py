@@ -54,6 +54,9 @@ CACHE_ENTRIES = 100_000
 
 _SPACED = re.compile(r"(?<!\S)(?:\S[^\S\n]){3,}\S(?!\S)")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…–—¡¿"
+#: Marks at the end of a token that cannot be look-alikes.
+_MARKS = "".join(c for c in _EDGES if c not in LOOKS)
+_NUMBER = re.compile(r"[$€£¢§#+(<-]*\d[\d.,:/+-]*[%$€£¢+)!*]*")
 _STRETCHED = re.compile(r"(.)\1\1")
 
 
@@ -187,21 +190,25 @@ class Decoder:
 
 
 def disguised(token: str) -> bool:
-    """Whether a token (lower case, without marks at its edges) is more than letters: look-alikes or separators inside, or letters stretched."""
+    """Whether a token (lower case) is more than letters: look-alikes or separators inside, or letters stretched.  Plain numbers are not."""
     if token.isalpha():
         return _STRETCHED.search(token) is not None
-    letters = sum(map(str.isalpha, token))
-    return letters >= 2 and len(token) <= 60
+    return _NUMBER.fullmatch(token) is None and any(c.isalpha() or (c in LOOKS and not c.isdigit()) for c in token)
 
 
 def restored(token: str, decoder: Decoder) -> str:
-    """The word that a token stands for."""
+    """The word that a token stands for; words with a blank between them, where a token joins several."""
     word = token.strip(_EDGES)
-    if word and token[0] in "@$!|":  # a look-alike may be the first letter
-        word = token.rstrip(_EDGES)
-    if disguised(word):
-        return decoder.restore(word)
-    return word
+    start = 0 if token[:1] and token[0] in "@$!|" else len(token) - len(token.lstrip(_EDGES))  # a look-alike may be the first letter
+    whole = token[start:].rstrip(_MARKS)
+    bare = token[start:].rstrip(_EDGES) if word else whole
+    if whole != bare and disguised(whole):  # or the last
+        text = decoder.restore(whole)
+        if decoder.known(text) or not whole[len(bare) :].strip("$@|"):
+            return text
+    if disguised(bare):
+        return decoder.restore(bare)
+    return bare
 
 
 def _words(text: str, decoder: Decoder, cache: dict[str, str]) -> list[str]:

@@ -39,12 +39,21 @@ def test_insults_anywhere_in_spaced_and_joined_letters(spark, docs):
     plain = "the people of the town went to the river and then they saw a boat near the old bridge"
     assert len(plain.replace(" ", "")) > 60
     late = f"{plain} stupid people of the town"
-    texts = ["then a s t u p i d man", " ".join(late.replace(" ", "")), " ".join("theyareidiot"), " ".join("they saw 1d10t near the town".replace(" ", ""))]
-    clean = [" ".join(plain.replace(" ", "")), "1 2 3 4 5 6 7 8", "x.y " * 50_000]
+    texts = ["then a s t u p i d man", " ".join(late.replace(" ", "")), " ".join("theyareidiot"), ".".join(late.replace(" ", "")), " ".join("they saw 1d10t near the town".replace(" ", ""))]
+    clean = [" ".join(plain.replace(" ", "")), ".".join(plain.replace(" ", "")), "1 2 3 4 5 6 7 8", "x.y " * 50_000, "x." * 50_000]
     got = [r.score for r in toxicity.score(docs(texts + clean), model).orderBy("doc_id").collect()]
     assert all(s >= 0.7 for s in got[: len(texts)]) and all(s < 0.3 for s in got[len(texts) :]), got
 
 
+def test_heavily_disguised_words(spark, docs):
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    weights = {"loser": 5.0, "ass": 5.0}
+    decoder = toxicity.Decoder(toxicity.trigram_model(table), weights)
+    assert [toxicity.restored(w, decoder) for w in ("1053r", "10$3r", "loser!", "1,053", "$100", "1990")] == ["loser", "loser", "loser", "1,053", "$100", "1990"]
+    decoder = toxicity.Decoder(toxicity.trigram_model(docs(["an ass on the grass", "a class as such"] * 50)), weights)
+    assert [toxicity.restored(w, decoder) for w in ("a55", "a$$", "a$$.", "@$$")] == ["ass"] * 4
+
+
 def test_copies_of_a_toxic_text_are_not_evidence(spark, docs):
     frame, labels = labelled(spark, docs)
     more = docs(["a rare word of one text idiot"] * 50, list(range(1000, 1050)))
