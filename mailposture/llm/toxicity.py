@@ -103,6 +103,7 @@ class Decoder:
 
     def __init__(self, trigrams: np.ndarray, weights: dict[str, float] | None = None):
         self.trigrams, self.weights = trigrams.tolist(), weights or {}
+        self.begins = {form[:2] for form in self.weights}
 
     @staticmethod
     def _number(letter: str) -> int:
@@ -135,6 +136,14 @@ class Decoder:
                 moves.append(("", REPEAT / 3 if c == before and c in LOOKS else DROP if c.isdigit() else GAP if c not in LOOKS else 2 * LOOK))
                 if c not in LOOKS and not c.isdigit():
                     moves.append((" ", GAP))
+            if len(moves) == 1 and moves[0][0]:  # every path goes on by this letter
+                letter, price = moves[0]
+                n, ahead = self._number(letter), {}
+                for (a, b, step), cost in beam.items():
+                    ahead[b, n, len(chain)] = cost + price - self.trigrams[a][b][n]
+                    chain.append((step, letter, at))
+                beam, before = ahead, c
+                continue
             after: dict[tuple[int, int, int], float] = {}
             numbers.clear()
             for (a, b, step), cost in beam.items():
@@ -185,6 +194,10 @@ class Decoder:
             first = k + 1
         return " ".join(words)
 
+    def may_begin(self, word: str) -> bool:
+        """Whether a known word may begin with ``word``, by its first two letters; these are no look-alikes and stay in every path."""
+        return bool(self.weights) and (len(word) < 2 or not word[:2].isalpha() or word[0] == word[1] or word[:2] in self.begins)
+
     def known(self, text: str) -> bool:
         return any(weight_of(word, self.weights) for word in text.split())
 
@@ -202,9 +215,10 @@ def restored(token: str, decoder: Decoder) -> str:
     start = 0 if token[:1] and token[0] in "@$!|" else len(token) - len(token.lstrip(_EDGES))  # a look-alike may be the first letter
     whole = token[start:].rstrip(_MARKS)
     bare = token[start:].rstrip(_EDGES) if word else whole
-    if whole != bare and disguised(whole):  # or the last
+    short = len(bare) < 3 and whole[len(bare) :].strip("$@|") == ""
+    if whole != bare and (short or decoder.may_begin(bare)) and disguised(whole):  # or the last
         text = decoder.restore(whole)
-        if decoder.known(text) or not whole[len(bare) :].strip("$@|"):
+        if short or decoder.known(text):
             return text
     if disguised(bare):
         return decoder.restore(bare)
