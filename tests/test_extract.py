@@ -2,6 +2,7 @@ import base64
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from mailposture.operators import domains as dm
 from mailposture.operators import extract as xt
@@ -111,3 +112,26 @@ def test_a_missing_suffix_list_is_an_error(tmp_path):
         dm.listed_rules(str(tmp_path / "none.txt"))
     (tmp_path / "some.txt").write_text("// c\nch\n*.ck\n===BEGIN PRIVATE DOMAINS===\nx.com\n")
     assert dm.listed_rules(str(tmp_path / "some.txt")) == ("ch", "*.ck")
+
+
+def test_the_list_comes_with_the_package_and_the_session_may_name_another(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("pyspark.__file__", str(tmp_path / "nowhere" / "__init__.py"))
+    dm.listed_rules.cache_clear()
+    assert len(dm.listed_rules()) > 7000 and {"ch", "*.ck", "!www.ck", "gv.at"} <= set(dm.listed_rules())
+    (tmp_path / "other.dat").write_text("// own list\nzz   what follows is not read\n\nco.zz\n// ===BEGIN PRIVATE DOMAINS===\nch\n")
+    frame = spark.createDataFrame([("a.b.co.zz",), ("a.ch",)], "domain string")
+    spark.conf.set(dm.LIST_SETTING, str(tmp_path / "other.dat"))
+    try:
+        assert {r.domain: r.suffix for r in dm.split_domain(frame, "domain").collect()} == {"a.b.co.zz": "co.zz", "a.ch": ""}
+        spark.conf.set(dm.LIST_SETTING, str(tmp_path / "none.dat"))
+        with pytest.raises(Exception, match="none.dat"):
+            dm.split_domain(frame, "domain").collect()
+    finally:
+        spark.conf.unset(dm.LIST_SETTING)
+    assert {r.domain: r.suffix for r in dm.split_domain(frame, "domain").collect()} == {"a.b.co.zz": "", "a.ch": "ch"}
+
+
+def test_all_rules_are_joined_once(spark):
+    frame = spark.range(1).select(F.lit("a.b.ch").alias("domain"))
+    plan = dm.split_domain(frame, "domain")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("HashJoin") + plan.count("SortMergeJoin") == 1
