@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if shared:
         return shared
-    if not context.master.startswith("local"):
+    if context.master.split("[")[0] != "local":
         raise ValueError("set spark.checkpoint.dir to a shared folder before running jobs in several steps")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="mailposture-"))
     return context.getCheckpointDir()
@@ -52,5 +53,20 @@ def store(df: DataFrame) -> DataFrame:
     """
     path = f"{shared_folder(df.sparkSession)}/mailposture-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
 
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that :func:`store` wrote.  Nothing that is still to run may read them."""
+    for frame in frames:
+        spark = frame.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nobody holds any more; it does so when the driver collects garbage, which may be never in a short job."""
+    gc.collect()
+    spark._jvm.System.gc()
