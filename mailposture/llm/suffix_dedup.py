@@ -143,6 +143,15 @@ def asked(found: Stretches, ids: np.ndarray, parts: int) -> Asked:
     return Asked(k[start], several, np.searchsorted(p[start], np.arange(parts + 1)), place)
 
 
+def questions_of(run: int, ask: Asked) -> pa.RecordBatch:
+    """What a run sends to each partition: six bytes an anchor, the last bit of which says whether several documents of the run have it."""
+    both = (ask.keys << np.uint64(1)) | ask.several.astype(np.uint64)
+    six = np.ascontiguousarray(both.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+    filled = np.flatnonzero(np.diff(ask.bounds))
+    blobs = [six[ask.bounds[p] : ask.bounds[p + 1]].tobytes() for p in filled]
+    return pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(np.full(len(filled), run)), pa.array(blobs, pa.binary())], ["part", "run", "body"])
+
+
 # --- runs ------------------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -194,12 +203,7 @@ def _ask(batches: Iterator[pa.RecordBatch], length: int, parts: int) -> Iterator
     for batch in batches:
         for run, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
             texts = unpack(packed.as_py())
-            ask = asked(stretches(texts.raw, texts.offsets, texts.active, length), texts.ids, parts)
-            both = (ask.keys << np.uint64(1)) | ask.several.astype(np.uint64)
-            six = np.ascontiguousarray(both.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
-            filled = np.flatnonzero(np.diff(ask.bounds))
-            blobs = [six[ask.bounds[p] : ask.bounds[p + 1]].tobytes() for p in filled]
-            yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(np.full(len(filled), run)), pa.array(blobs, pa.binary())], ["part", "run", "body"])
+            yield questions_of(run, asked(stretches(texts.raw, texts.offsets, texts.active, length), texts.ids, parts))
 
 
 ASKED = "part int, run bigint, body binary"

@@ -4,7 +4,7 @@ import corpus_pipeline
 import public_tokenizers
 import tiktoken
 from pyspark.sql import functions as F
-from test_simhash import classes, fingerprint
+from test_near_copies import survivors
 from test_suffix_dedup import expected
 
 from mailposture.llm import decontamination, toxicity
@@ -24,8 +24,8 @@ def test_against_brute_force(spark):
     model = toxicity.fit(docs, toxicity.train_rows(spark.read.parquet(f"{SF}/labels.parquet")))
     clean = {r.doc_id for r in toxicity.score(docs, model).filter(F.col("score") < 0.7).collect()}
     rows = sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in clean)
-    groups = classes([i for i, _ in rows], [fingerprint(t) for _, t in rows])
-    rows = [r for r, g in zip(rows, groups) if r[0] == g]
+    stay = set(survivors(rows))
+    rows = [r for r in rows if r[0] in stay]
     cut = expected([i for i, _ in rows], [t for _, t in rows])
     rows = [(i, kept.decode("utf-8", "ignore")) for i, _, spans, kept in cut if not spans or kept]
     items = [decontamination.tokens(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]

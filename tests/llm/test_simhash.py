@@ -100,3 +100,13 @@ def test_query_over_documents(spark, rows):
     table = spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").collect()
     got = queries.RUN["op1_simhash"](spark, sf).select(F.col("doc_id"), "fingerprint", "component_id")
     assert sorted(map(tuple, got.collect())) == expected([r.doc_id for r in table], [r.text for r in table])
+
+
+def test_a_rising_path_takes_few_rounds(spark, monkeypatch):
+    from mailposture.llm import graph
+
+    stored = []
+    monkeypatch.setattr(graph, "store", lambda df, keep=graph.store: stored.append(1) or keep(df))
+    edges = spark.range(1000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {(r.node, r.root) for r in graph.components(edges).collect()} == {(k, 0) for k in range(1001)}
+    assert len(stored) < 3 * 25
