@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mailposture import dims
 from mailposture.functions.text import asn_country, asn_number, contains_any, first_match, strip
+from mailposture.operators.signatures import match_rows, matched_texts
 from mailposture.session import store
 from mailposture.skew import lookup_join
 
@@ -58,7 +59,10 @@ def _evidence(df: DataFrame, kind: str, provider: Column, detail: Column, raw: C
     )
 
 
-def _match_rows(df: DataFrame, text: Column, patterns: dict[str, list[str]]) -> DataFrame:
+def _match_rows(df: DataFrame, text: Column, patterns: dict[str, list[str]], signatures: DataFrame | None = None) -> DataFrame:
+    """Rows with ``m`` (sig, provider), one for each provider found: by fixed patterns, or by a table of any number of them (:mod:`signatures`)."""
+    if signatures is not None:
+        return match_rows(df, text, signatures)
     return df.withColumn("m", F.explode(_matching(text, patterns)))
 
 
@@ -72,9 +76,9 @@ def mx_hosts(dns_mx: DataFrame) -> DataFrame:
     return mx_rows(dns_mx).groupBy("domain").agg(F.sort_array(F.collect_set("host")).alias("mx"))
 
 
-def ev_mx(dns_mx: DataFrame) -> DataFrame:
+def ev_mx(dns_mx: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """MX hosts against provider patterns, one row per (host, provider)."""
-    rows = _match_rows(mx_rows(dns_mx).select("domain", "host"), F.col("host"), dims.MX_PATTERNS)
+    rows = _match_rows(mx_rows(dns_mx).select("domain", "host"), F.col("host"), dims.MX_PATTERNS, signatures)
     detail = F.concat(F.lit("MX "), F.col("host"), F.lit(" matches "), F.col("m.provider"))
     return _evidence(rows, "mx", F.col("m.provider"), detail, F.col("host"), F.col("host"), F.col("m.sig"))
 
@@ -99,10 +103,10 @@ def after_colon(token: Column) -> Column:
     return F.substring(token, F.lit(2) + F.length(F.substring_index(token, ":", 1)), F.length(token))
 
 
-def ev_spf(spf: DataFrame) -> DataFrame:
+def ev_spf(spf: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """SPF ``include:`` targets against provider patterns."""
     tokens = spf_tokens(spf, "spf").filter(F.lower("token").startswith("include:"))
-    rows = _match_rows(tokens.withColumn("target", after_colon(F.col("token"))), F.col("target"), dims.SPF_INCLUDES)
+    rows = _match_rows(tokens.withColumn("target", after_colon(F.col("token"))), F.col("target"), dims.SPF_INCLUDES, signatures)
     detail = F.concat(F.lit("SPF include:"), F.col("target"), F.lit(" matches "), F.col("m.provider"))
     return _evidence(rows, "spf", F.col("m.provider"), detail, F.col("spf"), no_text(), F.col("token_pos"), F.col("m.sig"))
 
@@ -129,15 +133,15 @@ def ev_dkim(dns_cname: DataFrame) -> DataFrame:
     return _evidence(rows, "dkim", F.col("m.provider"), detail, F.col("target"), no_text(), F.col("m.sig"), F.col("pos"))
 
 
-def ev_dmarc(dns_txt: DataFrame) -> DataFrame:
+def ev_dmarc(dns_txt: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """DMARC records that name a provider."""
     rows = dns_txt.filter(F.startswith("qname", F.lit("_dmarc."))).withColumn("domain", F.substring("qname", 8, 1 << 30))
-    rows = _match_rows(rows, F.col("txt"), dims.DMARC_PATTERNS)
+    rows = _match_rows(rows, F.col("txt"), dims.DMARC_PATTERNS, signatures)
     detail = F.concat(F.lit("DMARC record matches "), F.col("m.provider"))
     return _evidence(rows, "dmarc", F.col("m.provider"), detail, F.col("txt"), no_text(), F.col("pos"), F.col("m.sig"))
 
 
-def ev_autodiscover(dns_cname: DataFrame, dns_srv: DataFrame) -> DataFrame:
+def ev_autodiscover(dns_cname: DataFrame, dns_srv: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """Autodiscover aliases and service records."""
 
     def part(records: DataFrame, prefix: str, label: str, order: int) -> DataFrame:
@@ -146,7 +150,7 @@ def ev_autodiscover(dns_cname: DataFrame, dns_srv: DataFrame) -> DataFrame:
             .withColumn("domain", F.substring("qname", len(prefix) + 1, 1 << 30))
             .withColumn("target", host_name(F.col("target")))
         )
-        rows = _match_rows(rows, F.col("target"), dims.AUTODISCOVER_PATTERNS)
+        rows = _match_rows(rows, F.col("target"), dims.AUTODISCOVER_PATTERNS, signatures)
         detail = F.concat(F.lit(f"autodiscover {label} → "), F.col("target"))
         return _evidence(rows, "autodiscover", F.col("m.provider"), detail, F.col("target"), no_text(), F.lit(order), F.col("pos"), F.col("m.sig"))
 
@@ -182,22 +186,26 @@ def cname_ends(hosts: DataFrame, dns_cname: DataFrame, max_hops: int = 10) -> Da
     ).select("host", F.col("last.current").alias("current"))
 
 
-def ev_cname_chain(dns_mx: DataFrame, dns_cname: DataFrame) -> DataFrame:
+def ev_cname_chain(dns_mx: DataFrame, dns_cname: DataFrame, mx_signatures: DataFrame | None = None, signatures: DataFrame | None = None) -> DataFrame:
     """Alias chains of MX hosts that no MX pattern matched, by the end of the chain."""
     every = [p for words in dims.MX_PATTERNS.values() for p in words]
-    rows = mx_rows(dns_mx).select("domain", "host").filter(~contains_any(F.col("host"), every))
+    rows = mx_rows(dns_mx).select("domain", "host")
+    if mx_signatures is None:
+        rows = rows.filter(~contains_any(F.col("host"), every))
+    else:
+        rows = matched_texts(rows, F.col("host"), mx_signatures, "_known").filter(~F.col("_known")).drop("_known")
     ends = cname_ends(rows.select("host").distinct(), dns_cname).filter(F.col("current") != F.col("host"))
-    hits = _match_rows(ends, F.col("current"), dims.CNAME_PATTERNS)
+    hits = _match_rows(ends, F.col("current"), dims.CNAME_PATTERNS, signatures)
     rows = lookup_join(rows, hits, ["host"], "inner")
     detail = F.concat(F.lit("CNAME chain "), F.col("host"), F.lit(" → "), F.col("current"))
     return _evidence(rows, "cname_chain", F.col("m.provider"), detail, F.col("current"), F.col("host"), F.col("m.sig"))
 
 
-def ev_smtp(dns_mx: DataFrame, smtp_obs: DataFrame) -> DataFrame:
+def ev_smtp(dns_mx: DataFrame, smtp_obs: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """Greeting of the first MX host."""
     first = mx_rows(dns_mx).groupBy("domain").agg(F.min("host").alias("host"))
     text = F.concat_ws(" ", F.coalesce("banner", no_text()), F.coalesce("ehlo", no_text()))
-    hits = _match_rows(smtp_obs.withColumn("host", host_name(F.col("host"))), text, dims.SMTP_PATTERNS)
+    hits = _match_rows(smtp_obs.withColumn("host", host_name(F.col("host"))), text, dims.SMTP_PATTERNS, signatures)
     rows = lookup_join(first, hits.select("host", "banner", "m"), ["host"], "inner")
     detail = F.concat(F.lit("SMTP banner matches "), F.col("m.provider"))
     return _evidence(rows, "smtp", F.col("m.provider"), detail, F.col("banner"), no_text(), F.col("m.sig"))
@@ -260,10 +268,10 @@ def ev_asn(dns_mx: DataFrame, dns_a: DataFrame, asn_obs: DataFrame, country: Col
     )
 
 
-def ev_txt(dns_txt: DataFrame) -> DataFrame:
+def ev_txt(dns_txt: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """Verification strings, and any record under ``_amazonses.``."""
     own = _match_rows(
-        dns_txt.filter(~F.startswith("qname", F.lit("_"))).withColumn("domain", F.col("qname")), F.col("txt"), dims.TXT_PATTERNS
+        dns_txt.filter(~F.startswith("qname", F.lit("_"))).withColumn("domain", F.col("qname")), F.col("txt"), dims.TXT_PATTERNS, signatures
     )
     own = _evidence(
         own,

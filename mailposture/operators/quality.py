@@ -18,7 +18,8 @@ from mailposture.functions.text import contains_any, first_match
 from mailposture.operators.classify import BIT
 from mailposture.operators.evidence import host_name
 from mailposture.operators.reports import ENTITY, kind_bit, n_rows, pct, true
-from mailposture.skew import semi_join, top_per_group
+from mailposture.operators.signatures import matches
+from mailposture.skew import lookup_join, semi_join, top_per_group
 
 FINDING = ["severity", "category", "country", "code", "name", "region", "domain", "message", "details"]
 SIGNATURE_NAME = {"microsoft": "ms365", "google": "google", "aws": "aws"}
@@ -90,8 +91,8 @@ def check_unknown(providers: DataFrame, signals: DataFrame) -> DataFrame:
     return finding(rows, "unknown_classification", severity, message, gateway=text("gateway"), n_signals=F.col("n"))
 
 
-def mx_match(provider_mx: DataFrame, providers: DataFrame) -> DataFrame:
-    """Per cloud entity: number of servers, whether one is a gateway, whether one fits the provider, first servers."""
+def mx_match(provider_mx: DataFrame, providers: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
+    """Per cloud entity: number of servers, whether one is a gateway, whether one fits the provider by fixed patterns or by a table of signatures."""
     cloud = providers.filter(F.col("provider").isin(list(SIGNATURE_NAME)))
     every_gateway = [w for words in dims.GATEWAYS.values() for w in words]
     rows = cloud.select(*ENTITY, "provider").join(provider_mx.filter(F.col("host").isNotNull()), ENTITY)
@@ -99,15 +100,19 @@ def mx_match(provider_mx: DataFrame, providers: DataFrame) -> DataFrame:
         ((F.col("provider") == out, contains_any(F.col("host"), dims.MX_PATTERNS[sig])) for out, sig in SIGNATURE_NAME.items()),
         F.lit(False),
     )
+    if signatures is not None:
+        named = first_match(((F.col("provider") == sig, F.lit(out)) for out, sig in SIGNATURE_NAME.items()), F.lit(None))
+        hits = matches(provider_mx, "host", signatures).select(F.col("text").alias("host"), named.alias("provider"), F.lit(True).alias("_fits")).distinct()
+        rows, fits = lookup_join(rows, hits, ["host", "provider"]), F.coalesce("_fits", F.lit(False))
     return rows.groupBy(*ENTITY).agg(
         n_rows().alias("n_mx"), F.bool_or(contains_any(F.col("host"), every_gateway)).alias("gateway_mx"), F.bool_or(fits).alias("fits")
     )
 
 
-def check_mx_provider(providers: DataFrame, provider_mx: DataFrame) -> DataFrame:
+def check_mx_provider(providers: DataFrame, provider_mx: DataFrame, signatures: DataFrame | None = None) -> DataFrame:
     """Cloud providers without a fitting server, or without any; entities behind a gateway are skipped."""
     cloud = providers.filter(F.col("provider").isin(list(SIGNATURE_NAME)) & (text("gateway") == ""))
-    rows = cloud.join(mx_match(provider_mx, cloud), ENTITY, "left").filter(
+    rows = cloud.join(mx_match(provider_mx, cloud, signatures), ENTITY, "left").filter(
         F.col("n_mx").isNull() | (~F.col("gateway_mx") & ~F.col("fits"))
     )
     shown = top_per_group(provider_mx.filter(F.col("host").isNotNull()).join(rows.select(*ENTITY), ENTITY, "left_semi"), ENTITY, [F.col("pos")], 3)

@@ -10,6 +10,7 @@ from mailposture.operators import classify as cls
 from mailposture.operators import evidence as ev
 from mailposture.operators import export as ex
 from mailposture.operators import reports as rp
+from mailposture.operators import signatures as sg
 from mailposture.plans.registry import BODY, query, r6
 from mailposture.skew import lookup_join
 
@@ -196,6 +197,48 @@ SQL_SPF_IP = f"""{SQL_NET},
     FROM addr JOIN net USING (ip) GROUP BY domain, asn)"""
 
 
+# --- the same evidence with signatures as tables ------------------------------------------------------------------
+
+
+def signed(t, patterns):
+    return sg.signature_table(t.spark, patterns)
+
+
+@query("evidence_mx_by_table", BODY["evidence_mx"])
+def evidence_mx_by_table(t):
+    return shown(ev.ev_mx(t("v_mx"), signed(t, dims.MX_PATTERNS)))
+
+
+@query("evidence_spf_by_table", BODY["evidence_spf_include"])
+def evidence_spf_by_table(t):
+    return shown(ev.ev_spf(ev.spf_record(t("v_txt")), signed(t, dims.SPF_INCLUDES)))
+
+
+@query("evidence_dmarc_by_table", BODY["evidence_dmarc"])
+def evidence_dmarc_by_table(t):
+    return shown(ev.ev_dmarc(t("v_txt"), signed(t, dims.DMARC_PATTERNS)))
+
+
+@query("evidence_autodiscover_by_table", BODY["evidence_autodiscover"])
+def evidence_autodiscover_by_table(t):
+    return shown(ev.ev_autodiscover(t("v_cname"), t("v_srv"), signed(t, dims.AUTODISCOVER_PATTERNS)))
+
+
+@query("evidence_smtp_by_table", BODY["evidence_smtp"])
+def evidence_smtp_by_table(t):
+    return shown(ev.ev_smtp(t("v_mx"), t("v_smtp"), signed(t, dims.SMTP_PATTERNS)))
+
+
+@query("evidence_txt_by_table", BODY["evidence_txt"])
+def evidence_txt_by_table(t):
+    return shown(ev.ev_txt(t("v_txt"), signed(t, dims.TXT_PATTERNS)))
+
+
+@query("cname_chain_by_table", BODY["cname_chain"])
+def cname_chain_by_table(t):
+    return shown(ev.ev_cname_chain(t("v_mx"), t("v_cname"), signed(t, dims.MX_PATTERNS), signed(t, dims.CNAME_PATTERNS)))
+
+
 @query("spf_ip_first_asn", f"WITH {SQL_SPF_IP} SELECT domain, asn, ip, registered FROM firsts")
 def spf_ip_first_asn(t):
     return ev.spf_networks(t("v_txt"), t("v_a"), t("v_asn")).select("domain", "asn", "ip", "registered")

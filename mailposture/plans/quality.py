@@ -8,6 +8,7 @@ from mailposture import dims
 from mailposture.operators import quality as qc
 from mailposture.operators import reports as rp
 from mailposture.operators import stats as st
+from mailposture.operators.signatures import signature_table
 from mailposture.plans.providers import EXPORT_SQL, export_rows, sql_any, sql_pct
 from mailposture.plans.registry import query, r6
 from mailposture.plans.security import MERGED
@@ -73,6 +74,11 @@ def check_mx_provider(t):
     return shown(qc.check_mx_provider(t("v_provider"), t("v_provider_mx")))
 
 
+@query("check_mx_provider_by_table", SQL_MXP)
+def check_mx_provider_by_table(t):
+    return shown(qc.check_mx_provider(t("v_provider"), t("v_provider_mx"), signature_table(t.spark, dims.MX_PATTERNS)))
+
+
 SQL_NOSPF = f"""SELECT 'WARNING' AS severity, 'missing_spf' AS category, {HEAD}, 'provider=' || provider || ' but no SPF record' AS message FROM v_provider WHERE provider NOT IN ('unknown', 'domestic') AND trim(spf) = ''"""
 
 
