@@ -259,12 +259,13 @@ def sorted_stretches(texts: Run, answers: list[dict], length: int, parts: int) -
     slices = [data[a:b] for a, b in zip(owners.first.tolist(), (owners.last + length).tolist())]
     part = part_of(owners.key, parts)
     by_part: dict[bytes, int] = dict(zip(slices, part.tolist()))  # equal stretches have equal anchors
-    distinct = sorted(by_part, key=lambda s: (by_part[s], s))
-    index = {s: k for k, s in enumerate(distinct)}
-    place = np.fromiter((index[s] for s in slices), np.int64, len(slices))
+    distinct = sorted(by_part)
+    distinct.sort(key=by_part.__getitem__)  # stable: by partition, then by bytes
+    index = dict(zip(distinct, range(len(distinct))))
+    place = np.fromiter(map(index.__getitem__, slices), np.int64, len(slices))
     least = np.full(len(distinct), np.iinfo(np.int64).max)
     np.minimum.at(least, place, texts.ids[owners.row])
-    bounds = np.searchsorted(np.fromiter((by_part[s] for s in distinct), np.int64, len(distinct)), np.arange(parts + 1))
+    bounds = np.searchsorted(np.fromiter(map(by_part.__getitem__, distinct), np.int64, len(distinct)), np.arange(parts + 1))
     return Sorted(distinct, bounds, least, owners, place)
 
 
@@ -330,8 +331,8 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bool
             return a, b
         n = min(len(x), len(y))
         i = s
-        while i < n and x[i] == y[i]:
-            i += 1
+        if i < n and x[i] == y[i]:  # the bytes from here on as two numbers: their difference has as many leading zero bytes as are shared
+            i = n - ((int.from_bytes(x[s:n]) ^ int.from_bytes(y[s:n])).bit_length() + 7) // 8
         if i == len(x) or (i < n and x[i] < y[i]):
             shares[b] = i
             return a, b
