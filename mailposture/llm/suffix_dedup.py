@@ -309,30 +309,27 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bool
     size = 1
     while size < count:
         size *= 2
-    heads: list[bytes | None] = [None] * size  # None: the run is at its end, larger than all
-    shares, places = [0] * size, [0] * size
+    heads: list[bytes | None] = [None] * size
+    shares, places = [-1] * size, [0] * size  # a run at its end shares less than nothing, so it loses to all
     for k, (texts, _) in enumerate(runs):
         if texts:
-            heads[k] = texts[0]
+            heads[k], shares[k] = texts[0], 0
     losers = [0] * size
+    as_number = int.from_bytes
 
     def smaller(a: int, b: int) -> tuple[int, int]:
-        """(winner, loser); the loser then carries what it shares with the winner."""
+        """(winner, loser) of two candidates that share as much; the loser then carries what it shares with the winner."""
         x, y = heads[a], heads[b]
-        if x is None:
-            return b, a
-        if y is None:
-            return a, b
-        s, t = shares[a], shares[b]
-        if s != t:
-            return (a, b) if s > t else (b, a)
         if x == y:
             shares[b] = len(y)
             return a, b
         n = min(len(x), len(y))
-        i = s
-        if i < n and x[i] == y[i]:  # the bytes from here on as two numbers: their difference has as many leading zero bytes as are shared
-            i = n - ((int.from_bytes(x[s:n]) ^ int.from_bytes(y[s:n])).bit_length() + 7) // 8
+        i = shares[a]
+        near = min(n, i + 4)
+        while i < near and x[i] == y[i]:
+            i += 1
+        if i == near < n:  # the bytes from here on as two numbers: their difference has as many leading zero bytes as are shared
+            i = n - ((as_number(x[i:n]) ^ as_number(y[i:n])).bit_length() + 7) // 8
         if i == len(x) or (i < n and x[i] < y[i]):
             shares[b] = i
             return a, b
@@ -342,8 +339,13 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bool
     def build(node: int) -> int:
         if node >= size:
             return node - size
-        winner, losers[node] = smaller(build(2 * node), build(2 * node + 1))
-        return winner
+        one, two = build(2 * node), build(2 * node + 1)
+        if shares[one] == shares[two] >= 0:
+            one, two = smaller(one, two)
+        elif shares[two] > shares[one]:
+            one, two = two, one
+        losers[node] = two
+        return one
 
     top = build(1)
     last: bytes | None = None
@@ -353,19 +355,18 @@ def merge_runs(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[bool
         texts, prefix = runs[top]
         p = places[top] = places[top] + 1
         if p < len(texts):
-            heads[top], shares[top] = texts[p], prefix[p]
+            heads[top], share = texts[p], prefix[p]
         else:
-            heads[top] = None
+            heads[top], share = None, -1
+        shares[top] = share
         node = (top + size) >> 1
         while node:
             other = losers[node]
-            y = heads[other]
-            if y is not None:
-                x = heads[top]
-                if x is None or shares[other] > shares[top]:
-                    losers[node], top = top, other
-                elif shares[other] == shares[top]:
-                    top, losers[node] = smaller(top, other)
+            s = shares[other]
+            if s > share:
+                losers[node], top, share = top, other, s
+            elif s == share and s >= 0:
+                top, losers[node] = smaller(top, other)
             node >>= 1
 
 
