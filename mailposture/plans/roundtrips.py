@@ -11,7 +11,7 @@ from mailposture.plans.registry import BODY, query, r6
 from mailposture.plans.resolve import NOW, SQL_FRESH
 from mailposture.session import shared_folder
 from mailposture.sources import observations as ob
-from mailposture.sources import sinks
+from mailposture.sources import json_splits, registries, sinks
 from mailposture.sources import stages as sg
 from mailposture.streaming import observations as st
 
@@ -113,3 +113,38 @@ def report_round_trip(t):
     back = t.spark.read.schema("country string, provider string, n bigint").csv(f"{path}/shares", header=True)
     meta = t.spark.read.schema("generated string, commit string, country string, total bigint").csv(f"{path}/shares_meta", header=True)
     return back.join(F.broadcast(meta.select("country", "generated", "total")), "country")
+
+
+#: Entities of one JSON file, which bounds what is collected to write it.
+FILE_ROWS = 2000
+#: Text that looks like JSON, so that braces in strings and escapes stand in every record.
+NOISE = ' "}], \\ {[:'
+SQL_NOISE = "name || ' ' || chr(34) || '}], ' || chr(92) || ' {[:'"
+
+
+def write_json_files(t, path: str, body) -> None:
+    """Files of ``FILE_ROWS`` entities, one JSON value each, without line ends between its records."""
+    rows = t("v_entity").withColumn("name", F.concat("name", F.lit(NOISE)))
+    files = rows.groupBy("country", F.floor(F.col("k") / FILE_ROWS).alias("part")).agg(body.alias("value"))
+    files.repartition("country", "part").write.partitionBy("country", "part").text(path)
+
+
+@query("registry_array_split", f"SELECT code, {SQL_NOISE} AS name, coalesce(region, '') AS region, coalesce(domain, '') AS domain FROM v_entity WHERE country = 'de'")
+def registry_array_split(t):
+    """JSON arrays of records, cut at records by many tasks."""
+    path = folder(t)
+    entry = F.struct(F.concat(F.lit("DE-"), "code").alias("id"), "name", F.coalesce("region", F.lit("")).alias("region"), "domain")
+    write_json_files(t, path, F.to_json(F.collect_list(entry)))
+    return registries.read_registry_array(t.spark, f"{path}/country=de/*", large=True).select("code", "name", "region", "domain")
+
+
+@query("registry_map_split", f"SELECT country, code, {SQL_NOISE} AS name, coalesce(domain, '') AS domain FROM v_entity")
+def registry_map_split(t):
+    """Envelopes with a map of records under one key and other arrays and objects beside it."""
+    path = folder(t)
+    entries = F.map_from_entries(F.collect_list(F.struct(F.col("code"), F.struct("name", "domain").alias("e"))))
+    head, beside = F.lit('{"counts":{"a":{"municipalities":{"x":{}}}},"generated":"\\"municipalities\\": {","municipalities":'), F.lit(',"more":[{"code":"no"},{"name":{}}]}')
+    write_json_files(t, path, F.concat(head, F.to_json(entries), beside))
+    rows = json_splits.read_map(t.spark, f"{path}/*/*", "struct<name:string,domain:string>", "municipalities")
+    country = F.regexp_extract("file", "country=([^/]+)/", 1)
+    return rows.select(country.alias("country"), "code", "e.name", F.coalesce("e.domain", F.lit("")).alias("domain"))

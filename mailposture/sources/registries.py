@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mailposture import dims
 from mailposture.functions.names import normalize_name
 from mailposture.functions.text import lookup, normalize_code, strip, url_domain
 from mailposture.skew import lookup_join
+from mailposture.sources import json_splits
 
 OVERRIDE_ENTRY = "struct<email_domain:string,website:string,name:string,canton:string>"
 SHORT_TO_CANTON = {short: full for full, short in dims.REGION_ABBREVIATIONS["ch"].items()}
@@ -23,8 +25,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path)
 
 
-def read_json_map(spark: SparkSession, path: str, entry: str, field: str | None = None, key: str = "code") -> DataFrame:
-    """A JSON object ``{key: entry}``, or one under ``field`` of an envelope, as rows of key and entry fields."""
+def read_json_map(spark: SparkSession, path: str, entry: str, field: str | None = None, key: str = "code", large: bool = False) -> DataFrame:
+    """A JSON object ``{key: entry}``, or one under ``field`` of an envelope, as rows of key and entry fields.
+
+    A file is read in one task, a ``large`` one in many (see ``json_splits``; its entries are objects).
+    """
+    if large:
+        return json_splits.read_map(spark, path, entry, field, key).select(key, "e.*")
     text = spark.read.text(path, wholetext=True)
     if field:
         parsed = F.from_json("value", f"struct<{field}:map<string,{entry}>>")[field]
@@ -33,17 +40,24 @@ def read_json_map(spark: SparkSession, path: str, entry: str, field: str | None
     return text.select(F.explode(parsed).alias(key, "e")).select(key, "e.*")
 
 
-def read_registry_array(spark: SparkSession, path: str) -> DataFrame:
+def read_objects(spark: SparkSession, path: str, schema: str, large: bool) -> DataFrame:
+    """The objects of a JSON array with the columns ``schema``; one task reads a file, many a ``large`` one."""
+    if not large:
+        return spark.read.schema(schema).json(path, multiLine=True)
+    return json_splits.read_array(spark, path, StructType.fromDDL(schema).simpleString()).select("e.*")
+
+
+def read_registry_array(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
     """Registry with entries ``DE-<code>``."""
     schema = "id string, name string, country string, region string, domain string, osm_relation_id bigint"
-    rows = spark.read.schema(schema).json(path, multiLine=True)
+    rows = read_objects(spark, path, schema, large)
     code = F.replace("id", F.lit("DE-"), F.lit(""))
     return rows.select(code.alias("code"), "name", "region", F.coalesce("domain", F.lit("")).alias("domain"), "osm_relation_id")
 
 
-def read_registry_map(spark: SparkSession, path: str) -> DataFrame:
+def read_registry_map(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
     """Registry with a map of entries under ``municipalities``."""
-    return read_json_map(spark, path, "struct<name:string,domain:string>", "municipalities").select(
+    return read_json_map(spark, path, "struct<name:string,domain:string>", "municipalities", large=large).select(
         "code", "name", F.coalesce("domain", F.lit("")).alias("domain")
     )
 
@@ -69,13 +83,13 @@ def email_list(rows: DataFrame, skip: list[str]) -> DataFrame:
     )
 
 
-def read_name_reference(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_map(spark, path, "struct<name:string>")
+def read_name_reference(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
+    return read_json_map(spark, path, "struct<name:string>", large=large)
 
 
-def read_registry_at(spark: SparkSession, path: str) -> DataFrame:
+def read_registry_at(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
     schema = "Gemeindekennziffer bigint, Gemeindename string, PLZ bigint, Website string, Mail string"
-    return registry_at(spark.read.schema(schema).json(path, multiLine=True))
+    return registry_at(read_objects(spark, path, schema, large))
 
 
 def registry_at(rows: DataFrame) -> DataFrame:
@@ -148,12 +162,15 @@ def paged_registry(rows: DataFrame, country: str) -> DataFrame:
     return entry.groupBy("code").agg(F.max(F.struct("page", "entry")).alias("last")).select("code", "last.entry.*")
 
 
-def read_bindings(spark: SparkSession, path: str, code_field: str) -> DataFrame:
-    """Result bindings of a knowledge-base query; ``pos`` keeps their order."""
+def read_bindings(spark: SparkSession, path: str, code_field: str, large: bool = False) -> DataFrame:
+    """Result bindings of a knowledge-base query; ``pos`` keeps their order.  Many tasks read a ``large`` file."""
     value = "struct<value:string>"
     entry = f"struct<{code_field}:{value},itemLabel:{value},website:{value},cantonLabel:{value}>"
     schema = f"struct<results:struct<bindings:array<{entry}>>>"
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", schema)["results"]["bindings"]).alias("pos", "b"))
+    if large:
+        rows = json_splits.read_array(spark, path, entry, "results.bindings").select(F.struct("file", "n").alias("pos"), F.col("e").alias("b"))
+    else:
+        rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.from_json("value", schema)["results"]["bindings"]).alias("pos", "b"))
     return merge_bindings(
         rows.select(
             "pos",
