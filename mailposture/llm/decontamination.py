@@ -3,7 +3,7 @@
 Seeds are all runs of ``min_match`` tokens of the items.  The benchmark goes to the tasks in blocks of a bounded number of seeds, one pass over the documents for each block, so
 neither the number of items nor that of documents is limited and nothing is sent to all tasks without a bound.  A document is compared with the items whose seeds cover
 enough of the item (tiles consist of seeds, so nothing is lost by that).  Tiling then marks the longest common run of unmarked tokens, again and again,
-found by running Karp-Rabin hashes at falling lengths; the share of an item's tokens under tiles is its coverage.
+found by running Karp-Rabin hashes at falling lengths; the share of an item's tokens under tiles is its coverage.  Items too short for a seed are looked up whole.
 """
 
 from __future__ import annotations
@@ -17,11 +17,12 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from mailposture.llm.blocks import tidy
+from mailposture.session import store
 
 #: Tokens of the shortest tile, and of the seeds.
 MIN_MATCH = 5
@@ -30,12 +31,25 @@ COVERAGE = 0.5
 #: Seeds of a block of the benchmark, about.
 BLOCK_SEEDS = 1 << 20
 
-_WORD = re.compile(r"\w+")
+#: Scripts written without blanks: Thai to Lao, Myanmar, Khmer, kana, Han.  Each of their characters is a token.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
+_SINGLE = "".join(f"{chr(a)}-{chr(b)}" for a, b in UNSPACED)
+
+_ASCII_WORD = re.compile(r"\w+", re.ASCII)
+_WORD = re.compile(rf"[{_SINGLE}]|[^\W{_SINGLE}]+")
 _PRIME, _BASE = (1 << 61) - 1, 0x1F3D5B79A2C4E681 % ((1 << 61) - 1)
 
 
 def tokens(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    """Words in lower case; single characters of scripts without blanks."""
+    text = (text or "").lower()
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
+
+
+def token_bound(text: Column) -> Column:
+    """As a column: at least the number of :func:`tokens`."""
+    single = "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in UNSPACED)
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}_]+")) + F.regexp_count(text, F.lit(f"[{single}]"))
 
 
 def token_hashes(words: list[str]) -> np.ndarray:
@@ -120,16 +134,20 @@ def tile(item: list[int], text: list[int], min_match: int = MIN_MATCH) -> list[T
 
 
 class Items(NamedTuple):
-    """A block of the benchmark: ids, token hashes, and the places (item, position) of seeds in the order of their hashes."""
+    """A block of the benchmark: ids, token hashes, and the places (item, position) of seeds in the order of their hashes.
+
+    ``short`` holds items without a seed: for each number of tokens the hashes of whole items and the items with each.
+    """
 
     ids: list
     words: list[np.ndarray]
     seeds: np.ndarray
     item: np.ndarray
     at: np.ndarray
+    short: dict[int, dict[int, list[int]]]
 
 
-def block_of(rows: list[tuple[object, str]], min_match: int) -> Items:
+def block_of(rows: list[tuple[object, str]], min_match: int, min_item: int) -> Items:
     words = [token_hashes(tokens(text)) for _, text in rows]
     runs = [run_hashes(w, min_match) for w in words]
     sizes = [len(r) for r in runs]
@@ -137,12 +155,26 @@ def block_of(rows: list[tuple[object, str]], min_match: int) -> Items:
     item = np.repeat(np.arange(len(rows)), sizes)
     at = np.concatenate([np.zeros(0, np.int64), *[np.arange(n) for n in sizes]]).astype(np.int64)
     order = np.argsort(seeds, kind="stable")
-    return Items([i for i, _ in rows], words, seeds[order], item[order], at[order])
+    short: dict[int, dict[int, list[int]]] = {}
+    for k, w in enumerate(words):
+        if max(1, min_item) <= len(w) < min_match:
+            short.setdefault(len(w), {}).setdefault(int(run_hashes(w, len(w))[0]), []).append(k)
+    return Items([i for i, _ in rows], words, seeds[order], item[order], at[order], short)
+
+
+def whole_items(words: np.ndarray, block: Items) -> Iterator[tuple[int, int, int]]:
+    """Like :func:`compare`, for items without a seed: all of their tokens stand in a row."""
+    for length, items in block.short.items():
+        runs = run_hashes(words, length)
+        for at in np.flatnonzero(np.isin(runs, np.fromiter(items, np.uint64, len(items)))).tolist():
+            yield from ((i, length, 1) for i in items[int(runs[at])] if np.array_equal(words[at : at + length], block.words[i]))
 
 
 def compare(text: str | None, block: Items, min_match: int, coverage: float) -> Iterator[tuple[int, int, int]]:
     """(item number, covered tokens, tiles) of the items whose tiles cover enough of them."""
     words = token_hashes(tokens(text))
+    if block.short:
+        yield from dict.fromkeys(whole_items(words, block))
     runs = run_hashes(words, min_match)
     low = np.searchsorted(block.seeds, runs)
     hit = np.flatnonzero((low < len(block.seeds)) & (block.seeds[np.minimum(low, max(0, len(block.seeds) - 1))] == runs)) if len(block.seeds) else np.zeros(0, np.int64)
@@ -188,29 +220,33 @@ def _compared(batches: Iterator[pa.RecordBatch], block, min_match: int, coverage
         yield pa.RecordBatch.from_arrays(columns, ["id", "item", "n_covered", "n_tokens", "n_tiles"])
 
 
-def blocks(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str, min_match: int, block_seeds: int) -> Iterator[Broadcast]:
+def blocks(spark: SparkSession, benchmark: DataFrame, item_col: str, text_col: str, min_match: int, min_item: int, block_seeds: int) -> Iterator[Broadcast]:
     """The benchmark in blocks of about ``block_seeds`` seeds, each sent to all tasks; items are dealt by a hash.  There is at least one block."""
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).cast("string").alias("text")).dropna(subset=["text"])
-    words = items.agg(F.sum(F.size(F.split("text", r"\W+"))).alias("n")).first().n or 0
+    words = items.agg(F.sum(token_bound(F.col("text"))).alias("n")).first().n or 0
     count = max(1, -(-words // block_seeds))
     for k in range(count):
         part = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k)
-        yield spark.sparkContext.broadcast(block_of([(r.item, r.text) for r in part.collect()], min_match))
+        yield spark.sparkContext.broadcast(block_of([(r.item, r.text) for r in part.collect()], min_match, min_item))
 
 
 def contained(
-    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_seeds: int = BLOCK_SEEDS
+    df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_seeds: int = BLOCK_SEEDS, min_item: int = 1
 ) -> DataFrame:
     """(id, item, n_covered, n_tokens, n_tiles, coverage): items of ``benchmark`` that stand in rows of ``df`` to at least ``coverage``.
 
-    Tokens are words in lower case.  Items of fewer than ``min_match`` tokens have no seed and are in no document; null and empty texts contain nothing.
-    Repeated rows and items give repeated results.  An item of more seeds than a block holds is not cut.
+    Tokens are words in lower case, and the single characters of scripts without blanks.  Items of fewer than ``min_match`` tokens have no seed: they are contained where all
+    of their tokens stand in a row, those of fewer than ``min_item`` nowhere.  Null and empty texts contain nothing.  Repeated rows and items give repeated results.  An item of
+    more seeds than a block holds is not cut.  The results of a block, a few rows, are written before the next one is built, so one block is held at a time.
     """
     kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     schema = f"id {kind}, item {item_kind.simpleString()}, n_covered bigint, n_tokens bigint, n_tiles bigint"
     arrow = to_arrow_type(item_kind)
     rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    found = [rows.mapInArrow(lambda b, block=block: _compared(b, block, min_match, coverage, arrow), schema) for block in blocks(df.sparkSession, benchmark, item_col, item_text_col, min_match, block_seeds)]
+    found = []
+    for block in blocks(df.sparkSession, benchmark, item_col, item_text_col, min_match, min_item, block_seeds):
+        found.append(store(rows.mapInArrow(lambda b, block=block: _compared(b, block, min_match, coverage, arrow), schema)))
+        block.destroy()
     out = reduce(DataFrame.unionByName, found)
     return out.withColumn("coverage", F.col("n_covered") / F.col("n_tokens")).withColumnsRenamed({"id": id_col, "item": item_col})
 
@@ -223,10 +259,13 @@ def _clean(batches: Iterator[pa.RecordBatch], block: Broadcast, at: int, min_mat
 
 
 def clean(
-    df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_seeds: int = BLOCK_SEEDS
+    df: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", min_match: int = MIN_MATCH, coverage: float = COVERAGE, block_seeds: int = BLOCK_SEEDS, min_item: int = MIN_MATCH
 ) -> DataFrame:
-    """Rows of ``df`` that contain no item of ``benchmark``, with all columns, filtered where they are read: one pass for each block."""
+    """Rows of ``df`` that contain no item of ``benchmark``, with all columns, filtered where they are read: one pass for each block.
+
+    Shorter items than ``min_item`` tokens remove nothing: a phrase of a few words also stands in clean texts.  :func:`contained` names its documents.
+    """
     at, out = df.columns.index(text_col), df
-    for block in blocks(df.sparkSession, benchmark, item_col, item_text_col, min_match, block_seeds):
+    for block in blocks(df.sparkSession, benchmark, item_col, item_text_col, min_match, min_item, block_seeds):
         out = out.mapInArrow(lambda b, block=block: _clean(b, block, at, min_match, coverage), df.schema)
     return out

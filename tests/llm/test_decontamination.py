@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 from mailposture.llm import decontamination, queries
 
 SF = "/root/testdata/sf0.1"
@@ -56,6 +58,25 @@ def test_reordered_partial_and_absent(docs, spark):
     assert [r.doc_id for r in decontamination.clean(docs([item, item, None], [None, 1, None]), benchmark, block_seeds=10).collect()] == [None]
 
 
+def test_short_items_and_scripts_without_blanks(docs, spark):
+    chinese = "谁在一九九八年写了这本关于河流的书"
+    items = [(1, "Who wrote this book?"), (2, chinese), (3, "ok"), (4, "ใครเขียนหนังสือเล่มนี้"), (5, "who wrote"), (6, "...")]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    texts = [f"前言。{chinese}。后记", "and who wrote THIS book then; who wrote this book", "who wrote this", "x ใครเขียนหนังสือเล่มนี้ y", "OK", "okay", chinese[:9], None]
+    for block_seeds in (10, 1 << 20):
+        got = sorted((r.doc_id, r.item_id, r.n_covered, r.coverage) for r in decontamination.contained(docs(texts), benchmark, block_seeds=block_seeds).collect())
+        thai = len(decontamination.tokens(items[3][1]))
+        assert got == [(0, 2, 17, 1.0), (1, 1, 4, 1.0), (1, 5, 2, 1.0), (2, 5, 2, 1.0), (3, 4, thai, 1.0), (4, 3, 1, 1.0), (6, 2, 9, 9 / 17)]
+    assert sorted(r.doc_id for r in decontamination.clean(docs(texts), benchmark).collect()) == [1, 2, 4, 5, 7]
+    assert sorted(r.doc_id for r in decontamination.clean(docs(texts), benchmark, min_item=4).collect()) == [2, 4, 5, 7]
+
+
+def test_tokens_are_bounded_by_their_column(spark):
+    texts = ["a b_c 12é", "日本語 text ไทย", "", "\u00aa ß_ x̱y", "가나 다", "".join(map(chr, range(1, 0xD800, 7)))]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").select("text", decontamination.token_bound(F.col("text")).alias("n"))
+    assert all(len(decontamination.tokens(r.text)) <= r.n for r in frame.collect())
+
+
 def test_items_with_one_beginning(docs, spark):
     head = " ".join(f"h{k}" for k in range(8))
     benchmark = spark.createDataFrame([(k, f"{head} " + " ".join(f"i{k}x{j}" for j in range(12))) for k in range(30)], "item_id bigint, text string")
