@@ -35,20 +35,16 @@ def record(id_col: str, url_col: str, body_col: str) -> Column:
 def leaves(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", slots: int = SLOTS) -> DataFrame:
     """(volume, slot, offset, length, digest): one leaf for each id; offsets are those of the volume's records in slot order.
 
-    Repeated ids share a slot: their leaf covers the number, the least and the greatest digest, and the combined hash of all.  Rows without an id are
-    volume -1, slot 0.  The window that sums lengths goes over the digests of one volume, at most ``slots`` rows.
+    Repeated ids share a slot: their leaf covers the number and the sums of all digests, 32 bits at a time, so equal records do not cancel and the order does not
+    matter.  Rows without an id are volume -1, slot 0.  The window that sums lengths goes over the digests of one volume, at most ``slots`` rows.
     """
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(-slots))
     hashed = pages.select(F.floor(key / slots).alias("volume"), F.pmod(key, F.lit(slots)).alias("slot"), record(id_col, url_col, body_col).alias("body"))
     hashed = hashed.select("volume", "slot", F.octet_length("body").cast("bigint").alias("length"), F.sha2("body", 256).alias("digest"))
-    merged = hashed.groupBy("volume", "slot").agg(
-        F.sum("length").alias("length"),
-        F.count(F.lit(1)).alias("n"),
-        F.min("digest").alias("digest"),
-        F.max("digest").alias("last"),
-        F.bit_xor(F.xxhash64("digest")).alias("mixed"),
-    )
-    several = F.sha2(F.concat_ws("|", F.col("n").cast("string"), "digest", "last", F.col("mixed").cast("string")), 256)
+    # As whole numbers: below 2^31 records of one id no sum overflows.
+    sums = [F.sum(F.conv(F.substring("digest", 8 * k + 1, 8), 16, 10).cast("bigint")).alias(f"sum{k}") for k in range(8)]
+    merged = hashed.groupBy("volume", "slot").agg(F.sum("length").alias("length"), F.count(F.lit(1)).alias("n"), F.min("digest").alias("digest"), *sums)
+    several = F.sha2(F.concat_ws("|", F.col("n").cast("string"), *[F.col(f"sum{k}").cast("string") for k in range(8)]), 256)
     before = Window.partitionBy("volume").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0))
     return merged.select("volume", "slot", offset.alias("offset"), "length", F.when(F.col("n") > 1, several).otherwise(F.col("digest")).alias("digest"))

@@ -35,6 +35,14 @@ def test_equal_replicas_repeats_and_nulls(spark):
     assert warc_fixity.audit(leaf(rows).limit(0), leaf(rows).limit(0)).count() == 0
 
 
+def test_damage_among_repeated_ids(spark):
+    """Pairs that change alike do not cancel, the order of repeats does not matter; a very long body."""
+    leaf = lambda bodies: warc_fixity.leaves(pages(spark, [(4, "u", b) for b in bodies] + [(9, "v", "long " * 400_000)]))
+    assert [(r.slot, r.kind) for r in warc_fixity.audit(leaf("abbc"), leaf("addc")).collect()] == [(4, "changed")]
+    assert [(r.slot, r.kind) for r in warc_fixity.audit(leaf("abbc"), leaf("abc")).collect()] == [(4, "changed")]
+    assert warc_fixity.audit(leaf("abbc"), leaf("cbab")).count() == 0
+
+
 def test_only_branches_that_differ_are_compared(spark):
     levels = warc_fixity.tree(warc_fixity.leaves(pages(spark, [(k, "u", str(k)) for k in range(256)]), slots=256), slots=256, fanout=16)
     assert [level.count() for level in levels] == [256, 16, 1]
