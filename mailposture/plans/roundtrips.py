@@ -47,7 +47,8 @@ def stream_dedup(t):
     path = folder(t)
     kept = st.fresh_stream(observed_stream(t, path), "scrape").select("kind", "domain")
     kept.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start(f"{path}/out").awaitTermination()
-    return t.spark.read.parquet(f"{path}/out").distinct()
+    # One batch: every key once, which fails if the stream lets a repeated row pass.
+    return t.spark.read.parquet(f"{path}/out")
 
 
 @query(
@@ -72,9 +73,9 @@ def domains_round_trip(t):
 
 @query(
     "providers_round_trip",
-    """SELECT p.country, p.code, p.name, p.domain, p.provider, round(p.confidence, 6) AS confidence, coalesce(n, 0) AS n_signals, total FROM v_provider p
+    """SELECT p.country, p.code, p.name, p.domain, p.provider, round(p.confidence, 6) AS confidence, coalesce(n, 0) AS n_signals, coalesce(n, 0) AS n_reduced, coalesce(kinds, '') AS kinds, total FROM v_provider p
     JOIN (SELECT country, count(*) AS total FROM v_provider GROUP BY country) h ON p.country = h.country
-    LEFT JOIN (SELECT country, code, count(*) AS n FROM v_signal GROUP BY country, code) s ON p.country = s.country AND p.code = s.code""",
+    LEFT JOIN (SELECT country, code, count(*) AS n, min(kind) || '-' || max(kind) AS kinds FROM v_signal GROUP BY country, code) s ON p.country = s.country AND p.code = s.code""",
 )
 def providers_round_trip(t):
     path = folder(t)
@@ -82,9 +83,15 @@ def providers_round_trip(t):
     tables = sg.provider_tables(sg.read_rows(t.spark, f"{path}/providers", "providers"))
     signals = tables["signals"].groupBy("country", "code").agg(F.count(F.lit(1)).alias("n_signals"))
     header = t.spark.read.schema("country string, provider string, n bigint, total bigint").json(f"{path}/providers_header").select("country", "total").distinct()
+    # The reduced table, whose signals are kind and detail only.
+    reduced = t.spark.read.schema("country string, code string, classification_signals array<struct<kind:string,detail:string>>").json(f"{path}/providers_min")
+    kind = F.col("classification_signals.kind")
+    kinds = F.coalesce(F.concat_ws("-", F.array_min(kind), F.array_max(kind)), F.lit(""))
+    reduced = reduced.select("country", "code", F.greatest(F.size(kind), F.lit(0)).cast("bigint").alias("n_reduced"), kinds.alias("kinds"))
     # One row for each country.
-    rows = tables["providers"].join(signals, ["country", "code"], "left").join(F.broadcast(header), "country")
-    return r6(rows.select("country", "code", "name", "domain", "provider", "confidence", F.coalesce("n_signals", F.lit(0)).alias("n_signals"), "total"))
+    rows = tables["providers"].join(signals, ["country", "code"], "left").join(reduced, ["country", "code"]).join(F.broadcast(header), "country")
+    counts = [F.coalesce("n_signals", F.lit(0)).alias("n_signals"), "n_reduced", "kinds", "total"]
+    return r6(rows.select("country", "code", "name", "domain", "provider", "confidence", *counts))
 
 
 @query("security_round_trip", "SELECT country, code, domain, scan_valid, dane_supported, has_spf, has_good_spf, has_dmarc, has_good_dmarc FROM v_security")
