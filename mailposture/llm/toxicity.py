@@ -1,8 +1,9 @@
 """Toxicity of texts whose words may be disguised: a noisy channel restores words, then the restored text is scored.
 
-Writers replace letters by look-alikes, put separators between letters, and repeat letters.  A disguised word is decoded by Viterbi search over a lattice: each
+Writers replace letters by look-alikes, put separators or blanks between letters, and repeat letters.  A disguised word is decoded by exact Viterbi search over a lattice: each
 observed character may stand for some letters, or for nothing, at a cost, and a character trigram model prices the letters.  The trigram counts are
-taken over all documents.  Words that no writer disguised have one path through the lattice and are taken as they are.
+taken over all documents.  Learnt words are a second model beside the trigrams, an automaton that the search passes through at the same time.  Words that no writer
+disguised have one path through the lattice and are taken as they are.
 
 Toxic words and word stems (beginnings) are learnt from labelled rows: those whose rate in toxic texts exceeds that in other texts beyond chance.  A text counts
 once for a word, by the context of its first place (the word before), and equal contexts count once, so neither repetition nor many copies of one text
@@ -13,8 +14,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,13 +30,19 @@ from mailposture.llm.language import bucket_of, letter_table
 #: What a look-alike may stand for.
 LOOKS = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g",
-    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¢": "c", "§": "s", "*": "aeiou", "#": "h", "%": "x", "&": "a",
+    "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "<": "c", "{": "c", "€": "e", "£": "l", "¢": "c", "§": "s", "*": "aeiou", "#": "haeiou", "%": "x", "&": "a",
 }
 #: Costs in nats: a look-alike, a wildcard, a dropped separator, a dropped repetition, a dropped character of any other kind.
-LOOK, WILD, GAP, REPEAT, DROP = 1.0, 2.5, 0.5, 1.5, 4.0
-#: How many nats behind the best path a restored word may be and still count as found.
-MARGIN = 6.0
-BEAM = 24
+LOOK, WILD, GAP, REPEAT, DROP = 1.0, 2.5, 0.5, 0.5, 4.0
+#: Look-alikes that may be mere punctuation at the ends of a token, and the cost of taking them so.
+PUNCTUATION, EDGE = "!|+(<{§*#%&", 0.5
+#: Letters of other scripts by the letter whose shape they have.
+TWINS = {
+    "а": "a", "в": "b", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x",
+    "α": "a", "ε": "e", "η": "n", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ı": "i", "ł": "l", "ø": "o", "đ": "d", "ß": "b",
+}
+#: A learnt word costs this many nats less than its letters, and not more than ``LEXICON``.
+MARGIN, LEXICON = 6.0, 4.0
 
 #: Letters of the trigram model: a boundary, a-z, and one for all others.
 SIZE = 28
@@ -52,12 +61,15 @@ REJECT = 0.7
 
 CACHE_ENTRIES = 100_000
 
-_SPACED = re.compile(r"(?<!\S)(?:\S[^\S\n]){3,}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S\s+){2,}\S(?!\S)")
 _EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„’‘…–—¡¿"
-#: Marks at the end of a token that cannot be look-alikes.
+#: Marks at the ends of a token that cannot be look-alikes, and look-alikes that can be marks.
 _MARKS = "".join(c for c in _EDGES if c not in LOOKS)
+_LOOK_MARKS = "".join(c for c in LOOKS if not c.isdigit())
 _NUMBER = re.compile(r"[$€£¢§#+(<-]*\d[\d.,:/+-]*[%$€£¢+)!*]*")
 _STRETCHED = re.compile(r"(.)\1\1")
+_BREAK = re.compile("[^0-9" + re.escape(_LOOK_MARKS) + r"\w]|_")
+_DOUBLED = re.compile(r"(.)\1\1|(.)\2.*(.)\3")
 
 
 def symbol_of(points: np.ndarray) -> np.ndarray:
@@ -98,105 +110,162 @@ def trigram_model(df: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log(three / three.sum(2, keepdims=True))
 
 
+@lru_cache(4096)
+def twins(letter: str) -> str:
+    """Letters a-z as which a letter outside of them may be read: without its accents, or by its shape."""
+    base = unicodedata.normalize("NFKD", letter)[0].lower()
+    return base if base.isascii() and base.isalpha() else TWINS.get(letter, "")
+
+
 class Decoder:
-    """Restores disguised words under a trigram model."""
+    """Restores disguised words: exact Viterbi search over the lattice of an observed string.
+
+    A state is the last two symbols of the trigram model and the place in the automaton of the learnt words, so paths that agree in what still matters are joined and the
+    cheapest is kept.  The cost of a path is that of its characters, minus the log probabilities of its letters, minus ``MARGIN`` or more for each learnt word.
+    """
+
+    #: States of the automaton of learnt words: where a word begins, no learnt word can follow, a learnt stem stands at its beginning.
+    START, NONE, STEM = 0, 1, 2
 
     def __init__(self, trigrams: np.ndarray, weights: dict[str, float] | None = None):
         self.trigrams, self.weights = trigrams.tolist(), weights or {}
-        self.begins = {form[:2] for form in self.weights}
+        self.follow: list[dict[str, int]] = [{}, {}, {}]
+        self.ends: dict[int, float] = {self.STEM: 0.0}  # what is deducted where a learnt word ends
+        self.stems: dict[int, float] = {}  # and where a learnt stem goes on
+        self.openings: set[str] = set()
+        for form in self.weights:
+            node, word = self.START, form.rstrip("*")
+            for letter in word:
+                if letter not in self.follow[node]:
+                    self.follow[node][letter] = len(self.follow)
+                    self.follow.append({})
+                node = self.follow[node][letter]
+            if form.endswith("*"):
+                self.stems[node] = max(MARGIN, self.price(word) - LEXICON)
+            else:
+                self.ends[node] = max(MARGIN, self.price(word + " ") - LEXICON)
+                self.openings.update(word[:k] for k in range(1, len(word)))
+        self.moves: dict[tuple[str, bool, bool], list[tuple[str, float]]] = {}
 
     @staticmethod
     def _number(letter: str) -> int:
         return ord(letter) - 96 if "a" <= letter <= "z" else SIZE - 1
 
-    def paths(self, observed: str) -> list[tuple[float, str]]:
-        """Letters that ``observed`` may stand for, cheapest first, with a blank between words."""
-        return [(cost, text) for cost, text, _ in self._search(observed)]
-
-    def _search(self, observed: str) -> list[tuple[float, str, list[int]]]:
-        """(cost, letters and blanks, place of each in ``observed``) of the paths of the lattice.
+    def _next(self, node: int, letter: str) -> int:
+        if node in self.stems or node == self.STEM:
+            return self.STEM
+        return self.follow[node].get(letter, self.NONE)
 
-        What a path has read is a chain of numbered steps, so time and memory grow with the length of ``observed`` and not with its square.  A word may end
-        at a separator, or at a blank between spaced letters.
-        """
-        chain: list[tuple[int, str, int]] = [(-1, "", -1)]
-        numbers: dict[tuple[int, str], int] = {}
-        beam: dict[tuple[int, int, int], float] = {(0, 0, 0): 0.0}
+    @staticmethod
+    def _moves(c: str, again: bool, edge: bool) -> list[tuple[str, float]]:
+        """What a character may stand for, with costs; an empty string drops it, a blank ends a word.  ``again``: it repeats the one before."""
+        if c.isalpha():
+            return [(c, 0.0), *[(x, LOOK) for x in ("" if c.isascii() else twins(c))], *([("", REPEAT)] if again else [])]
+        if c == " ":
+            return [("", 0.0), (" ", 0.0)]
+        if c in LOOKS:
+            drop = EDGE if edge and c in PUNCTUATION else 2 * LOOK if edge else REPEAT if again else DROP if c.isdigit() else 2 * LOOK
+            return [*[(x, WILD if c in "*#" else LOOK) for x in LOOKS[c]], ("", drop)]
+        return [("", DROP)] if c.isdigit() else [("", GAP), (" ", GAP)]
+
+    def lattice(self, observed: str) -> Iterator[list[tuple[str, float]]]:
+        """The moves of each character.  Look-alikes at either end may be mere punctuation."""
+        first, last = len(observed) - len(observed.lstrip(_LOOK_MARKS)), len(observed.rstrip(_LOOK_MARKS))
         before = ""
         for at, c in enumerate(observed):
-            moves: list[tuple[str, float]] = []
-            if c.isalpha():
-                moves.append((c, 0.0))
-                if c == before:
-                    moves.append(("", REPEAT / 3))
-            elif c == " ":
-                moves += [("", 0.0), (" ", 0.0)]
-            else:
-                moves += [(x, WILD if c == "*" else LOOK) for x in LOOKS.get(c, "")]
-                moves.append(("", REPEAT / 3 if c == before and c in LOOKS else DROP if c.isdigit() else GAP if c not in LOOKS else 2 * LOOK))
-                if c not in LOOKS and not c.isdigit():
-                    moves.append((" ", GAP))
-            if len(moves) == 1 and moves[0][0]:  # every path goes on by this letter
-                letter, price = moves[0]
-                n, ahead = self._number(letter), {}
-                for (a, b, step), cost in beam.items():
-                    ahead[b, n, len(chain)] = cost + price - self.trigrams[a][b][n]
-                    chain.append((step, letter, at))
-                beam, before = ahead, c
-                continue
-            after: dict[tuple[int, int, int], float] = {}
-            numbers.clear()
-            for (a, b, step), cost in beam.items():
+            key = (c, c == before, at < first or at >= last)
+            moves = self.moves.get(key)
+            if moves is None:
+                moves = self.moves[key] = self._moves(*key)
+            yield moves
+            before = before if c == " " else c
+
+    def best(self, observed: str) -> tuple[float, str]:
+        """(cost, letters with blanks between words) of the cheapest path that has a letter; infinity and no letters where there is none.
+
+        What a path has read is a chain of steps, so time and memory grow with the length of ``observed``.
+        """
+        trigrams, ends, stems = self.trigrams, self.ends, self.stems
+        chain: list[tuple[int, str]] = [(-1, "")]
+        states: dict[tuple[int, int, int], tuple[float, int]] = {(0, 0, self.START): (0.0, 0)}
+        for moves in self.lattice(observed):
+            after: dict[tuple[int, int, int], tuple[float, int, str]] = {}
+            for (a, b, node), (cost, step) in states.items():
                 for letter, price in moves:
                     if not letter or (letter == " " and b == 0):
-                        key, value = (a, b, step), cost + price
+                        key, value, letter = (a, b, node), cost + price, ""
+                    elif letter == " ":
+                        key, value = (b, 0, self.START), cost + price - trigrams[a][b][0] - ends.get(node, 0.0)
                     else:
-                        n = 0 if letter == " " else self._number(letter)
-                        number = numbers.get((step, letter))
-                        if number is None:
-                            number = numbers[step, letter] = len(chain)
-                            chain.append((step, letter, at))
-                        key, value = (b, n, number), cost + price - self.trigrams[a][b][n]
-                    if value < after.get(key, math.inf):
-                        after[key] = value
-            beam = dict(sorted(after.items(), key=lambda kv: kv[1])[:BEAM])
-            before = c if c != " " else before
-        out = []
-        for (a, b, step), cost in beam.items():
-            letters, places = [], []
-            while step > 0:
-                step, letter, at = chain[step]
-                letters.append(letter)
-                places.append(at)
-            text = "".join(reversed(letters))
-            if text.strip():
-                out.append((cost - (self.trigrams[a][b][0] if b else 0.0), text, places[::-1]))
-        return sorted(out)
+                        n = ord(letter) - 96 if "a" <= letter <= "z" else SIZE - 1
+                        key, value = (b, n, self._next(node, letter)), cost + price - trigrams[a][b][n] - stems.get(node, 0.0)
+                    if key not in after or value < after[key][0]:
+                        after[key] = (value, step, letter)
+            states = {}
+            for key, (cost, step, letter) in after.items():
+                if letter:
+                    chain.append((step, letter))
+                    step = len(chain) - 1
+                states[key] = (cost, step)
+        least, at = math.inf, 0
+        for (a, b, node), (cost, step) in states.items():
+            cost -= (trigrams[a][b][0] if b else 0.0) + ends.get(node, 0.0)
+            if cost < least and (a, b) != (0, 0):
+                least, at = cost, step
+        letters = []
+        while at > 0:
+            at, letter = chain[at]
+            letters.append(letter)
+        return least, "".join(reversed(letters)).strip()
 
     def restore(self, observed: str) -> str:
-        """The cheapest path; one with a known toxic word in its stead where that is nearly as cheap, for the whole and for each word of it."""
-        found = self._search(observed)
-        if not found:
-            return ""
-        for cost, text, _ in found:
-            if cost <= found[0][0] + MARGIN and self.known(text):
-                return text.strip()
-        _, text, places = found[0]
-        if not self.weights or " " not in text.strip():
-            return text.strip()
-        words, first = [], 0
-        for k in [*(k for k, letter in enumerate(text) if letter == " "), len(text)]:
-            if k > first:
-                part = observed[places[first] : places[k - 1] + 1]
-                alone = self._search(part)
-                near = [t for cost, t, _ in alone if cost <= alone[0][0] + MARGIN and self.known(t)]
-                words.append(near[0].strip() if near else text[first:k])
-            first = k + 1
-        return " ".join(words)
-
-    def may_begin(self, word: str) -> bool:
-        """Whether a known word may begin with ``word``, by its first two letters; these are no look-alikes and stay in every path."""
-        return bool(self.weights) and (len(word) < 2 or not word[:2].isalpha() or word[0] == word[1] or word[:2] in self.begins)
+        return self.best(observed)[1]
+
+    def reaches(self, observed: str) -> bool:
+        """Whether any path of the lattice, at any cost, holds a learnt word."""
+        nodes = {self.START}
+        begins = max((m.end() for m in _BREAK.finditer(observed)), default=0)
+        for at, moves in enumerate(self.lattice(observed)):
+            if not nodes and at >= begins:  # no word begins any more
+                return False
+            after: set[int] = set()
+            for letter, _ in moves:
+                if not letter:
+                    after |= nodes
+                elif letter == " ":
+                    if not self.ends.keys().isdisjoint(nodes):
+                        return True
+                    after.add(self.START)
+                else:
+                    after.update(self._next(node, letter) for node in nodes)
+            if self.STEM in after:
+                return True
+            after.discard(self.NONE)
+            nodes = after
+        return not self.ends.keys().isdisjoint(nodes)
+
+    def price(self, text: str) -> float:
+        """Cost of letters and blanks as they stand."""
+        a = b = 0
+        total = 0.0
+        for letter in text:
+            n = 0 if letter == " " else self._number(letter)
+            total -= self.trigrams[a][b][n]
+            a, b = b, n
+        return total
+
+    def joined(self, words: list[str]) -> Iterator[str]:
+        """Learnt words written in pieces with blanks between, where the trigrams find the whole likelier than the pieces by ``LOOK`` for each blank.
+
+        Single letters only are no pieces: the search through spaced letters reads the words around them as well.
+        """
+        for at, word in enumerate(words):
+            end = at
+            while word in self.openings and end + 1 < len(words):
+                end += 1
+                word += words[end]
+                if word in self.weights and len(word) > end - at + 1 and self.price(word + " ") + LOOK * (end - at) < self.price(" ".join([*words[at : end + 1], ""])):
+                    yield word
 
     def known(self, text: str) -> bool:
         return any(weight_of(word, self.weights) for word in text.split())
@@ -209,20 +278,27 @@ def disguised(token: str) -> bool:
     return _NUMBER.fullmatch(token) is None and any(c.isalpha() or (c in LOOKS and not c.isdigit()) for c in token)
 
 
+def suspicious(token: str) -> bool:
+    """Whether a token might be a learnt word in disguise: also by two doubled letters, or letters that look like a-z."""
+    return bool(_DOUBLED.search(token)) or not token.isascii() if token.isalpha() else disguised(token)
+
+
 def restored(token: str, decoder: Decoder) -> str:
-    """The word that a token stands for; words with a blank between them, where a token joins several."""
-    word = token.strip(_EDGES)
-    start = 0 if token[:1] and token[0] in "@$!|" else len(token) - len(token.lstrip(_EDGES))  # a look-alike may be the first letter
-    whole = token[start:].rstrip(_MARKS)
-    bare = token[start:].rstrip(_EDGES) if word else whole
-    short = len(bare) < 3 and whole[len(bare) :].strip("$@|") == ""
-    if whole != bare and (short or decoder.may_begin(bare)) and disguised(whole):  # or the last
+    """The word that a token (lower case) stands for; words with a blank between them, where a token joins several.
+
+    Doubled letters, accents and look-alikes at the ends belong to clean words as well, so they are read as a disguise only where that gives a learnt word.
+    """
+    if not token.isascii():
+        token = unicodedata.normalize("NFKC", token).lower()
+    whole = token.strip(_MARKS)
+    if _NUMBER.fullmatch(whole):
+        return whole
+    if decoder.weights and suspicious(whole) and decoder.reaches(whole):
         text = decoder.restore(whole)
-        if short or decoder.known(text):
+        if decoder.known(text):
             return text
-    if disguised(bare):
-        return decoder.restore(bare)
-    return bare
+    bare = whole.strip(_EDGES)
+    return decoder.restore(bare) if disguised(bare) else bare
 
 
 def _words(text: str, decoder: Decoder, cache: dict[str, str]) -> list[str]:
@@ -236,13 +312,14 @@ def _words(text: str, decoder: Decoder, cache: dict[str, str]) -> list[str]:
             word = cache[token] = restored(token, decoder)
         if " " in word:
             out += word.split()
-        else:
+        elif word:
             out.append(word)
+    more = list(decoder.joined(out)) if decoder.weights else []
     for run in _SPACED.finditer(low):
         letters = run[0].split()
         if not all(map(str.isdigit, letters)):
-            out += decoder.restore(" ".join(letters)).split()
-    return out
+            more += decoder.restore(" ".join(letters)).split()
+    return out + more
 
 
 def forms(word: str) -> list[str]:

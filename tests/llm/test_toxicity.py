@@ -1,3 +1,7 @@
+import math
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from mailposture.llm import queries, toxicity
@@ -54,6 +58,56 @@ def test_heavily_disguised_words(spark, docs):
     assert [toxicity.restored(w, decoder) for w in ("a55", "a$$", "a$$.", "@$$")] == ["ass"] * 4
 
 
+def test_disguises_at_ends_in_pieces_and_in_other_scripts(spark):
+    trigrams = toxicity.trigram_model(spark.read.parquet(f"{SF}/documents.parquet"))
+    decoder = toxicity.Decoder(trigrams, {"idiot": 5.0, "clown": 5.0, "loser": 5.0, "ass": 5.0, "idio*": 4.0})
+    words = "the-idio+ an-idio+ *diot #diot (lown <lown iidiioott іdiot ídiot ｉｄｉｏｔ a$$ a$$. 7#*n!n*ng river! looser 1,053 $100 café".split()
+    assert [toxicity.restored(w, decoder) for w in words] == [
+        "the idiot", "an idiot", "idiot", "idiot", "clown", "clown", "idiot", "idiot", "idiot", "idiot", "ass", "ass", toxicity.Decoder(trigrams).restore("7#*n!n*ng"),
+        "river", "looser", "1,053", "$100", "café",
+    ]
+    for text in ("a s s", "i  d  i  o  t", "i d i ot", "so id iot then", "i\nd\ni\no\nt", "y o u i d i o t s"):
+        assert any(toxicity.weight_of(w, decoder.weights) for w in toxicity._words(text, decoder, {})), text
+    for text in ("p a s s a g e", "the river i think", "c l a s s", "as 5 s"):
+        assert not any(toxicity.weight_of(w, decoder.weights) for w in toxicity._words(text, decoder, {})), text
+
+
+def all_paths(decoder, observed):
+    """Least cost over all paths of the lattice, each spelt out, for texts that begin with a word."""
+    paths = {"": 0.0}
+    for moves in decoder.lattice(observed):
+        longer = {}
+        for text, cost in paths.items():
+            for letter, price in moves:
+                more = text if letter == " " and (not text or text.endswith(" ")) else text + letter
+                longer[more] = min(longer.get(more, math.inf), cost + price)
+        paths = longer
+
+    def whole(text, cost):
+        total = cost + decoder.price(text.strip() + " ")
+        for word in text.split():
+            node = decoder.START
+            for letter in word:
+                total -= decoder.stems.get(node, 0.0)
+                node = decoder._next(node, letter)
+            total -= decoder.ends.get(node, 0.0)
+        return total
+
+    return min(((whole(t, c), t.strip()) for t, c in paths.items() if t.strip()), default=(math.inf, ""))
+
+
+def test_search_is_exact():
+    rng = np.random.default_rng(5)
+    trigrams = rng.normal(-4.0, 2.0, (toxicity.SIZE,) * 3)
+    decoder = toxicity.Decoder(trigrams, {"idiot": 5.0, "as*": 3.0, "lil": 2.0, "e": 2.0})
+    draw = random.Random(5)
+    for _ in range(400):
+        observed = "".join(draw.choice("aidotsl01!*$.- éa") for _ in range(draw.randint(1, 9))).strip()
+        want, got = all_paths(decoder, observed), decoder.best(observed)
+        assert (math.isinf(want[0]) and math.isinf(got[0])) or math.isclose(want[0], got[0], rel_tol=1e-9), (observed, want, got)
+        assert decoder.known(got[1]) <= decoder.reaches(observed), observed
+
+
 def test_copies_of_a_toxic_text_are_not_evidence(spark, docs):
     frame, labels = labelled(spark, docs)
     more = docs(["a rare word of one text idiot"] * 50, list(range(1000, 1050)))
