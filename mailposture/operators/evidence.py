@@ -159,31 +159,41 @@ def ev_autodiscover(dns_cname: DataFrame, dns_srv: DataFrame, signatures: DataFr
     )
 
 
+def alias_jumps(answers: DataFrame, doublings: int) -> list[DataFrame]:
+    """Jumps of 1, 2, 4, ... hops as ``(name, to, open)``, each composed of the one before with itself.
+
+    ``answers`` has one row ``(name, to)`` per name.  A jump ends early where its chain ends, and is closed then (``open`` is false); a cycle stays open.  Only open jumps are
+    looked up again, and when all are closed the rest of the list repeats the last table.  Each table is written, so a lost executor costs one doubling.
+    """
+    jumps = [store(answers.select("name", "to", F.lit(True).alias("open")))]
+    for _ in range(doublings):
+        last = jumps[-1]
+        if last.filter("open").isEmpty():
+            jumps.append(last)
+            continue
+        further = last.select(F.col("name").alias("to"), F.col("to").alias("_to"), F.col("open").alias("_open"))
+        went = lookup_join(last.filter("open").select("name", "to"), further, ["to"])
+        to = F.when(F.col("_open").isNotNull(), F.col("_to")).otherwise(F.col("to"))
+        went = went.select("name", to.alias("to"), F.coalesce("_open", F.lit(False)).alias("open"))
+        jumps.append(store(went.unionByName(last.filter("NOT open"))))
+    return jumps
+
+
 def cname_ends(hosts: DataFrame, dns_cname: DataFrame, max_hops: int = 10) -> DataFrame:
-    """End of the alias chain of every host (first answer of each name, at most ``max_hops``).
+    """End of the alias chain of every host that has an alias (first answer of each name, at most ``max_hops``, also in a cycle).
 
-    The frontier holds only hosts whose chain goes on, so it shrinks from hop to hop and the loop ends when it is
-    empty.  Each hop is written: the plan stays short and a lost executor costs one hop.  The answers are
-    reduced and written once for all hops.
+    Pointer doubling: ``max_hops`` is a sum of powers of two, so ten hops are a jump of eight and one of two, and the jumps of two, four and eight hops are three joins.
     """
-    answers = store(
-        dns_cname.groupBy(F.lower("qname").alias("current"))
-        .agg(F.min(F.struct("pos", "target")).alias("first"))
-        .select("current", host_name(F.col("first.target")).alias("next"))
-    )
-    frontier = hosts.select("host", F.lower("host").alias("current")).distinct()
-    levels = []
-    for hop in range(1, max_hops + 1):
-        step = lookup_join(frontier, answers, ["current"], "inner")
-        frontier = store(step.select("host", F.col("next").alias("current")))
-        if frontier.isEmpty():
-            break
-        levels.append(frontier.select("host", "current", F.lit(hop).alias("hop")))
-    if not levels:
-        return hosts.select("host", F.col("host").alias("current")).limit(0)
-    return (
-        reduce(DataFrame.unionByName, levels).groupBy("host").agg(F.max(F.struct("hop", "current")).alias("last"))
-    ).select("host", F.col("last.current").alias("current"))
+    first = dns_cname.groupBy(F.lower("qname").alias("name")).agg(F.min(F.struct("pos", "target")).alias("first"))
+    jumps = alias_jumps(first.select("name", host_name(F.col("first.target")).alias("to")), max_hops.bit_length() - 1)
+    walk = hosts.select("host", F.lower("host").alias("name")).distinct()
+    how = "inner"
+    for power in reversed(range(max_hops.bit_length())):
+        if max_hops >> power & 1:
+            walk = lookup_join(walk, jumps[power], ["name"], how)
+            walk = walk.select("host", F.when(F.col("open").isNotNull(), F.col("to")).otherwise(F.col("name")).alias("name"))
+            how = "left"
+    return walk.select("host", F.col("name").alias("current"))
 
 
 def ev_cname_chain(dns_mx: DataFrame, dns_cname: DataFrame, mx_signatures: DataFrame | None = None, signatures: DataFrame | None = None) -> DataFrame:

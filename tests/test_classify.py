@@ -105,6 +105,24 @@ def test_cname_chain_stops_after_ten_hops(spark, rows):
     assert rows(ev.cname_ends(hosts, cname)) == [("h0", "h10"), ("h8", "h15"), ("loop1", "loop1"), ("x", "ghs.google.com")]
 
 
+def test_alias_jumps_at_every_length(spark, rows):
+    links = {f"h{i}": f"h{i + 1}" for i in range(15)} | {"l1": "l2", "l2": "l3", "l3": "l1", "t": "l2", "self": "self", **{f"s{i}": "h9" for i in range(40)}}
+    table = [(k, 0, v) for k, v in links.items()] + [("h3", 1, "h0"), ("gone", 0, None)]
+    cname = spark.createDataFrame(table, "qname string, pos int, target string")
+    hosts = spark.createDataFrame([(h,) for h in [*links, "h15", "gone", "H2", None]], "host string")
+
+    def end(name, hops):
+        for _ in range(hops):
+            name = links.get(name, name)
+        return name
+
+    for hops in (1, 2, 3, 7, 10, 16):
+        want = {(h, end(h.lower(), hops)) for h in [*links, "H2"]} | {("gone", None)}
+        got = [tuple(r) for r in ev.cname_ends(hosts, cname, hops).collect()]
+        assert len(got) == len(want) and set(got) == want, hops
+    assert ev.cname_ends(hosts, cname.limit(0)).count() == 0 and ev.cname_ends(hosts.limit(0), cname).count() == 0
+
+
 def test_spf_networks_keep_the_first_address(spark, rows):
     txt = spark.createDataFrame([("a.ch", 0, "v=spf1 ip4:1.1.1.0/24 a:mx.a.ch ip4:2.2.2.2 -all")], "qname string, pos int, txt string")
     a = spark.createDataFrame([("mx.a.ch", 0, "3.3.3.3")], "host string, pos int, ip string")
