@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies: similarity of 5-word shingles from 0.8."""
+    """One document, that with the smallest id, of each group of near copies: links of SimHash, and all others at a similarity of 5-word shingles from 0.8, verified."""
     return near_copies.keep_one(docs)
 
 

@@ -1,21 +1,23 @@
-"""Near copies by Jaccard similarity of word shingles: every pair at or above a bound is found, by prefix filtering, and verified on the texts.
+"""Near copies by SimHash, with what its fingerprints miss found by prefix filtering; every link is verified by Jaccard similarity of word shingles on the texts.
 
-Shingles have one order for all texts: those that many texts share come last, the others by hash.  Two sets at similarity ``t`` or above share a shingle among the first
+SimHash (``simhash.near_duplicates``) connects texts at 2 or fewer differing bits.  That is tighter than the bound, so the other pairs at or above it are found by a second method, which misses
+none.  Shingles have one order for all texts: those that many texts share come last, the others by hash.  Two sets at similarity ``t`` or above share a shingle among the first
 n - ceil(t n) + 1 of each, and the first one they share stands early enough in both to leave room for the overlap.  The steps:
 
 1. Shingles are counted over all texts in a fixed number of cells, by hash.  The counts order shingles; they decide how many comparisons there are, never which pairs are found.
-2. The first shingles of the distinct sets are packed into runs.  A run sends 47 bits of each to the group that owns it, and gets one bit back: whether another set has it.
+2. Sets whose fingerprints SimHash connects are compared with the first of their component; what is linked by that is not compared again.
+3. The first shingles of the distinct sets are packed into runs.  A run sends 47 bits of each to the group that owns it, and gets one bit back: whether another set has it.
    Only those that do become rows.
-3. Texts that meet at a shingle are compared with one of them, in rounds, as long as that connects much of what is left; only the rest is compared in pairs.  So a large group
+4. Texts that meet at a shingle are compared with one of them, in rounds, as long as that connects much of what is left; only the rest is compared in pairs.  So a large group
    of near copies costs a few comparisons a text, not one a pair.  Pairs that cannot be similar by their sizes, by the place of the shingle or by the parity of
-   their sets go before a text is looked at.
+   their sets go before a text is looked at, and where many sets meet a wide parity goes into the join itself, so that pairs below the bound do not become rows.
 
 Stored tables of a step are deleted when the next one no longer reads them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from mailposture.llm.blocks import flat, tidy
 from mailposture.llm.graph import components
-from mailposture.llm.simhash import shingle_hashes
+from mailposture.llm.simhash import near_duplicates, shingle_hashes
 from mailposture.llm.suffix_dedup import ASKED, BITS, Asked, Stretches, _by_run, _shared, _tidied, asked, pack, questions_of
 from mailposture.session import discard, release_shuffles, store
 from mailposture.skew import partitions
@@ -37,6 +39,8 @@ SIMILAR = (4, 5)
 CELLS = 1 << 16
 #: Bits of the parity by which pairs are looked at before their texts are.
 WIDE = 1 << 13
+#: Sets at a shingle from which on pairs have to pass a parity of so many bits in the join.
+CROWD, CROWD_BITS = 16, 1 << 12
 #: Prefix shingles that one group compares, about.
 GROUP_SHINGLES = 4 << 20
 #: A round of stars is followed by another one if it leaves at most this share of the places.
@@ -68,9 +72,9 @@ def prefix(shingles: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return shingles[np.argsort(np.minimum(counts[one], counts[two]), kind="stable")[:size]]  # by hash already
 
 
-def parity(shingles: np.ndarray) -> np.ndarray:
-    """256 bits, each the parity of the number of shingles that fall on it: two sets differ in at least as many shingles as these differ in bits."""
-    odd = np.bincount((shingles & np.uint64(255)).astype(np.int64), minlength=256) & 1
+def parity(shingles: np.ndarray, bits: int = 256) -> np.ndarray:
+    """``bits`` bits, each the parity of the number of shingles that fall on it: two sets differ in at least as many shingles as these differ in bits."""
+    odd = np.bincount((shingles % np.uint64(bits)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -159,6 +163,14 @@ def _wide(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(odd, pa.binary())], ["key", "n", "odd"])
 
 
+@tidy
+def _odds(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(key, odds): parity of the sets of texts on ``CROWD_BITS`` bits."""
+    for batch in batches:
+        odds = [parity(shingle_set(text, width), CROWD_BITS) for text in _texts(batch.column(1))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(odds, pa.list_(pa.int64()))], ["key", "odds"])
+
+
 @tidy
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose sets (n, odd of both) may be at the bound: no more bits differ than shingles may."""
@@ -201,17 +213,38 @@ def named(texts: DataFrame, width: int = WIDTH) -> DataFrame:
     return store(texts.mapInArrow(lambda batches: _named(batches, order, width), f"id {kind}, hash bigint, key bigint, n int, prefix array<bigint>, parity array<bigint>"))
 
 
+def differing(x: str, y: str, words: int) -> Column:
+    """Bits by which two parities differ."""
+    return sum((F.bit_count(F.col(x)[k].bitwiseXOR(F.col(y)[k])) for k in range(words)), F.lit(0))
+
+
 def fits(x: str, y: str) -> Column:
     """Whether two sets may be similar if this is the first shingle that they share: overlap o of n1 and n2 needs o >= t (n1 + n2 - o), and so few shingles that differ."""
     a, b = SIMILAR
     total = F.col(f"n{x}") + F.col(f"n{y}")
     room = F.least(F.col(f"n{x}") - F.col(f"at{x}"), F.col(f"n{y}") - F.col(f"at{y}"))
-    differ = sum((F.bit_count(F.col(f"parity{x}")[k].bitwiseXOR(F.col(f"parity{y}")[k])) for k in range(4)), F.lit(0))
-    return ((a + b) * room >= a * total) & ((a + b) * differ <= (b - a) * total)
+    return ((a + b) * room >= a * total) & ((a + b) * differing(f"parity{x}", f"parity{y}", 4) <= (b - a) * total)
 
 
-def meeting_places(sets: DataFrame) -> DataFrame:
-    """(shingle, key, n, at, parity, root) at prefix shingles where different sets of ``sets`` (key, n, prefix, parity) meet."""
+def proposed(texts: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): every set of ``sets`` (key, hash) whose text SimHash connects to others, with the first set of that component; a is less than b."""
+    groups = near_duplicates(texts, "hash", "text").select("hash", F.col("component_id").alias("group")).distinct()
+    grouped = store(sets.select("key", "hash").join(groups, "hash").select("key", "group"))
+    first = grouped.groupBy("group").agg(F.min("key").alias("a"), F.max("key").alias("z")).filter(F.col("a") < F.col("z"))
+    pairs = store(grouped.join(first, "group").filter(F.col("key") != F.col("a")).select("a", F.col("key").alias("b")))
+    discard(grouped)
+    release_shuffles(texts.sparkSession)
+    return pairs
+
+
+def rooted(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """``rows`` with the component of their set over ``linked`` (a, b) as ``root``, as a written table."""
+    roots = components(linked).select(F.col("node").alias("key"), "root")
+    return store(rows.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+
+
+def meeting_places(sets: DataFrame, linked: DataFrame) -> DataFrame:
+    """(shingle, key, n, at, parity, root) at prefix shingles where sets of ``sets`` (key, n, prefix, parity) meet that ``linked`` does not connect."""
     parts = partitions(sets)
     runs = store(sets.mapInArrow(_packed, "run bigint, packed binary"))
     shingles = sets.agg(F.sum(F.size("prefix").cast("bigint"))).first()[0] or 0
@@ -220,7 +253,7 @@ def meeting_places(sets: DataFrame) -> DataFrame:
     answers = store(_by_run(ask.groupBy("part").applyInArrow(_tidied(_shared), BITS), "answers"))
     answered = runs.join(answers, "run", "left").select("packed", "answers")
     rows = answered.mapInArrow(lambda b: _places(b, parts), "shingle bigint, key bigint, n int, at int, parity array<bigint>")
-    found = store(rows.withColumn("root", F.col("key")))
+    found = rooted(rows, linked)
     places = mixed(found)
     discard(runs, answers, found)
     return places
@@ -232,14 +265,32 @@ def mixed(rows: DataFrame) -> DataFrame:
     return store(rows.join(met.select("shingle"), "shingle", "left_semi"))
 
 
+def by_crowd(places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Places with few sets, and those with a crowd."""
+    crowds = places.groupBy("shingle").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > CROWD).select("shingle")
+    return places.join(crowds, "shingle", "left_anti"), store(places.join(crowds, "shingle", "left_semi"))
+
+
+def meetings(places: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b) of sets of different components that meet at a place and may be similar; with a column ``odds`` by that wide parity too."""
+    a, b = SIMILAR
+    one, two = (places.select("shingle", *(F.col(c).alias(f"{c}{k}") for c in columns)) for k in (1, 2))
+    meets = (one["shingle"] == two["shingle"]) & (F.col("key1") < F.col("key2")) & (F.col("root1") != F.col("root2")) & fits("1", "2")
+    if "odds" in columns:
+        meets &= (a + b) * differing("odds1", "odds2", CROWD_BITS // 64) <= (b - a) * (F.col("n1") + F.col("n2"))
+    return one.join(two, meets).select(F.col("key1").alias("a"), F.col("key2").alias("b"))
+
+
 def similar(texts: DataFrame, sets: DataFrame, width: int = WIDTH) -> DataFrame:
     """(a, b): verified pairs of ``sets`` (key, n, prefix, parity, id, hash: a row of ``texts``), enough to connect all that similar pairs connect."""
     columns = ("key", "n", "at", "root", "parity")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        keys = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    def texts_of(keys: DataFrame) -> DataFrame:
         wanted = sets.select("key", "id", "hash").join(keys, "key")
-        chosen = store(texts.join(wanted, ["id", "hash"]).select("key", "text").dropDuplicates(["key"]))
+        return texts.join(wanted, ["id", "hash"]).select("key", "text").dropDuplicates(["key"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        chosen = store(texts_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()))
         wide = store(chosen.mapInArrow(lambda batches: _wide(batches, width), "key bigint, n int, odd binary"))
         weighed = pairs.join(wide.withColumnsRenamed({"key": "b", "n": "n2", "odd": "odd2"}), "b").join(wide.withColumnsRenamed({"key": "a", "n": "n1", "odd": "odd1"}), "a")
         near = store(weighed.select("a", "b", "n1", "n2", "odd1", "odd2").mapInArrow(_near, "a bigint, b bigint"))
@@ -251,8 +302,8 @@ def similar(texts: DataFrame, sets: DataFrame, width: int = WIDTH) -> DataFrame:
         release_shuffles(texts.sparkSession)
         return found
 
-    places = meeting_places(sets)
-    linked = store(places.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0))
+    linked = verify(proposed(texts, sets))
+    places = meeting_places(sets, linked)
     left, turn = places.count(), 0
     while left:
         first = F.min_by(F.struct(*columns), F.xxhash64("key", F.lit(turn)))
@@ -261,20 +312,20 @@ def similar(texts: DataFrame, sets: DataFrame, width: int = WIDTH) -> DataFrame:
         pairs = store(near.select(F.least("key0", "key1").alias("a"), F.greatest("key0", "key1").alias("b")).distinct())
         discard(centres)
         linked = linked.union(verify(pairs))
-        roots = components(linked).select(F.col("node").alias("key"), "root")
-        rooted = store(places.drop("root").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+        now = rooted(places.drop("root"), linked)
         discard(places)
-        places = mixed(rooted)
-        discard(rooted)
+        places = mixed(now)
+        discard(now)
         before, left, turn = left, places.count(), turn + 1
         if left > WORTH * before:
             break
     if not left:
         return linked
-    one, two = (places.select("shingle", *(F.col(c).alias(f"{c}{k}") for c in columns)) for k in (1, 2))
-    meets = (one["shingle"] == two["shingle"]) & (F.col("key1") < F.col("key2")) & (F.col("root1") != F.col("root2")) & fits("1", "2")
-    rest = verify(store(one.join(two, meets).select(F.col("key1").alias("a"), F.col("key2").alias("b")).distinct()))
-    discard(places)
+    few, crowds = by_crowd(places)
+    odds = store(texts_of(crowds.select("key").distinct()).mapInArrow(lambda batches: _odds(batches, width), "key bigint, odds array<bigint>"))
+    crowded = store(crowds.join(odds, "key"))
+    rest = verify(store(meetings(few, columns).union(meetings(crowded, (*columns, "odds"))).distinct()))
+    discard(places, crowds, odds, crowded)
     return linked.union(rest)
 
 

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from mailposture.llm import near_copies
 
@@ -72,3 +73,39 @@ def test_a_column_with_the_name_of_a_helper_stays_as_it_is(spark):
     rows = [(1, "one two three four five six", 77, 1), (2, "one two three four five six", 78, 2), (3, None, 79, 3)]
     frame = spark.createDataFrame(rows, "doc_id bigint, text string, _hash bigint, hash int")
     assert sorted(tuple(r) for r in near_copies.keep_one(frame).collect()) == [rows[0], rows[2]]
+
+
+def test_simhash_proposes_links_that_are_verified(spark, docs):
+    rng = random.Random(5)
+    text = " ".join(f"w{rng.randrange(999)}" for _ in range(400))
+    frame = docs([text, f"{text} end", text.upper() + " End", "alpha beta gamma", "alpha  beta gamma", " ".join(reversed(text.split()))])
+    texts = frame.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    sets = near_copies.named(texts).dropDuplicates(["key"])
+    pairs = near_copies.proposed(texts, sets).collect()
+    key = {r.id: r.key for r in near_copies.named(texts).collect()}
+    assert {(r.a, r.b) for r in pairs} == {(min(key[0], key[1]), max(key[0], key[1]))}
+    assert key[1] == key[2] and key[3] == key[4]
+    assert sorted(r.doc_id for r in near_copies.keep_one(frame).collect()) == [0, 3, 5]
+
+
+def test_crowd_below_the_bound_does_not_become_rows(spark, docs):
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(390)]
+    texts = []
+    for i in range(40):
+        words = list(base)
+        for k in rng.sample(range(380), 6):
+            words[k] = f"x{i}_{k}"
+        texts.append(" ".join(words))
+    frame = docs(texts)
+    rows = frame.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text")
+    sets = near_copies.named(rows).select("key", "n", "prefix", "parity", "id", "hash")
+    places = near_copies.meeting_places(sets, sets.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0))
+    odds = [(r.key, [int(x) for x in near_copies.parity(near_copies.shingle_set(texts[r.id].encode()), near_copies.CROWD_BITS)]) for r in sets.collect()]
+    few, crowds = near_copies.by_crowd(places)
+    wide = crowds.join(spark.createDataFrame(odds, "key bigint, odds array<bigint>"), "key")
+    columns = ("key", "n", "at", "root", "parity")
+    narrow, close = near_copies.meetings(crowds, columns).count(), near_copies.meetings(wide, (*columns, "odds")).count()
+    assert few.count() + crowds.count() == places.count() and crowds.groupBy("shingle").count().filter(f"count <= {near_copies.CROWD}").isEmpty()
+    assert 10 * close < narrow
+    assert sorted(r.doc_id for r in near_copies.keep_one(frame).collect()) == survivors(list(enumerate(texts)))
