@@ -137,3 +137,13 @@ def test_hierarchy(spark, rows):
         "hist int, bfs int, level int, parent int, name string, short string",
     )
     assert rows(rg.resolve_hierarchy(units)) == [("261", "Zürich", "Kanton Zürich"), ("262", "Direkt", "Kanton Zürich"), ("263", "Lost", ""), ("264", "Top", "")]
+
+
+def test_a_filter_on_the_flags_does_not_split_names_again(spark):
+    frame = spark.createDataFrame([("ch", "1", "s", "baden.ch")], "country string, code string, site string, email_domain string")
+    pool = frame.select("country", "code", F.col("email_domain").alias("domain"))
+    cand = spark.createDataFrame([("ch", "1", 0, "baden.ch", "wikidata", False)], CAND)
+    kept = de.filter_pool(de.with_affinity(pool, entity(spark, ("ch", "1", "Baden", "Kanton Bern", None)), cand, de.frequency_blocklist(frame)))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_contains" not in plan and "substring_index" not in plan
+    assert [r.domain for r in kept.collect()] == ["baden.ch"]
