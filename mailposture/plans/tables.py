@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mailposture.session import store
+from mailposture.session import input_bytes, size_tasks, store
 
 BASE = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -348,11 +348,16 @@ class Tables:
         self._frames: dict[str, DataFrame] = {}
         self._stored: set[str] = set()
         self.shared: dict[str, DataFrame] = {}
+        self._read = 0
+        size_tasks(spark, 0)
 
     def __call__(self, name: str) -> DataFrame:
         if name not in self._frames:
             if name in BASE:
-                frame = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                path = f"{self.sf_dir}/{name}.parquet"
+                frame = self.spark.read.parquet(path)
+                self._read += input_bytes(self.spark, path)
+                size_tasks(self.spark, self._read)
             else:
                 frame = self.spark.sql(VIEWS[name], **{dep: self(dep) for dep in set(DEPENDS[name])})
             self._frames[name] = frame

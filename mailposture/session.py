@@ -29,6 +29,31 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
     return spark
 
 
+#: Bytes of compressed columns that one shuffle task starts from.  Rows of the views are highly alike, so a megabyte of them is some 100,000 rows.
+TASK_BYTES = 8 << 20
+INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+
+
+def input_bytes(spark: SparkSession, path: str) -> int:
+    """Size of a table's files."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+
+def size_tasks(spark: SparkSession, read: int) -> None:
+    """Let the number of shuffle partitions grow with the bytes read, so that the memory of a task does not.
+
+    Adaptive execution still merges small partitions, but only up to ``TASK_BYTES``: the usual 64 MB of compressed rows may be ten million rows to sort.
+    The session's own number of partitions is the least.
+    """
+    wanted = -(-read // TASK_BYTES)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(INITIAL_PARTITIONS, str(wanted))
+    else:
+        spark.conf.unset(INITIAL_PARTITIONS)
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_BYTES))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 

@@ -8,9 +8,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mailposture.session import INITIAL_PARTITIONS
+
+
 def partitions(df: DataFrame) -> int:
-    """Tasks of a shuffle in this session; the cluster sizes it with its data."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Tasks of a shuffle in this session, sized with its data by the cluster or by :func:`mailposture.session.size_tasks`."""
+    conf = df.sparkSession.conf
+    return max(int(conf.get("spark.sql.shuffle.partitions")), int(conf.get(INITIAL_PARTITIONS, None) or 0))
 
 
 def hot_keys(df: DataFrame, on: Sequence[str], parts: int | None = None) -> DataFrame:

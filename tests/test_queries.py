@@ -8,7 +8,8 @@ import pytest
 from check_oracle import rows_of
 from mailposture.plans import catalog
 from mailposture.plans.tables import BASE
-from mailposture.skew import hot_keys, lookup_join, rank_in_cells, semi_join
+from mailposture.session import input_bytes, size_tasks
+from mailposture.skew import hot_keys, lookup_join, partitions, rank_in_cells, semi_join
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -80,3 +81,21 @@ def test_plans_read_only_needed_columns(spark, name):
     assert "CartesianProduct" not in plan
     scans = [line for line in plan.splitlines() if "ReadSchema" in line and "orders.parquet" in line]
     assert all("o_orderstatus" not in line.split("ReadSchema")[1] for line in scans)
+
+
+def test_shuffle_tasks_grow_with_the_input(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    spark.range(1000).write.parquet(path)
+    assert 1000 < input_bytes(spark, path) < 1 << 20
+    size_tasks(spark, input_bytes(spark, path))
+    assert partitions(spark.range(1)) == 4
+    try:
+        size_tasks(spark, 1 << 30)
+        grouped = spark.read.parquet(path).groupBy("id").count()
+        assert partitions(grouped) == 128 and "hashpartitioning(id" in (plan := grouped._jdf.queryExecution().executedPlan().toString()) and ", 128)" in plan
+        assert grouped.count() == 1000
+        hot = spark.range(1000).select(F.when(F.col("id") < 500, 0).otherwise(F.col("id")).alias("k"))
+        assert [(r.k, r._salts) for r in hot_keys(hot, ["k"]).filter("_n > 10").collect()] == [(0, 128)]
+    finally:
+        size_tasks(spark, 0)
+    assert partitions(spark.range(1)) == 4
