@@ -15,6 +15,7 @@ from mailposture import dims
 from mailposture.functions.text import apex, first_match
 from mailposture.operators.reports import n_rows
 from mailposture.operators.security import AUTH_FLAGS, valid_mta
+from mailposture.session import store
 from mailposture.skew import leading_by_share, lookup_join, rank_by_size
 
 MODES = ["max_all", "max_any", "min_all", "min_any"]
@@ -139,13 +140,21 @@ def top_operators(sizes: DataFrame, share: float = 0.5) -> DataFrame:
 
 
 def top_operator_detail(mta: DataFrame, dane: DataFrame, share: float = 0.5) -> DataFrame:
-    """DANE and protocol versions of the largest operators."""
-    rows = with_operator(mta)
-    top = top_operators(operator_sizes(mta), share).select("operator")
-    versions = group_bounds(rows.filter(F.col("operator").isNotNull()), "operator")
-    support = dane_support_mx(rows.filter(F.col("operator").isNotNull()), dane, "operator")
-    joined = top.join(support, "operator").join(versions, "operator")
-    return joined.select("operator", "dane_all", "dane_any", *[version_name(F.col(m)).alias(m) for m in MODES])
+    """DANE and protocol versions of the largest operators.
+
+    Sizes are read by several jobs and written once.  Rows shrink to one per server of an operator before the logs of the MX are looked up.
+    """
+    top = top_operators(store(operator_sizes(mta)), share).select("operator")
+    rows = tls_bounds(with_operator(mta).filter(F.col("operator").isNotNull()))
+    servers = rows.groupBy("operator", "mx", "ip").agg(
+        F.min("max_tls").alias("max_all"), F.max("max_tls").alias("max_any"), F.max("min_tls").alias("min_all"), F.min("min_tls").alias("min_any")
+    )
+    # One row per operator and server, so no server can be hot but by the number of its operators, which is one.
+    judged = servers.join(dane, ["mx", "ip"], "left")
+    ok = F.coalesce("mx_dane", F.lit(False))
+    versions = [F.min("max_all").alias("max_all"), F.max("max_any").alias("max_any"), F.max("min_all").alias("min_all"), F.min("min_any").alias("min_any")]
+    per = judged.groupBy("operator").agg(F.bool_and(ok).alias("dane_all"), F.bool_or(ok).alias("dane_any"), *versions)
+    return top.join(per, "operator").select("operator", "dane_all", "dane_any", *[version_name(F.col(m)).alias(m) for m in MODES])
 
 
 def mx_count(mta: DataFrame) -> DataFrame:

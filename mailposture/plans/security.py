@@ -108,6 +108,7 @@ def auth_verdicts(t):
     + ", has_spf, has_good_spf, has_dmarc, has_good_dmarc, has_dkim FROM v_address a LEFT JOIN tls ON a.mx = tls.mx AND a.ip = tls.ip LEFT JOIN dss ON a.domain = dss.domain",
 )
 def build_mta(t):
+    t.stored("v_mta")
     return sc.build_mta(t("v_address"), t("v_tls_log"), t("v_dane_log"), t("v_dss_log"))
 
 
@@ -295,6 +296,7 @@ def dane_support(t):
 
 @query("dane_support_mx", f"WITH {VALID}, {MXD} SELECT domain, bool_and(mx_dane) AS dane_all, bool_or(mx_dane) AS dane_any FROM mxd GROUP BY domain")
 def dane_support_mx(t):
+    t.stored("v_mta")
     return mt.dane_support_mx(valid(t), sc.dane_flags(t("v_address"), t("v_dane_log")))
 
 
@@ -342,6 +344,7 @@ def top_operators(t):
     SELECT operator, dane_all, dane_any, {', '.join(f"{VER.format(m)} AS {m}" for m in mt.MODES)} FROM d JOIN top USING (operator), half WHERE rank <= n_leading""",
 )
 def top_operator_detail(t):
+    t.stored("v_mta")
     return mt.top_operator_detail(valid(t), sc.dane_flags(t("v_address"), t("v_dane_log")))
 
 
@@ -365,6 +368,7 @@ def mx_count(t):
     SELECT * FROM {DOMCOUNT} c1, {CLASSES} c2, (SELECT count(DISTINCT domain) AS valid_domains FROM valid) c3, w, mix, dn, dm, se, ({AUTHC}) c4, op, (SELECT n_leading AS operators_half FROM half) c5, ({MXTOTAL}) c6""",
 )
 def run_evaluation(t):
+    t.stored("v_mta")
     return mt.run_evaluation(t("v_mta"), sc.dane_flags(t("v_address"), t("v_dane_log")))
 
 

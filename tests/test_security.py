@@ -166,3 +166,28 @@ def test_third_party_results_by_country_and_last_row(spark):
     flat = spark.createDataFrame([row("ch", 1, "1", "0"), row("ch", 0, "1", "1"), row("de", 0, "1", "1")], columns)
     got = sorted((r.country, r.code, r.dane_supported, r.scan_valid) for r in sc.convert_flat_result(entity, flat, 8).collect())
     assert got == [("ch", "00000001", False, True), ("ch", "00000002", None, False), ("de", "00000001", True, True)]
+
+
+def test_the_largest_operators_read_the_servers_once(spark, rows):
+    """Equal to all rows joined one by one; sizes are written, so the plan reads the servers for their versions alone."""
+    from mailposture.session import store
+
+    flags = "has_sslv2 boolean, has_sslv3 boolean, has_tls1 boolean, has_tls1_1 boolean, has_tls1_2 boolean, has_tls1_3 boolean"
+    mta = [("a", "m1.x.net", "1", False, False, False, False, True, False), ("a", "m1.x.net", "1", False, False, False, False, False, True)]
+    mta += [("b", "m2.x.net", "2", False, False, True, False, True, False), ("c", "m1.y.net", "1", False, False, False, False, False, False), ("d", None, None, *[False] * 6)]
+    servers = store(spark.createDataFrame(mta, f"domain string, mx string, ip string, {flags}"))
+    dane = spark.createDataFrame([("m1.x.net", "1", True), ("m2.x.net", "3", True)], "mx string, ip string, mx_dane boolean")
+    found = mt.top_operator_detail(servers, dane, 0.9)
+    assert rows(found) == [("x.net", False, True, "TLS1_2", "TLS1_3", "TLS1_3", "TLS1"), ("y.net", False, False, *["NO_STARTTLS"] * 4)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert len([line for line in plan if "Relation" in line and "has_sslv2" in line]) == 1
+
+
+def test_server_queries_write_the_server_rows(spark):
+    from mailposture.plans import security as plans
+    from mailposture.plans.tables import Tables
+
+    for job in (plans.top_operator_detail, plans.run_evaluation, plans.dane_support_mx, plans.build_mta):
+        t = Tables(spark, "/root/testdata/sf0.001")
+        job(t)
+        assert "v_mta" in t._stored
