@@ -135,3 +135,15 @@ def test_streams(spark, rows, tmp_path):
     query = deduped.writeStream.format("memory").queryName("deduped").outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("deduped").filter("kind = 'mx'").count() == 1
+
+
+def test_provider_tables_are_computed_once_and_packed(spark, tmp_path):
+    signal = F.array(F.struct(F.lit("mx").alias("kind"), F.lit("MX h").alias("detail"), F.lit(0).alias("pos")))
+    nested = spark.range(3).select(
+        F.lit("ch").alias("country"), F.col("id").cast("string").alias("code"), F.expr("uuid()").alias("name"), F.lit("aws").alias("provider"), signal.alias("classification_signals")
+    )
+    sinks.write_providers(nested, str(tmp_path))
+    full, reduced = (spark.read.json(f"{tmp_path}/{n}") for n in ("providers", "providers_min"))
+    assert [r.name for r in full.orderBy("code").collect()] == [r.name for r in reduced.orderBy("code").collect()]
+    assert spark.read.json(f"{tmp_path}/providers_header").first().total == 3
+    assert list(tmp_path.glob("providers/*.json.gz")) and list(tmp_path.glob("providers_min/*.json.gz"))
