@@ -239,8 +239,15 @@ def cname_chain_by_table(t):
     return shown(ev.ev_cname_chain(t("v_mx"), t("v_cname"), signed(t, dims.MX_PATTERNS), signed(t, dims.CNAME_PATTERNS)))
 
 
+def resolved(t):
+    """Hosts, addresses and networks as written tables: each view is built on the one before and read by several probes."""
+    for name in ("v_mx", "v_a", "v_asn"):
+        t.stored(name)
+
+
 @query("spf_ip_first_asn", f"WITH {SQL_SPF_IP} SELECT domain, asn, ip, registered FROM firsts")
 def spf_ip_first_asn(t):
+    resolved(t)
     return ev.spf_networks(t("v_txt"), t("v_a"), t("v_asn")).select("domain", "asn", "ip", "registered")
 
 
@@ -266,6 +273,7 @@ def mx_hosts(t):
 
 def assembled(t):
     """All probes over the observation tables."""
+    resolved(t)
     mx, txt, cname = t("v_mx"), t("v_txt"), t("v_cname")
     return ev.assemble_evidence(
         ev.ev_mx(mx),

@@ -99,3 +99,15 @@ def test_shuffle_tasks_grow_with_the_input(spark, tmp_path):
     finally:
         size_tasks(spark, 0)
     assert partitions(spark.range(1)) == 4
+
+
+def test_views_that_many_parts_read_are_written(spark):
+    from mailposture.plans import providers, quality
+    from mailposture.plans.tables import Tables
+
+    t = Tables(spark, SF)
+    providers.spf_ip_first_asn(t)
+    assert {"v_mx", "v_a", "v_asn"} <= t._stored
+    t = Tables(spark, SF)
+    quality.check_args(t)
+    assert {"v_entity", "v_provider", "v_security"} <= t._stored
