@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from mailposture.llm.blocks import flat, tidy
 from mailposture.llm.graph import components
 from mailposture.llm.simhash import near_duplicates, shingle_hashes
-from mailposture.llm.suffix_dedup import ASKED, BITS, Asked, Stretches, _by_run, _shared, _tidied, asked, pack, questions_of
+from mailposture.llm.suffix_dedup import ASKED, BITS, SPREAD, Asked, Stretches, _by_run, _shared, _tidied, asked, mix, pack, questions_of
 from mailposture.session import discard, release_shuffles, store
 from mailposture.skew import partitions
 
@@ -121,13 +121,13 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _questions(packed: bytes, parts: int) -> tuple[pa.RecordBatch, np.ndarray, np.ndarray, Asked]:
-    """(sets, their prefix shingles end to end, set of each, what the run asks)."""
+    """(sets, their prefix shingles end to end, set of each, what the run asks).  Prefixes favour small hashes, which are spread before they are dealt out."""
     with pa.ipc.open_stream(packed) as reader:
         sets = reader.read_next_batch()
     lists = sets.column(2)
     shingles = lists.flatten().to_numpy().view(np.uint64)
     owner = np.repeat(np.arange(sets.num_rows), np.diff(lists.offsets.to_numpy()))
-    return sets, shingles, owner, asked(Stretches(owner, owner, shingles, owner), np.arange(sets.num_rows), parts)
+    return sets, shingles, owner, asked(Stretches(owner, owner, mix(shingles * SPREAD), owner), np.arange(sets.num_rows), parts)
 
 
 @tidy

@@ -10,7 +10,7 @@ the q-gram in it with the least hash (leftmost on ties).  Equal suffixes have eq
 3. Every run sorts its remaining distinct stretches and sends each partition its part of them, front-coded (length of the prefix shared with the one before, and the
    rest), with the smallest document id.  The partition merges the sorted runs in a loser tree over common prefix lengths: what a candidate is known to
    share with the last output is not compared again, and equal stretches of many runs fall together as they come out.
-4. The suffixes of the distinct stretches of a partition are sorted, equal ones get their smallest document id, and every run gets one bit for each suffix:
+4. The suffixes of the distinct stretches of a partition are sorted by a hash and compared with their neighbours, equal ones get their smallest document id, and every run gets one bit for each suffix:
    whether it starts in a smaller document than any of this run's owners of the stretch.
 5. Each run marks its suffixes, covers their bytes, and cuts.
 
@@ -35,14 +35,14 @@ from mailposture.session import store
 
 Q = 24
 RUN_BYTES = 2 << 20
-#: Text of which anchors are computed at a time; positions have to fit ``POSITION`` bits.
-SEGMENT, POSITION = 1 << 19, 20
+#: Text of which anchors are computed at a time, so that its arrays stay in a core's cache; positions have to fit ``POSITION`` bits.
+SEGMENT, POSITION = 1 << 14, 15
 #: Bits of an anchor's hash that are exchanged, besides one for "in several documents of the run".
 KEY_BITS = 47
 
-_RANDOM = np.random.default_rng(20240607)
-_BYTES = _RANDOM.integers(1 << 63, size=256, dtype=np.uint64) | np.uint64(1)
-_STEPS = [np.uint64(pow(0x9E3779B97F4A7C15, 1 << k, 1 << 64)) for k in range(8)]
+_ODD = [np.uint64(int(x) | 1) for x in np.random.default_rng(20240607).integers(1 << 63, size=64, dtype=np.uint64)]
+#: Factor that spreads anchors' hashes, which are small ones, over the whole range; ``mix`` has to follow.
+SPREAD = _ODD[-1]
 
 
 class Stretches(NamedTuple):
@@ -54,31 +54,34 @@ class Stretches(NamedTuple):
     row: np.ndarray
 
 
+def mix(h: np.ndarray) -> np.ndarray:
+    """Spread the bits of hashes, in place."""
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def words_at(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every position on as one number: a view without a copy."""
+    return np.ndarray(max(0, len(raw) - 7), np.dtype("<u8"), raw, strides=(1,))
+
+
+def word_places(length: int) -> list[int]:
+    """Where words of eight bytes have to start in order to cover ``length`` bytes; the last two may overlap."""
+    return [*range(0, length - 8, 8), length - 8]
+
+
 def gram_hashes(raw: np.ndarray, q: int) -> np.ndarray:
-    """Hash of the q-gram at every position, by doubling."""
-    out, covered, part, size, level = None, 0, _BYTES[raw], 1, 0
-    while True:
-        if q & size:
-            if out is None:
-                out = part
-            else:  # the bits of q from low to high: the part found so far stands after this one
-                n = len(raw) - (covered + size) + 1
-                if n <= 0:
-                    return np.zeros(0, np.uint64)
-                out = part[:n] * np.uint64(pow(int(_STEPS[0]), covered, 1 << 64)) + out[size : size + n]
-            covered += size
-        size *= 2
-        if size > q:
-            break
-        n = len(part) - size // 2
-        if n <= 0:
-            return np.zeros(0, np.uint64)
-        part = part[:n] * _STEPS[level] + part[size // 2 : size // 2 + n]
-        level += 1
-    n = max(0, len(raw) - q + 1)
-    h = out[:n]
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-    return (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    """Hash of the q-gram at every position, for ``q`` of at least eight."""
+    n = len(raw) - q + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    word = mix(words_at(raw).astype(np.uint64))
+    h = word[:n].copy()
+    for k, odd in zip(word_places(q)[1:], _ODD):
+        h += word[k : k + n] * odd
+    return mix(h)
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -94,33 +97,43 @@ def stretches(raw: np.ndarray, offsets: np.ndarray, active: np.ndarray, length:
     parts: list[tuple[np.ndarray, ...]] = []
     ends, width = offsets[1:], length - q + 1
     low = np.uint64((1 << POSITION) - 1)
+    step = np.zeros(len(raw) + 1, np.int8)
+    long = active & (np.diff(offsets) >= length)
+    step[offsets[:-1][long]] = 1
+    step[ends[long] - length + 1] = -1
+    starts = np.cumsum(step, dtype=np.int8).view(bool)  # where a suffix starts; between two rows there is a place where none does
+    numbers = np.arange(SEGMENT + length, dtype=np.uint64)
     for at in range(0, len(raw), SEGMENT):
         window = raw[at : at + SEGMENT + length - 1]
         if len(window) < length:
             break
-        h = gram_hashes(window, q)
+        packed = gram_hashes(window, q)
         n = len(window) - length + 1
-        packed = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        anchor = (sliding_min(packed, width)[:n] & low).astype(np.int64)
-        row = np.searchsorted(ends, np.arange(at, at + n), "right")
-        good = active[row] & (np.arange(at, at + n) + length <= ends[row])
-        change = np.append(True, (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1]))
-        begin = np.flatnonzero(good & (change | ~np.append(False, good[:-1])))
-        stop = np.flatnonzero(good & ~np.append(good[1:] & ~change[1:], False))
-        parts.append((begin + at, stop + at, h[anchor[begin]], row[begin]))
+        packed &= ~low
+        packed |= numbers[: len(packed)]
+        least = sliding_min(packed, width)[:n]
+        edge = np.empty(n + 1, bool)  # whether the anchor changes before this place
+        edge[0] = edge[n] = True
+        np.not_equal(least[1:], least[:-1], out=edge[1:n])
+        good = np.zeros(n + 2, bool)
+        good[1:-1] = starts[at : at + n]
+        begin = np.flatnonzero(good[1:-1] & (edge[:-1] | ~good[:-2]))
+        stop = np.flatnonzero(good[1:-1] & (edge[1:] | ~good[2:]))
+        parts.append((begin + at, stop + at, least[begin] & ~low))
     if not parts:
         empty = np.zeros(0, np.int64)
         return Stretches(empty, empty, empty.astype(np.uint64), empty)
-    return Stretches(*map(np.concatenate, zip(*parts)))
+    first, last, key = map(np.concatenate, zip(*parts))
+    return Stretches(first, last, mix(key * SPREAD), np.searchsorted(ends, first, "right"))
 
 
 def part_of(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Owning partition of an anchor, from bits of its hash that are exchanged."""
-    return ((keys >> np.uint64(64 - KEY_BITS)) % np.uint64(parts)).astype(np.int64)
+    """Owning partition of an anchor: it grows with the anchor's hash, and only bits that are exchanged count."""
+    return (((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
 
 
 class Asked(NamedTuple):
-    """The distinct anchors of a run in the order of (partition, hash): hash, several documents, bounds of the partitions."""
+    """The distinct anchors of a run in the order of their hashes, hence of partitions: hash, several documents, bounds of the partitions."""
 
     keys: np.ndarray
     several: np.ndarray
@@ -131,16 +144,16 @@ class Asked(NamedTuple):
 
 def asked(found: Stretches, ids: np.ndarray, parts: int) -> Asked:
     keys = found.key >> np.uint64(64 - KEY_BITS)
-    part = part_of(found.key, parts)
-    order = np.lexsort((keys, part))
-    k, p = keys[order], part[order]
-    new = np.append(True, (k[1:] != k[:-1]) | (p[1:] != p[:-1])) if len(k) else np.zeros(0, bool)
+    order = np.argsort(keys)
+    k = keys[order]
+    new = np.append(True, k[1:] != k[:-1]) if len(k) else np.zeros(0, bool)
     start = np.flatnonzero(new)
     owner = ids[found.row[order]]
     several = np.minimum.reduceat(owner, start) != np.maximum.reduceat(owner, start) if len(start) else np.zeros(0, bool)
     place = np.empty(len(k), np.int64)
     place[order] = np.cumsum(new) - 1
-    return Asked(k[start], several, np.searchsorted(p[start], np.arange(parts + 1)), place)
+    part = part_of(k[start] << np.uint64(64 - KEY_BITS), parts)
+    return Asked(k[start], several, np.searchsorted(part, np.arange(parts + 1)), place)
 
 
 def questions_of(run: int, ask: Asked) -> pa.RecordBatch:
@@ -386,33 +399,46 @@ def _front_coded(batches: Iterator[pa.RecordBatch], length: int, parts: int) ->
 def least_owner(texts: list[bytes], least: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Smallest id for every suffix of ``length`` bytes of distinct strings, in text order, and the number of suffixes of each string.
 
-    The suffixes are sorted as big-endian words; equal neighbours take the least of their ids.
+    The suffixes are sorted by a hash, and neighbours of one hash are compared; equal ones take the least of their ids.  Where different ones
+    have one hash, all are sorted by their bytes instead.
     """
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
     flat = np.frombuffer(b"".join(texts) + bytes(8), np.uint8)
     counts = lengths - length + 1
-    starts = ragged_take(np.arange(len(flat)), np.cumsum(lengths) - lengths, counts)
-    ids = np.repeat(least, counts)
-    words = []
-    for k in range(0, length, 8):
-        word = np.zeros(len(starts), np.uint64)
-        for i in range(min(8, length - k)):
-            word |= flat[starts + k + i].astype(np.uint64) << np.uint64(56 - 8 * i)
-        words.append(word)
-    order = np.lexsort(words[::-1])
-    new = np.zeros(len(order), bool)
-    if len(new):
-        new[0] = True
-    for word in words:
-        word = word[order]
-        new[1:] |= word[1:] != word[:-1]
+    starts = np.arange(int(counts.sum())) + np.repeat(np.cumsum(lengths) - lengths - (np.cumsum(counts) - counts), counts)
+    out = np.empty(len(starts), np.int64)
+    if not len(starts):
+        return out, counts
+    word, places = words_at(flat), word_places(length)
+    keys = suffix_keys(word, places, starts)
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])
+    del keys
+    here = np.flatnonzero(~new)
+    one, two = starts[order[here]], starts[order[here - 1]]
+    if any((word[one + k] != word[two + k]).any() for k in places):
+        order = np.lexsort([word[starts + k] for k in places])
+        new = np.zeros(len(order), bool)
+        for k in places:
+            sorted_words = word[starts[order] + k]
+            new |= np.append(True, sorted_words[1:] != sorted_words[:-1])
     first = np.flatnonzero(new)
-    out = np.empty(len(order), np.int64)
-    if len(first):
-        out[order] = np.repeat(np.minimum.reduceat(ids[order], first), np.diff(np.append(first, len(order))))
+    ids = np.repeat(least, counts)[order]
+    out[order] = np.repeat(np.minimum.reduceat(ids, first), np.diff(np.append(first, len(order))))
     return out, counts
 
 
+def suffix_keys(word: np.ndarray, places: list[int], starts: np.ndarray) -> np.ndarray:
+    """Hash of the words at ``places`` from every start on."""
+    keys = np.zeros(len(starts), np.uint64)
+    for k, odd in zip(places, _ODD):
+        keys += word[starts + k]
+        mix(keys)
+        keys *= odd
+    return mix(keys)
+
+
 def _merged(group: pa.Table, length: int) -> pa.Table:
     """For every run one bit for each suffix it sent: whether a document with a smaller id than all of the run's owners has it."""
     from zstandard import ZstdDecompressor
@@ -450,11 +476,16 @@ def covered(texts: Run, answers: list[dict], verdicts: list[dict], length: int,
             bits[a:b] = np.unpackbits(np.frombuffer(v["bits"], np.uint8), count=b - a)
     n = counts[s.place]
     gone = ragged_take(bits, begin[s.place], n) | np.repeat(texts.ids[s.owners.row] > s.least[s.place], n)
-    position = ragged_take(np.arange(len(texts.raw)), s.owners.first, n)[gone]
-    step = np.zeros(len(texts.raw) + 1, np.int32)
-    np.add.at(step, position, 1)
-    np.add.at(step, position + length, -1)
-    return np.cumsum(step[:-1]) > 0
+    ends = np.cumsum(n)
+    mark = np.zeros(len(texts.raw), bool)
+    mark[(np.arange(len(gone)) + np.repeat(s.owners.first - (ends - n), n))[gone]] = True
+    step = np.zeros(len(texts.raw) + 1, np.int8)
+    at = np.flatnonzero(mark)
+    if len(at):
+        apart = at[1:] - at[:-1] > length
+        step[at[np.append(True, apart)]] = 1
+        step[at[np.append(apart, True)] + length] = -1
+    return np.cumsum(step[:-1], dtype=np.int8).view(bool)
 
 
 @tidy

@@ -109,3 +109,16 @@ def test_crowd_below_the_bound_does_not_become_rows(spark, docs):
     assert few.count() + crowds.count() == places.count() and crowds.groupBy("shingle").count().filter(f"count <= {near_copies.CROWD}").isEmpty()
     assert 10 * close < narrow
     assert sorted(r.doc_id for r in near_copies.keep_one(frame).collect()) == survivors(list(enumerate(texts)))
+
+
+def test_small_hashes_are_dealt_out_evenly():
+    import numpy as np
+    import pyarrow as pa
+
+    from mailposture.llm.suffix_dedup import pack
+
+    shingles = np.sort(np.random.default_rng(3).integers(0, 1 << 60, 8000).astype(np.uint64))  # as prefixes have them: of small hash
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, 8001, 100), pa.int32()), pa.array(shingles.view(np.int64)))
+    sets = pa.RecordBatch.from_arrays([pa.array(np.arange(80)), pa.array(np.full(80, 100)), lists], ["key", "n", "prefix"])
+    ask = near_copies._questions(pack(sets), 16)[3]
+    assert len(ask.keys) == 8000 and np.diff(ask.bounds).max() < 700

@@ -1,6 +1,8 @@
 import hashlib
 import random
+import tracemalloc
 
+import numpy as np
 import pytest
 
 from mailposture.llm import queries, suffix_dedup
@@ -96,6 +98,50 @@ def test_front_coding_round_trip():
     assert back == texts and shared == [0, 2, 0, 3, 2, 0] and least.tolist() == list(range(len(texts)))
 
 
+def peak_of(job):
+    """Bytes that a job holds at most, beyond what is held before."""
+    tracemalloc.start()
+    try:
+        job()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_stretches_of_a_run_need_little_memory():
+    raw = np.random.default_rng(1).integers(97, 123, 2 << 20).astype(np.uint8)
+    offsets, active = np.arange(0, len(raw) + 1, 1 << 12), np.ones(len(raw) >> 12, bool)
+    assert peak_of(lambda: suffix_dedup.stretches(raw, offsets, active, LENGTH)) < 12 * len(raw)
+
+
+def test_stretches_hold_every_suffix_once():
+    rng = random.Random(9)
+    sizes = [0, 49, 50, 51, 30_000, 0, 500, 20_000, 3]
+    raw = np.frombuffer("".join(rng.choice("ab") for _ in range(sum(sizes))).encode(), np.uint8)
+    offsets, active = np.append(0, np.cumsum(sizes)), np.array([True] * 6 + [False] + [True] * 2)
+    found = suffix_dedup.stretches(raw, offsets, active, LENGTH)
+    starts = [(p, r) for a, b, r in zip(found.first.tolist(), found.last.tolist(), found.row.tolist()) for p in range(a, b + 1)]
+    assert starts == [(p, r) for r, n in enumerate(sizes) if active[r] for p in range(offsets[r], offsets[r] + n - LENGTH + 1)]
+
+
+@pytest.mark.parametrize("same_hash", [False, True])
+def test_least_owner_needs_little_memory_and_survives_equal_hashes(monkeypatch, same_hash):
+    rng = random.Random(8)
+    base = "".join(rng.choice("abc") for _ in range(3000)).encode()
+    texts = sorted({base[a : a + rng.randrange(50, 76)] for a in (rng.randrange(2900) for _ in range(4000))} | {b"\0" * 60, b"\0" * 59 + b"a"})
+    least = np.array([rng.randrange(1000) for _ in texts])
+    if same_hash:
+        monkeypatch.setattr(suffix_dedup, "suffix_keys", lambda word, places, starts: np.zeros(len(starts), np.uint64))
+    best, counts = suffix_dedup.least_owner(texts, least, LENGTH)
+    first = {}
+    suffixes = [(t[p : p + LENGTH], own) for t, own in zip(texts, least.tolist()) for p in range(len(t) - LENGTH + 1)]
+    for k, own in suffixes:
+        first[k] = min(own, first.get(k, own))
+    assert counts.tolist() == [len(t) - LENGTH + 1 for t in texts] and best.tolist() == [first[k] for k, _ in suffixes]
+    if not same_hash:
+        assert peak_of(lambda: suffix_dedup.least_owner(texts, least, LENGTH)) < 100 * len(suffixes)
+
+
 def test_query_over_documents(spark):
     sf = "/root/testdata/sf0.001"
     table = spark.read.parquet(f"{sf}/documents.parquet").collect()
