@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailposture.llm import byte_bpe, decontamination, near_copies, suffix_dedup, toxicity
-from mailposture.session import shared_folder
+from mailposture.session import shared_folder, small_batches
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not toxic, by labels outside of the held-out third."""
+    small_batches(spark)
     labels = toxicity.train_rows(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the smallest id, of each group of near copies: links of SimHash, and all others at a similarity of 5-word shingles from 0.8, verified."""
+    small_batches(spark)
     return near_copies.keep_one(docs)
 
 

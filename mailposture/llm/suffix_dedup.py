@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailposture.llm.blocks import groups, ragged_take, release, tidy
-from mailposture.session import store
+from mailposture.session import small_batches, store
 
 Q = 24
 RUN_BYTES = 2 << 20
@@ -194,21 +194,44 @@ def unpack(packed: bytes) -> Run:
     return Run(rows, np.frombuffer(data, np.uint8), data, offsets - offsets[0], ids.fill_null(0).to_numpy(), ids.is_valid().to_numpy(zero_copy_only=False))
 
 
+@tidy
 def _pack_runs(batches: Iterator[pa.RecordBatch], run_bytes: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    task, serial = TaskContext.get().partitionId(), 0
+    first_run = TaskContext.get().partitionId() << 32
+    for serial, rows in enumerate(filled_runs(batches, run_bytes)):
+        yield pa.RecordBatch.from_arrays([pa.array([first_run + serial]), pa.array([pack(rows)], pa.binary())], ["run", "packed"])
+
+
+def filled_runs(batches: Iterator[pa.RecordBatch], run_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text, ...) of batches of any size in runs of up to ``run_bytes`` of text; what does not fill a run waits for the next batch."""
+    held: list[pa.RecordBatch] = []
+    size = 0
     for batch in batches:
         texts = batch.column(1).cast(pa.large_binary())
         if texts.null_count:
             texts = texts.fill_null(b"")
-        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
-        rows = pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], batch.schema.names)
-        for first, last in groups(offsets, run_bytes):
-            cut = pa.Table.from_batches([rows.slice(first, last - first)])
-            cut = pa.RecordBatch.from_arrays([pa.concat_arrays(c.chunks) for c in cut.itercolumns()], cut.schema.names)
-            yield pa.RecordBatch.from_arrays([pa.array([(task << 32) + serial]), pa.array([pack(cut)], pa.binary())], ["run", "packed"])
-            serial += 1
+        held.append(pa.RecordBatch.from_arrays([batch.column(0), texts, *batch.columns[2:]], batch.schema.names))
+        size += int(offsets_of(texts)[-1] - offsets_of(texts)[0])
+        if size < run_bytes:
+            continue
+        rows = joined(held)
+        offsets = offsets_of(rows.column(1))
+        *filled, (first, last) = groups(offsets, run_bytes)
+        for a, b in filled:
+            yield joined([rows.slice(a, b - a)])
+        held, size = [joined([rows.slice(first, last - first)])], int(offsets[last] - offsets[first])
+    if held and (rows := joined(held)).num_rows:
+        yield rows
+
+
+def offsets_of(texts: pa.Array) -> np.ndarray:
+    return np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """Batches as one, whose buffers hold nothing else."""
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(k) for b in batches]) for k in range(batches[0].num_columns)], batches[0].schema.names)
 
 
 @tidy
@@ -523,6 +546,7 @@ def cut_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     ``length`` stay whole.  An empty table gives no rows.  ``carry`` names further columns to take along; other columns are not looked at.
     """
     spark = df.sparkSession
+    small_batches(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     inner = [F.col(id_col).cast("bigint").alias("c0"), F.col(text_col).cast("string").alias("c1"), *[F.col(c).alias(f"c{k + 2}") for k, c in enumerate(carry)]]
     packed = df.select(*inner).mapInArrow(lambda b: _pack_runs(b, run_bytes), "run bigint, packed binary")

@@ -142,6 +142,30 @@ def test_least_owner_needs_little_memory_and_survives_equal_hashes(monkeypatch,
         assert peak_of(lambda: suffix_dedup.least_owner(texts, least, LENGTH)) < 100 * len(suffixes)
 
 
+def test_rows_reach_runs_in_small_batches(spark):
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from mailposture.session import BATCH_BYTES, small_batches
+
+    small_batches(spark)
+    frame = spark.range(0, 20_000, 1, 1).select("id", F.repeat(F.lit("x"), 2000).alias("text"))
+    sizes = [r.n for r in frame.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches), "n bigint").collect()]
+    assert sum(sizes) > 40_000_000 and max(sizes) < 1.5 * BATCH_BYTES
+
+
+def test_runs_are_filled_from_several_batches():
+    import pyarrow as pa
+
+    texts = ["a" * 30, None, "b" * 500, "", "c" * 10, "d" * 60, "e" * 30] * 5
+    batches = [pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([t], pa.string())], ["c0", "c1"]) for k, t in enumerate(texts)]
+    runs = list(suffix_dedup.filled_runs(iter([batches[0].slice(0, 0), *batches]), 100))
+    sizes = [sum(map(len, r.column(1).to_pylist())) for r in runs]
+    assert [x for r in runs for x in r.column(0).to_pylist()] == list(range(35)) and [x.decode() for r in runs for x in r.column(1).to_pylist()] == [t or "" for t in texts]
+    assert all(n <= 100 or r.num_rows == 1 for n, r in zip(sizes, runs)) and len(runs) < 20
+    assert list(suffix_dedup.filled_runs(iter([]), 100)) == []
+
+
 def test_query_over_documents(spark):
     sf = "/root/testdata/sf0.001"
     table = spark.read.parquet(f"{sf}/documents.parquet").collect()
