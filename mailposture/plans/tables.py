@@ -349,6 +349,7 @@ class Tables:
         self._stored: set[str] = set()
         self.shared: dict[str, DataFrame] = {}
         self._read = 0
+        self._fan_out = 1
         size_tasks(spark, 0)
 
     def __call__(self, name: str) -> DataFrame:
@@ -357,12 +358,17 @@ class Tables:
                 path = f"{self.sf_dir}/{name}.parquet"
                 frame = self.spark.read.parquet(path)
                 self._read += input_bytes(self.spark, path)
-                size_tasks(self.spark, self._read)
+                size_tasks(self.spark, self._read, self._fan_out)
             else:
                 frame = self.spark.sql(VIEWS[name], **{dep: self(dep) for dep in set(DEPENDS[name])})
             self._frames[name] = frame
         return self._frames[name]
 
+    def fans_out(self, times: int) -> None:
+        """Size the tasks for a job whose shuffles hold up to ``times`` the bytes it reads."""
+        self._fan_out = max(times, self._fan_out)
+        size_tasks(self.spark, self._read, self._fan_out)
+
     def stored(self, name: str) -> DataFrame:
         """The same as a written table, for jobs that read it several times; later views build on the written table."""
         if name not in self._stored:

@@ -32,6 +32,9 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
 #: Bytes of compressed columns that one shuffle task starts from.  Rows of the views are highly alike, so a megabyte of them is some 100,000 rows.
 TASK_BYTES = 8 << 20
 INITIAL_PARTITIONS = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+SCAN_BYTES = "spark.sql.files.maxPartitionBytes"
+#: Where the session's own value of ``SCAN_BYTES`` is kept while a job has a smaller one.
+OWN_SCAN_BYTES = "spark.mailposture.ownMaxPartitionBytes"
 
 
 def input_bytes(spark: SparkSession, path: str) -> int:
@@ -40,18 +43,38 @@ def input_bytes(spark: SparkSession, path: str) -> int:
     return folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
 
 
-def size_tasks(spark: SparkSession, read: int) -> None:
+def size_tasks(spark: SparkSession, read: int, fan_out: int = 1) -> None:
     """Let the number of shuffle partitions grow with the bytes read, so that the memory of a task does not.
 
     Adaptive execution still merges small partitions, but only up to ``TASK_BYTES``: the usual 64 MB of compressed rows may be ten million rows to sort.
     The session's own number of partitions is the least.
+
+    ``fan_out`` is for jobs that derive many rows from each they read: how many times the bytes read one shuffle may hold.  Their scan tasks are bounded too, since
+    they sort the derived rows before the shuffle; otherwise Spark lets a scan task grow with the input up to 128 MB.
     """
-    wanted = -(-read // TASK_BYTES)
+    wanted = -(-read * fan_out // TASK_BYTES)
     if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
         spark.conf.set(INITIAL_PARTITIONS, str(wanted))
     else:
         spark.conf.unset(INITIAL_PARTITIONS)
     spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(TASK_BYTES))
+    bound_scans(spark, fan_out > 1)
+
+
+def bound_scans(spark: SparkSession, bounded: bool) -> None:
+    """Let a scan task read ``TASK_BYTES`` at most, or what the session had set before."""
+    own = spark.conf.get(OWN_SCAN_BYTES, None)
+    if bounded and own is None:
+        spark.conf.set(OWN_SCAN_BYTES, spark.conf.get(SCAN_BYTES))
+        spark.conf.set(SCAN_BYTES, str(min(TASK_BYTES, scan_bytes(spark))))
+    elif not bounded and own is not None:
+        spark.conf.set(SCAN_BYTES, own)
+        spark.conf.unset(OWN_SCAN_BYTES)
+
+
+def scan_bytes(spark: SparkSession) -> int:
+    """Bytes a scan task may read in this session."""
+    return spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
 
 
 #: Bytes of rows that Spark hands to a mapper over Arrow batches at a time.

@@ -8,7 +8,7 @@ import pytest
 from check_oracle import rows_of
 from mailposture.plans import catalog
 from mailposture.plans.tables import BASE
-from mailposture.session import input_bytes, size_tasks
+from mailposture.session import SCAN_BYTES, TASK_BYTES, input_bytes, size_tasks
 from mailposture.skew import hot_keys, lookup_join, partitions, rank_in_cells, semi_join
 from pyspark.sql import functions as F
 
@@ -101,6 +101,51 @@ def test_shuffle_tasks_grow_with_the_input(spark, tmp_path):
     assert partitions(spark.range(1)) == 4
 
 
+def test_tasks_of_jobs_that_fan_out_hold_no_more(spark):
+    own = spark.conf.get(SCAN_BYTES)
+    try:
+        size_tasks(spark, 1 << 30, fan_out=8)
+        assert partitions(spark.range(1)) == 1024 and spark.conf.get(SCAN_BYTES) == str(TASK_BYTES)
+        size_tasks(spark, 0)
+        assert partitions(spark.range(1)) == 4 and spark.conf.get(SCAN_BYTES) == own
+        spark.conf.set(SCAN_BYTES, "1m")
+        size_tasks(spark, 1 << 30, fan_out=8)
+        assert int(spark.conf.get(SCAN_BYTES)) == 1 << 20
+        size_tasks(spark, 0)
+        assert spark.conf.get(SCAN_BYTES) == "1m"
+    finally:
+        size_tasks(spark, 0)
+        spark.conf.set(SCAN_BYTES, own)
+
+
+def test_probes_get_tasks_for_the_rows_they_derive(spark, tmp_path, monkeypatch):
+    from mailposture import session
+    from mailposture.plans import providers
+    from mailposture.plans.tables import Tables
+
+    d, n = str(tmp_path), 300
+    key = F.col("id")
+    orders = spark.range(n).select(
+        key.alias("o_orderkey"), (key % 40).alias("o_custkey"), F.lit("O").alias("o_orderstatus"), (key * 1.5).alias("o_totalprice"),
+        F.timestamp_seconds(key).alias("o_orderdate"), F.when(key % 5 == 0, "5-LOW").otherwise("1-URGENT").alias("o_orderpriority"),
+    )
+    customer = spark.range(40).select(key.alias("c_custkey"), F.concat(F.lit("c"), key).alias("c_name"), (key % 25).cast("int").alias("c_nationkey"))
+    for name, frame in (("orders", orders), ("customer", customer)):
+        frame.coalesce(1).write.parquet(f"{d}/{name}.parquet")
+    read = sum(input_bytes(spark, f"{d}/{name}.parquet") for name in ("orders", "customer"))
+    want = sorted(map(tuple, providers.assembled(Tables(spark, d)).collect()), key=str)
+    try:
+        monkeypatch.setattr(session, "TASK_BYTES", read)
+        t = Tables(spark, d)
+        t("orders"), t("customer")
+        assert partitions(spark.range(1)) == 4
+        got = providers.assembled(t)
+        assert partitions(got) == providers.EVIDENCE_FAN_OUT
+        assert want and sorted(map(tuple, got.collect()), key=str) == want
+    finally:
+        size_tasks(spark, 0)
+
+
 def test_views_that_many_parts_read_are_written(spark):
     from mailposture.plans import providers, quality
     from mailposture.plans.tables import Tables
