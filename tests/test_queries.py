@@ -8,8 +8,8 @@ import pytest
 from check_oracle import rows_of
 from mailposture.plans import catalog
 from mailposture.plans.tables import BASE
-from mailposture.session import SCAN_BYTES, TASK_BYTES, input_bytes, size_tasks
-from mailposture.skew import hot_keys, lookup_join, partitions, rank_in_cells, semi_join
+from mailposture.session import SCAN_BYTES, TASK_BYTES, input_bytes, size_tasks, step
+from mailposture.skew import flag_join, hot_keys, lookup_join, partitions, rank_groups, rank_in_cells, semi_join
 from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
@@ -156,3 +156,31 @@ def test_views_that_many_parts_read_are_written(spark):
     t = Tables(spark, SF)
     quality.check_args(t)
     assert {"v_entity", "v_provider", "v_security"} <= t._stored
+
+
+def test_rank_groups_is_row_number_with_and_without_a_hot_group(spark):
+    row = F.col("id")
+    few = spark.range(400).select((row % 100).alias("g"), F.concat(F.lit("d"), row % 37, F.lit("."), row).alias("d"))
+    hot = few.unionByName(spark.range(900).select(F.lit(7).cast("bigint").alias("g"), F.concat(F.lit("x"), row).alias("d")))
+    for frame in (few, hot):
+        got = rank_groups(frame, ["g"], [F.length("d"), F.substring("d", 1, 1)], [F.col("d")])
+        groups = {}
+        for r in got.collect():
+            groups.setdefault(r.g, []).append((r.rank, len(r.d), r.d))
+        assert sum(map(len, groups.values())) == frame.count()
+        for ranked in groups.values():
+            assert [x[0] for x in sorted(ranked)] == list(range(1, len(ranked) + 1)) and [x[1:] for x in sorted(ranked)] == sorted(x[1:] for x in ranked)
+
+
+def test_flag_join_broadcasts_a_small_list(spark, rows):
+    left = spark.range(100).select((F.col("id") % 5).cast("string").alias("k"), "id")
+    listed = step(spark.createDataFrame([("1", True), ("3", True)], "k string, f boolean"))
+    for bound in ("10485760", "1"):
+        own = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bound)
+        try:
+            joined = flag_join(left, listed, ["k"])
+            assert rows(joined, "k", "id", "f") == rows(left.join(listed, ["k"], "left"), "k", "id", "f")
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", own)
+    assert "Exchange hashpartitioning" not in flag_join(left, listed, ["k"])._jdf.queryExecution().executedPlan().toString()

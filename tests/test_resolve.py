@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from mailposture.operators import candidates as cd
 from mailposture.operators import decide as de
+from mailposture.session import discard, shared_folder, step
 from mailposture.sources import registries as rg
 
 ENTITY = "country string, code string, name string, region string, override_domain string, override_name string, website_domain string"
@@ -147,3 +148,59 @@ def test_a_filter_on_the_flags_does_not_split_names_again(spark):
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     assert "array_contains" not in plan and "substring_index" not in plan
     assert [r.domain for r in kept.collect()] == ["baden.ch"]
+
+
+def written(spark):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    return {s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder) if "mailposture-" in s.getPath().getName()}
+
+
+def pool_inputs(spark):
+    e = entity(spark, ("ch", "1", "Baden", "Kanton Aargau", None), ("ch", "2", "Ort", "Kanton Bern", None))
+    c = spark.createDataFrame([("ch", "1", 5, "agency.ch", "wikidata", False), ("ch", "1", 3, "agency.ch", "guess", False), ("ch", "2", 1, "ort.ch", None, False)], CAND)
+    s = spark.createDataFrame([("ch", "1", "s", "baden.ch"), ("ch", "1", "t", "baden.ch"), ("ch", "2", "s", None)], "country string, code string, site string, email_domain string")
+    h = spark.createDataFrame([("ort.ch", "neu-ort.ch"), ("agency.ch", "gone.ch")], "domain string, redirect string")
+    m = spark.createDataFrame([(d, d != "gone.ch") for d in ("agency.ch", "baden.ch", "ort.ch", "neu-ort.ch", "gone.ch")], "domain string, has_mx boolean")
+    return e, c, s, h, m, spark.createDataFrame([], "domain string, flag string")
+
+
+def test_pools_leave_only_the_tables_they_read(spark, rows):
+    made = []
+    inputs = pool_inputs(spark)
+    shared_folder(spark)
+    before = written(spark)
+    pools = de.build_pools(*inputs, made=made)
+    assert written(spark) - before == {f.stored_at.rsplit("/", 1)[1] for f in made}
+    expected = [("ch", "1", "guess", "agency.ch"), ("ch", "1", "scraped", "baden.ch"), ("ch", "1", "static", "agency.ch"), ("ch", "2", "static", "ort.ch")]
+    assert rows(pools) == expected
+    discard(*made)
+    assert written(spark) == before
+
+
+def test_pools_carry_sources_and_keys(spark, rows):
+    e, c, *rest = pool_inputs(spark)
+    plain = de.build_pools(e, c, *rest)
+    carried = step(de.preference(de.build_pools(e, c, *rest, sources=True), e))
+    assert rows(de.decide(e, c, carried, rest[2])) == rows(de.decide(e, c, plain, rest[2]))
+    keys = ("code", "pool", "domain", "rank")
+    assert rows(de.rank_emails(carried, e), *keys) == rows(de.rank_emails(plain, e), *keys)
+    # Neither the entities nor the candidates are joined again.
+    plan = de.rank_emails(carried, e)._jdf.queryExecution().optimizedPlan().toString()
+    assert "override_name" not in plan and "slugs" not in plan
+    assert "is_email_domain" not in de.decide(e, c, carried, rest[2])._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_repeated_row_of_the_pool_stays_and_null_is_no_candidate(spark, rows):
+    pool = spark.createDataFrame([("ch", "1", "a.ch"), ("ch", "1", "a.ch"), ("ch", "1", None), ("ch", "1", "b.ch")], "country string, code string, domain string")
+    cand = spark.createDataFrame([("ch", "1", 0, "a.ch", "x", False), ("ch", "1", 0, None, "x", False), ("ch", "1", 0, "c.ch", "x", False)], CAND)
+    assert rows(de.mark_candidates(pool, cand), "domain", "is_candidate") == [(None, False), ("a.ch", True), ("a.ch", True), ("b.ch", False)]
+
+
+def test_first_source_of_a_candidate_without_a_position(spark, rows):
+    cand = spark.createDataFrame([("ch", "1", 1, "a.ch", "wikidata", False), ("ch", "1", None, "a.ch", "guess", False), ("ch", "1", 2, "a.ch", None, False), ("ch", "1", None, "b.ch", None, False)], CAND)
+    assert rows(de.find_source(cand), "domain", "source", "n_sources") == [("a.ch", "guess", 2), ("b.ch", "static", 0)]
+
+
+def test_sources_detail_skips_null_domains(spark):
+    cand = spark.createDataFrame([("ch", "1", 1, "b.ch", "x", False), ("ch", "1", 2, "a.ch", "x", False), ("ch", "1", 3, "a.ch", "x", False), ("ch", "1", 4, None, "y", False)], CAND)
+    assert de.sources_detail(cand).first().sources_detail == {"x": ["a.ch", "b.ch"], "y": []}
