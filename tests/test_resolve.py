@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from mailposture.operators import candidates as cd
 from mailposture.operators import decide as de
-from mailposture.session import discard, shared_folder, step
+from mailposture.session import discard, step
 from mailposture.sources import registries as rg
 
 ENTITY = "country string, code string, name string, region string, override_domain string, override_name string, website_domain string"
@@ -150,11 +150,6 @@ def test_a_filter_on_the_flags_does_not_split_names_again(spark):
     assert [r.domain for r in kept.collect()] == ["baden.ch"]
 
 
-def written(spark):
-    folder = spark._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
-    return {s.getPath().getName() for s in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder) if "mailposture-" in s.getPath().getName()}
-
-
 def pool_inputs(spark):
     e = entity(spark, ("ch", "1", "Baden", "Kanton Aargau", None), ("ch", "2", "Ort", "Kanton Bern", None))
     c = spark.createDataFrame([("ch", "1", 5, "agency.ch", "wikidata", False), ("ch", "1", 3, "agency.ch", "guess", False), ("ch", "2", 1, "ort.ch", None, False)], CAND)
@@ -164,17 +159,15 @@ def pool_inputs(spark):
     return e, c, s, h, m, spark.createDataFrame([], "domain string, flag string")
 
 
-def test_pools_leave_only_the_tables_they_read(spark, rows):
+def test_pools_leave_only_the_tables_they_read(spark, rows, monkeypatch, tmp_path):
     made = []
-    inputs = pool_inputs(spark)
-    shared_folder(spark)
-    before = written(spark)
-    pools = de.build_pools(*inputs, made=made)
-    assert written(spark) - before == {f.stored_at.rsplit("/", 1)[1] for f in made}
+    monkeypatch.setattr("mailposture.session.shared_folder", lambda spark: str(tmp_path))
+    pools = de.build_pools(*pool_inputs(spark), made=made)
+    assert {p.name for p in tmp_path.iterdir()} == {f.stored_at.rsplit("/", 1)[1] for f in made}
     expected = [("ch", "1", "guess", "agency.ch"), ("ch", "1", "scraped", "baden.ch"), ("ch", "1", "static", "agency.ch"), ("ch", "2", "static", "ort.ch")]
     assert rows(pools) == expected
     discard(*made)
-    assert written(spark) == before
+    assert not [*tmp_path.iterdir()]
 
 
 def test_pools_carry_sources_and_keys(spark, rows):
